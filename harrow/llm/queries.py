@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from harrow.llm import bpe
 from harrow.llm.common import documents
 from harrow.llm.minhash import near_duplicates
 
@@ -12,6 +14,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, documents(spark, sf_dir), width=4)
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(documents(spark, sf_dir), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 OP1_SQL = r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
@@ -37,7 +44,7 @@ join (select id, min(to_id) as component_id from reach group by id) c on c.id =
 
 
 def queries() -> dict:
-    return {"op1_minhash": op1_minhash}
+    return {"op1_minhash": op1_minhash, "op7_byte_bpe": op7_byte_bpe}
 
 
 def oracle_sql() -> dict:
