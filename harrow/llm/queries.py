@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import bpe
+from harrow.llm import bpe, langid, quality
 from harrow.llm.common import documents
 from harrow.llm.minhash import near_duplicates
 
@@ -19,6 +19,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, documents(spark, sf_dir))
+
+
 OP1_SQL = r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
@@ -44,7 +52,7 @@ join (select id, min(to_id) as component_id from reach group by id) c on c.id =
 
 
 def queries() -> dict:
-    return {"op1_minhash": op1_minhash, "op7_byte_bpe": op7_byte_bpe}
+    return {"op1_minhash": op1_minhash, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language}
 
 
 def oracle_sql() -> dict:
