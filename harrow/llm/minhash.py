@@ -12,6 +12,9 @@ confirmed on the full shingle sets.
 * Skip: a pair is counted only in the list of the first value that it shares, and a
   list only compares documents whose set sizes allow the similarity.
 * Exact copies (equal shingle sets) are one class before any list is built.
+* Pairs of middling similarity, as of short texts around one passage, are told from
+  near copies by the prefixes of their full sets, rarest shingle first: two sets that
+  are similar enough share a shingle there.
 * Hot lists: a first round compares each document with one hub of each of its lists
   and keeps the best few, so a list of n near copies costs n comparisons, not n * n.
   The second round counts only pairs that the first left in different components,
@@ -112,19 +115,38 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, shingles array<long>")
 
 
-def _confirm(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    ids = materialize(spark, classes.join(ids, "rep").select(F.col("rep").alias("id"), F.col("k1").alias("c1"), F.col("k2").alias("c2")), "mh-ids")
+def _sets_of(spark: SparkSession, docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles): the full sets of the class representatives in ids(rep), from their texts."""
+    ids = classes.join(ids, "rep").select(F.col("rep").alias("id"), F.col("k1").alias("c1"), F.col("k2").alias("c2"))
+    ids = materialize(spark, ids, "mh-ids")
     texts = docs.join(small(ids.select("id"), 16), F.col("doc_id") == F.col("id"), "left_semi")
-    sets = _full_sets(texts, width).join(small(ids, 32), (F.col("doc_id") == F.col("id")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left_semi")
-    sets = materialize(spark, sets.dropDuplicates(["doc_id"]).select("doc_id", "shingles"), "mh-sets")
+    same = (F.col("doc_id") == F.col("id")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
+    found = _full_sets(texts, width).join(small(ids, 32), same, "left_semi")
+    return materialize(spark, found.dropDuplicates(["doc_id"]).select("doc_id", "shingles"), "mh-sets")
+
+
+def _confirm(spark: SparkSession, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full shingle sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("i"))
     return materialize(spark, both.where(F.col("i") * 100 >= (F.col("n") + F.col("m") - F.col("i")) * percent).select("a", "b"), "mh-links")
 
 
+def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, alone, rare) of the sets that can reach percent with another one of them.
+
+    alone counts the shingles that no other set has; rare holds the others, rarest
+    first, as far as the prefix of the smallest overlap goes.
+    """
+    each = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    kept = each.join(often, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("rare"))
+    kept = kept.select("doc_id", (F.col("n") - F.size("rare")).alias("alone"), F.col("rare.s").alias("rare"), "n")
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9).cast("int") + 1 - F.col("alone")
+    return kept.where(most > 0).select("doc_id", "alone", F.slice("rare", F.lit(1), most).alias("rare"))
+
+
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80,
     coords: int = COORDS, min_matches: int = MIN_MATCHES, hubs: int = HUBS,
@@ -155,11 +177,11 @@ def near_duplicates(
         flat.join(shared, "value").groupBy("rep")
         .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
         .where(F.size("vs") >= min_matches)
-        .select("rep", F.col("vs.value").alias("vs"))
+        .select("rep", F.col("vs.value").alias("vs"), F.aggregate("vs.df", F.lit(0).cast("long"), lambda s, x: s + x).alias("weight"))
     )
     ordered = ordered.join(values.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep")
     posted = ordered.select(
-        "rep", F.col("n_shingles").alias("n"), "vs",
+        "rep", F.col("n_shingles").alias("n"), "vs", "weight",
         F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.lit(min_matches - 1))).alias("value"))
     posted = materialize(spark, posted, "mh-posted")
 
@@ -169,16 +191,21 @@ def near_duplicates(
     size_fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     common = F.array_intersect("vs_a", "vs_b")
 
-    # Round 1: each document and the hubs of its lists.
+    # Round 1: each document and the hubs of its lists: the one whose values most documents
+    # share (the original of a group of near copies) and one at random.
     key = F.xxhash64("rep", "value")
-    first = posted.groupBy("value").agg(F.min(key).alias("key"), F.count(F.lit(1)).alias("n_list")).where("n_list > 1").drop("n_list")
-    hub = materialize(spark, posted.withColumn("key", key).join(materialize(spark, first, "mh-first"), ["value", "key"]).drop("key"), "mh-hubs")
+    first = posted.groupBy("value").agg(
+        F.max(F.struct("weight", "rep")).alias("heavy"), F.min(F.struct(key.alias("key"), "rep")).alias("any"), F.count(F.lit(1)).alias("n_list"))
+    first = first.where("n_list > 1").select("value", F.explode(F.array_distinct(F.array("heavy.rep", "any.rep"))).alias("rep"))
+    hub = materialize(spark, posted.join(materialize(spark, first, "mh-first"), ["value", "rep"]), "mh-hubs")
     met = side(posted, "a").join(side(hub, "b"), "value").where((F.col("rep_a") != F.col("rep_b")) & size_fits)
     met = met.select("rep_a", "rep_b", F.size(common).alias("matches")).where(F.col("matches") >= min_matches).distinct()
     best = Window.partitionBy("rep_a").orderBy(F.desc("matches"), "rep_b")
     pairs = met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= hubs)
     pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-    links = _confirm(spark, docs, classes, materialize(spark, pairs, "mh-pairs"), width, percent)
+    pairs = materialize(spark, pairs, "mh-pairs")
+    sets = _sets_of(spark, docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), width)
+    links = _confirm(spark, sets, pairs, percent)
     component = materialize(spark, connected_components(spark, links), "mh-components")
 
     # Round 2: what is still apart.
@@ -189,15 +216,24 @@ def near_duplicates(
     main = sizes.groupBy("value").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
     main = materialize(spark, main.where("parts > 1").select("value", F.col("m.component").alias("main")), "mh-main")
     apart = materialize(spark, tagged.join(main, "value"), "mh-apart")
+    sets = _sets_of(spark, docs, classes, apart.select("rep").distinct(), width)
+    apart = apart.join(materialize(spark, _rare_first(sets, percent), "mh-rare"), apart.rep == F.col("doc_id")).drop("doc_id")
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9).cast("int")
+
+    def prefix(tag: str):
+        length = F.col(f"n_{tag}").cast("int") - need + 1 - F.col(f"alone_{tag}")
+        return F.slice(F.col(f"rare_{tag}"), F.lit(1), F.greatest(F.lit(0), length))
+
     rest = apart.where("component <> main")
     cross = side(rest, "a").join(side(apart, "b"), "value").where(
         (F.col("component_a") != F.col("component_b")) & size_fits
         & ((F.col("rep_a") < F.col("rep_b")) | (F.col("component_b") == F.col("main_b")))
+        & F.arrays_overlap(prefix("a"), prefix("b"))
         & (F.size(common) >= min_matches) & (F.element_at(common, 1) == F.col("value")))
     cross = cross.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
     cross = materialize(spark, cross, "mh-cross")
     if not cross.isEmpty():
-        more = _confirm(spark, docs, classes, cross, width, percent)
+        more = _confirm(spark, sets, cross, percent)
         if not more.isEmpty():
             component = materialize(spark, connected_components(spark, links.union(more)), "mh-components")
 
