@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import bpe, langid, quality
+from harrow.llm import bpe, embed_dedup, langid, quality
 from harrow.llm.common import documents
 from harrow.llm.minhash import near_duplicates
 
@@ -27,6 +27,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, documents(spark, sf_dir))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicate_vectors(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OP1_SQL = r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
@@ -50,10 +54,21 @@ from documents d left join sizes s using (doc_id)
 join (select id, min(to_id) as component_id from reach group by id) c on c.id = d.doc_id
 """
 
+OP9_SQL = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93),
+reach(id, to_id) as (select vec_id, vec_id from v union select r.id, l.b from reach r join links l on l.a = r.to_id)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from v left join (select a, count(*) as n from links group by a) on a = vec_id
+join (select id, min(to_id) as component_id from reach group by id) on id = vec_id
+"""
+
 
 def queries() -> dict:
-    return {"op1_minhash": op1_minhash, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language}
+    return {"op1_minhash": op1_minhash, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_embeddings": op9_embeddings}
 
 
 def oracle_sql() -> dict:
-    return {"op1_minhash": OP1_SQL}
+    return {"op1_minhash": OP1_SQL, "op9_embeddings": OP9_SQL}
