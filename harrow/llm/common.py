@@ -147,13 +147,22 @@ class Words:
             ends[at] = inside[at]
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
-        up, down = _power_table(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        up, self._down = _power_table(n + 1)
+        self._total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[self.buf] * up[:n], out=self._total[1:])
+        self.hash = self.spans(self.start, self.end)
         self.first = np.searchsorted(self.start, self.offsets)
         self.doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of the buffer: equal bytes have equal hashes."""
+        return mix((self._total[end] - self._total[start]) * self._down[start] + (end - start).astype(np.uint64))
+
+
+def hash_words(words: list[str]) -> np.ndarray:
+    """The hashes that Words gives these words."""
+    return Words(pa.array([" ".join(words)])).hash
+
 
 def slices(batches, limit: int = SLICE_BYTES, text: str = "text"):
     """The record batches cut so that the texts of a piece hold about limit bytes, or one text."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import bpe, embed_dedup, langid, quality
+from harrow.llm import bpe, decontam, embed_dedup, langid, quality
 from harrow.llm.common import documents
 from harrow.llm.minhash import near_duplicates
 
@@ -31,6 +31,10 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP1_SQL = r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
@@ -67,7 +71,7 @@ join (select id, min(to_id) as component_id from reach group by id) on id = vec_
 
 
 def queries() -> dict:
-    return {"op1_minhash": op1_minhash, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_embeddings": op9_embeddings}
+    return {"op1_minhash": op1_minhash, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_embeddings": op9_embeddings, "op10_leaks": op10_leaks}
 
 
 def oracle_sql() -> dict:
