@@ -51,6 +51,18 @@ def crc_remainder(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)
 
 
+def commonest(counts: DataFrame, n: str, entries: int) -> DataFrame:
+    """The rows of largest n, at most entries of them: whole frequency classes, 16 to an octave, so no ties are cut."""
+    octave = F.floor(F.log2(n) * 16)
+    total, cut = 0, None
+    for row in counts.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("o")).collect():
+        total += row["k"]
+        if total > entries:
+            break
+        cut = row["o"]
+    return counts.where(octave >= cut) if cut is not None else counts.limit(0)
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
 
@@ -124,6 +136,18 @@ def utf8_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+class Spans:
+    """64-bit hashes of any stretches of a buffer: equal bytes have equal hashes."""
+
+    def __init__(self, buf: np.ndarray):
+        up, self._down = _power_table(len(buf) + 1)
+        self._total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTE[buf] * up[: len(buf)], out=self._total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._total[end] - self._total[start]) * self._down[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """The white-space separated words of a slice of texts, lower-cased A-Z, as 64-bit hashes.
 
@@ -147,18 +171,11 @@ class Words:
             ends[at] = inside[at]
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
-        up, self._down = _power_table(n + 1)
-        self._total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * up[:n], out=self._total[1:])
+        self.spans = Spans(self.buf)
         self.hash = self.spans(self.start, self.end)
         self.first = np.searchsorted(self.start, self.offsets)
         self.doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of stretches of the buffer: equal bytes have equal hashes."""
-        return mix((self._total[end] - self._total[start]) * self._down[start] + (end - start).astype(np.uint64))
-
-
 def hash_words(words: list[str]) -> np.ndarray:
     """The hashes that Words gives these words."""
     return Words(pa.array([" ".join(words)])).hash
