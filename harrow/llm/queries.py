@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import bpe, decontam, embed_dedup, langid, lm, pii, quality, token_counts
+from harrow.llm import bpe, decontam, embed_dedup, langid, lm, pii, quality, token_counts, token_ids
 from harrow.llm.common import documents
 from harrow.llm.minhash import near_duplicates
 
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.write_and_read(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(spark, documents(spark, sf_dir))
 
@@ -83,7 +87,7 @@ join (select id, min(to_id) as component_id from reach group by id) on id = vec_
 
 
 def queries() -> dict:
-    return {"op1_minhash": op1_minhash, "op2_personal_data": op2_personal_data, "op3_token_counts": op3_token_counts, "op5_katz": op5_katz, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_embeddings": op9_embeddings, "op10_leaks": op10_leaks}
+    return {"op1_minhash": op1_minhash, "op2_personal_data": op2_personal_data, "op3_token_counts": op3_token_counts, "op4_token_ids": op4_token_ids, "op5_katz": op5_katz, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_embeddings": op9_embeddings, "op10_leaks": op10_leaks}
 
 
 def oracle_sql() -> dict:
