@@ -242,3 +242,22 @@ def near_duplicates(
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of near duplicates, with all columns.
+
+    The row of the group's smallest doc_id stays; of rows that share it, the first by
+    their text. Rows without a doc_id all stay.
+    """
+    verdicts = near_duplicates(spark, docs, **options)
+    gone = materialize(spark, verdicts.where("not kept and doc_id is not null").select("doc_id").distinct(), "mh-gone")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    named = left.where("doc_id is not null")
+    repeated = materialize(spark, named.groupBy("doc_id").count().where("count > 1").select("doc_id"), "mh-repeated")
+    if repeated.isEmpty():
+        return left
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    among = named.join(repeated, "doc_id", "left_semi").withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+    others = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return others.unionByName(among.select(*docs.columns))
