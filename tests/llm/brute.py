@@ -31,3 +31,34 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def base_digest(text: str) -> str:
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in base_spans(text)).encode()).hexdigest()
+
+
+def words_of(text: str | None) -> list[str]:
+    lowered = re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", lowered)
+
+
+def smallest_reachable(ids, links) -> dict:
+    low = {i: i for i in ids}
+
+    def top(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        low[b] = a
+    return {i: top(i) for i in ids}
+
+
+def near_duplicates(rows, width: int) -> dict:
+    """doc_id to (set size, component) by comparing every pair."""
+    sets = {}
+    for doc_id, text in rows:
+        w = words_of(text)
+        sets[doc_id] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    component = smallest_reachable(ids, links)
+    return {i: (len(sets[i]), component[i]) for i in ids}
