@@ -30,9 +30,9 @@ _PLAIN = re.compile(r"[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 
 #: Pre-tokens a worker remembers, twice over (a full generation becomes the old one).
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Rows (bytes) that one recursive query starts from; longer pre-tokens go one step at a time.
-QUERY_BYTES, LONG_BYTES = 400_000, 400
+QUERY_BYTES, LONG_BYTES = 100_000, 400
 
 _STEP = """
   (with x as materialized (
@@ -83,7 +83,7 @@ class Bpe:
             (ranks[t[:k]] * 1048576 + ranks[t[k:]], r)
             for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
         ]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):

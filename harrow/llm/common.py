@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if its counted rows stay below this many bytes.
 BROADCAST_BYTES = 32 << 20
 #: Python tasks work through their Arrow batches in slices of about this much text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -122,7 +122,7 @@ _POWERS: dict = {}
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
         _POWERS.update(up=powers(_BASE, size), down=powers(_INVERSE, size))
     return _POWERS["up"], _POWERS["down"]
 
@@ -192,6 +192,7 @@ def slices(batches, limit: int = SLICE_BYTES, text: str = "text"):
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def rows_of_lists(flat: np.ndarray, first: np.ndarray) -> pa.Array:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.common import _BASE, _INVERSE, crc_remainder, materialize, mix, powers, slices
+from harrow.llm.common import _BASE, _INVERSE, SLICE_BYTES, crc_remainder, materialize, mix, powers, slices
 
 ORDERS = (4, 3, 2, 1)
 #: The model keeps the commonest words and n-grams of each order, so many at most: its size is bounded.
@@ -32,7 +32,7 @@ def _letters() -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_STATE.get("up", ())) < n:
-        size = max(n, 5 << 20)
+        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
         _STATE.update(up=powers(_BASE, size), down=powers(_INVERSE, size))
     return _STATE["up"], _STATE["down"]
 
