@@ -28,6 +28,8 @@ REMEMBERED = 1_200_000
 INDEX_STRIDE, STRIPE_BYTES = 1_000, 32 << 20
 
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: What the last token of every pre-token ends with in the vocabulary.
+_WORD_END = "</w>"
 #: Classes of bytes: white space, letters, digits, apostrophe, anything else. Bytes of Latin-1 letters count as letters.
 _SPACE, _LETTER, _DIGIT, _QUOTE, _OTHER = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -45,6 +47,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -55,21 +60,39 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, flat, and how many each has.
+
+        White space parts pre-tokens and has no ids, so they are encoded as one text and
+        told apart by the tokens that end one; pre-tokens that this does not fit go one by one.
+        """
+        flat = np.asarray(self._library([" ".join(texts)])[0], np.int32)
+        sizes = np.diff(np.flatnonzero(self.ends_word[flat]), prepend=-1)
+        if len(sizes) == len(texts) and sizes.sum() == len(flat):
+            return flat, sizes
+        ids = self._library(texts)
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(i) for i in ids], np.int64)
+
     def _remember(self, hashes: list[int], texts: list[str]) -> None:
+        quoted = ["'" in t for t in texts]  # may be more than one pre-token
+        if any(quoted) and not all(quoted):
+            for which in (True, False):
+                k = [i for i, q in enumerate(quoted) if q is which]
+                self._remember([hashes[i] for i in k], [texts[i] for i in k])
+            return
         for lo in range(0, len(texts), 20_000):
-            ids = self._library(texts[lo : lo + 20_000])
-            sizes = np.array([len(i) for i in ids], np.int64)
-            total = int(sizes.sum())
+            ids, sizes = self._each(texts[lo : lo + 20_000])
+            total = len(ids)
             while len(self.flat) < self.used + total:
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.starts) < self.n + len(ids):
+            while len(self.starts) < self.n + len(sizes):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
                 self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            self.flat[self.used : self.used + total] = np.concatenate([np.asarray(i, np.int32) for i in ids]) if total else []
-            at = slice(self.n, self.n + len(ids))
+            self.flat[self.used : self.used + total] = ids
+            at = slice(self.n, self.n + len(sizes))
             self.sizes[at], self.starts[at] = sizes, self.used + np.cumsum(sizes) - sizes
-            self.place.update(zip(hashes[lo : lo + 20_000], range(self.n, self.n + len(ids)), strict=True))
-            self.used, self.n = self.used + total, self.n + len(ids)
+            self.place.update(zip(hashes[lo : lo + 20_000], range(self.n, self.n + len(sizes)), strict=True))
+            self.used, self.n = self.used + total, self.n + len(sizes)
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each text's, and where each text's begin."""
@@ -111,7 +134,7 @@ class Encoder:
             begins &= chunk | ~quoted[number]
         start = np.flatnonzero(begins)
         stops = np.flatnonzero(begins | ~inside)
-        end = np.append(stops, len(buf))[np.searchsorted(stops, start, "right")]
+        end = np.append(stops, len(buf))[np.flatnonzero(begins[stops]) + 1]
         hashes, at, back = np.unique(Spans(buf)(start, end), return_index=True, return_inverse=True)
         if self.n + len(hashes) > REMEMBERED:
             self._forget()
