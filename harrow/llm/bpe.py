@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import rows_of_lists, slices
+from harrow.llm.common import held, rows_of_lists, slices
 
 #: White space as the pattern's engine has it: Unicode White_Space (Python adds U+001C to U+001F).
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -168,13 +168,8 @@ class Bpe:
         return [list(map(self.known.__getitem__, c)) for c in cut]
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def loaded(path: str) -> Bpe:
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 #: What encode() can return besides doc_id.

@@ -92,6 +92,23 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
             return labels
 
 
+# ---------------------------------------------------------------- Python workers
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps from task to task: the last thing asked for, made once.
+
+    Workers outlive the stages of a pipeline; what an earlier stage kept goes, so that
+    the tables of several stages never lie in one worker together.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 # ---------------------------------------------------------------- words in numpy
 
 _RNG = np.random.default_rng(20240607)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from harrow.llm.common import Words, connected_components, materialize, mix, rows_of_lists, slices, small
+from harrow.llm.common import Words, connected_components, held, materialize, mix, rows_of_lists, slices, small
 
 COORDS = 32
 MIN_MATCHES = 14
@@ -91,6 +91,7 @@ def set_keys(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _signed(docs: DataFrame, width: int, coords: int) -> DataFrame:
     def run(batches):
+        held("shingles", tuple)  # keeps nothing, lets go of other stages' tables
         for b in slices(batches):
             flat, first = shingle_sets(b.column("text"), width)
             k1, k2 = set_keys(flat, first)
@@ -105,6 +106,7 @@ def _signed(docs: DataFrame, width: int, coords: int) -> DataFrame:
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
+        held("shingles", tuple)  # keeps nothing, lets go of other stages' tables
         for b in slices(batches):
             flat, first = shingle_sets(b.column("text"), width)
             k1, k2 = set_keys(flat, first)
