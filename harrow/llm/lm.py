@@ -1,36 +1,41 @@
 """Katz backoff language model: counts, tables and scores.
 
-Events are word classes: the VOCABULARY commonest words, the end of a text, and one
-class for all rarer words (within it a word has its add-one share). A history is the
-class before, or the begin of a text. Counts of pairs are Good-Turing discounted; pairs
-seen once count as unseen, as is usual for Katz models of higher order. Every history's
-backoff weight is the mass that its seen pairs leave over, divided by what the unigram
-distribution has for its unseen ones, so the distribution of every history sums to one.
+Events are all words of the training texts, the end of a text, and one event for words
+that they lack. A history is the word before, or the begin of a text. Counts of pairs
+are Good-Turing discounted; pairs seen once count as unseen, as is usual for Katz models
+of higher order. Every history's backoff weight is the mass that its seen pairs leave
+over, divided by what the unigram distribution has for its unseen ones, so the
+distribution of every history sums to one.
 
 A token is evaluated recursively: the pair's discounted probability if the model has the
-pair, else the history's weight times the unigram probability. Tasks hold the bounded
-tables (classes, weights, commonest pairs and words); the other pairs and words of the
-texts are joined to the stored tables by key.
+pair, else the history's weight times the unigram probability. Words and pairs are keyed
+by their hashes in stored tables of any size. Tasks hold the commonest words and pairs as
+a cache; the other words and pairs of the texts are joined to the tables by key.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.common import Words, commonest, crc_remainder, materialize, rows_of_lists, scratch_path, slices
+from harrow.llm.common import Words, commonest, crc_remainder, materialize, mix, rows_of_lists, scratch_path, slices
 
-#: Bounds of what is sent to the tasks: word classes, words with their counts, pairs with their gain.
+#: Bounds of what is sent to the tasks, none of the model: words whose pairs are joined by broadcast, words and pairs of the cache.
 VOCABULARY, COMMON_WORDS, COMMON_PAIRS = 20_000, 400_000, 500_000
 #: Counts up to this one get the Good-Turing discount.
 KATZ_K = 5
 PARTITIONS = 8
+#: Distinct pairs that a task sums up before it hands them on.
+HELD_PAIRS = 4_000_000
 
-RARE, END, BEGIN = 0, 1, 2
-FIRST_WORD = 3
+#: What stands for unseen words, the end and the begin among the hashes of words.
+RARE, END, BEGIN = (int(x) for x in mix(np.array([201, 202, 203], np.uint64)).view(np.int64))
+_TURN = 23
 
 
 def _count_keys(df: DataFrame, keys_of, key_type: str) -> DataFrame:
@@ -52,30 +57,57 @@ def _count_keys(df: DataFrame, keys_of, key_type: str) -> DataFrame:
     return df.mapInArrow(run, f"key {key_type}, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-class Classes:
-    """Word hash to class: sorted hashes of the vocabulary, FIRST_WORD onwards."""
+def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, history, document) of every token of the texts, ends included."""
+    n = len(words.first) - 1
+    ends = words.first[1:]
+    w = np.insert(words.hash.view(np.int64), ends, END)
+    doc = np.insert(words.doc, ends, np.arange(n))
+    h = np.empty_like(w)
+    h[1:] = w[:-1]
+    h[words.first[:-1] + np.arange(n)] = BEGIN
+    u = h.view(np.uint64)
+    return ((u << np.uint64(_TURN)) | (u >> np.uint64(64 - _TURN))).view(np.int64) ^ w, h, doc
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-        self.size = FIRST_WORD + len(hashes)
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + FIRST_WORD, RARE).astype(np.int32)
-
-    def pairs(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(history, class, document) of every token of the texts, ends included."""
-        n = len(words.first) - 1
-        c = self.of(words.hash.view(np.int64))
-        ends = words.first[1:]
-        w = np.insert(c, ends, END)
-        doc = np.insert(words.doc, ends, np.arange(n))
-        h = np.empty_like(w)
-        h[1:] = w[:-1]
-        h[words.first[:-1] + np.arange(n)] = BEGIN
-        return h, w, doc
+def _word_of(key: str, h: str) -> Column:
+    """The word of a pair with this history: undoes what _tokens does."""
+    return F.col(key).bitwiseXOR(F.shiftleft(h, _TURN).bitwiseOR(F.shiftrightunsigned(h, 64 - _TURN)))
+
+
+def _summed(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], h[order[first]], np.add.reduceat(n[order], first)
+
+
+def _count_pairs(texts: DataFrame) -> DataFrame:
+    """(key, h, n) of all pairs, summed over each task first, then over all."""
+
+    def rows(held):
+        key, h, n = _summed(held)
+        order = np.argsort(h)  # equal histories side by side: smaller shuffle files
+        for lo in range(0, len(key), 200_000):
+            part = order[lo : lo + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(h[part]), pa.array(n[part])], names=["key", "h", "n"])
+
+    def run(batches):
+        held = []
+        for b in slices(batches):
+            key, h, _ = _tokens(Words(b.column("text")))
+            u, at, n = np.unique(key, return_index=True, return_counts=True)
+            held.append((u, h[at], n.astype(np.int64)))
+            if len(held) >= 16:
+                held = [_summed(held)]
+                if len(held[0][0]) > HELD_PAIRS:
+                    yield from rows(held)
+                    held = []
+        if held:
+            yield from rows(held)
+
+    return texts.mapInArrow(run, "key long, h long, n long").groupBy("key", "h").agg(F.sum("n").alias("n"))
 
 
 def _discounts(of_counts: dict[int, int]) -> np.ndarray:
@@ -88,61 +120,104 @@ def _discounts(of_counts: dict[int, int]) -> np.ndarray:
     return d
 
 
+class Classes:
+    """The numbers of a model's events, in order of their hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.size = len(hashes)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.hashes, h)
+
+
 class Model:
-    """The tables of a fitted model and its scalars."""
+    """The tables of a fitted model and its scalars.
 
-    def __init__(self, spark, unigrams, pairs, classes, unigram, alpha, total, types, rare_total, rare_types, common_words, common_pairs):
-        self.unigrams, self.pairs = unigrams, pairs
-        self.classes, self.unigram, self.alpha = classes, unigram, alpha
-        self.total, self.types, self.rare_total, self.rare_types = total, types, rare_total, rare_types
+    words has (key, n, unigram, alpha) of every word, the end and the begin; table has
+    (key, h, w, n, p, gain) of every pair. classes, unigram, alpha and pairs are the same
+    by number, collected: for small models.
+    """
+
+    def __init__(self, spark, unigrams, words, table, total, types, n_docs, common_words, common_pairs):
+        self.spark, self.unigrams, self.words, self.table = spark, unigrams, words, table
+        self.total, self.types, self.n_docs = total, types, n_docs
         self.common_words, self.common_pairs = common_words, common_pairs
 
+    @cached_property
+    def _rows(self):
+        unseen = self.spark.createDataFrame([(RARE, 1.0 / (self.total + 2), 1.0)], "key long, unigram double, alpha double")
+        return self.words.select("key", "unigram", "alpha").unionAll(unseen).toPandas().sort_values("key")
+
+    @cached_property
+    def classes(self):
+        return self.spark.sparkContext.broadcast(Classes(self._rows["key"].to_numpy()))
+
+    @property
+    def unigram(self) -> np.ndarray:
+        return self._rows["unigram"].to_numpy()
+
+    @property
+    def alpha(self) -> np.ndarray:
+        return self._rows["alpha"].to_numpy()
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        seen, of = self.table.toPandas(), self.classes.value.of
+        seen["key"] = of(seen["h"].to_numpy()) * self.classes.value.size + of(seen["w"].to_numpy())
+        return self.spark.createDataFrame(seen[["key", "n", "p", "gain"]], "key long, n long, p double, gain double")
+
+
+def _look_up(df: DataFrame, on: str, words: DataFrame, top: DataFrame) -> DataFrame:
+    """df with the columns of its words: those of common ones by broadcast, of all others by key."""
+    words, top = words.withColumnRenamed("key", on), F.broadcast(top.withColumnRenamed("key", on))
+    rest = df.join(top.select(on), on, "left_anti").join(words, on)
+    return df.join(top, on).unionByName(rest)
+
 
 def fit(spark: SparkSession, docs: DataFrame, vocabulary: int = VOCABULARY, common_words: int = COMMON_WORDS, common_pairs: int = COMMON_PAIRS) -> Model:
-    """Counts over all texts of docs(text)."""
+    """Counts over all texts of docs(text). The bounds say what is sent to the tasks; the model does not depend on them."""
     texts = docs.select("text")
     unigrams = materialize(spark, _count_keys(texts, lambda b: Words(b.column("text")).hash.view(np.int64), "long"), "lm-unigrams")
     sums = unigrams.agg(F.sum("n"), F.count(F.lit(1))).first()
     n_docs = texts.count()
-    words, word_types = sums[0] or 0, sums[1]
-    top = commonest(unigrams, "n", vocabulary).toPandas()
-    classes = Classes(top["key"].to_numpy(np.int64))
-    size = classes.size
-    shared = spark.sparkContext.broadcast(classes)
-
-    def keys_of(b):
-        h, w, _ = shared.value.pairs(Words(b.column("text")))
-        return (h.astype(np.int64) * size + w).astype(np.int32) if size < 46_000 else h.astype(np.int64) * size + w
-
-    counts = materialize(spark, _count_keys(texts, keys_of, "int" if size < 46_000 else "long"), "lm-pairs")
-    # Unigram distribution over classes; the rare class and the end have one more, so both always have a share.
-    rare_total, rare_types = int(words - top["n"].sum()), int(word_types - len(top))
-    unigram = np.zeros(size)
-    unigram[classes.of(top["key"].to_numpy(np.int64))] = top["n"]
-    unigram[RARE], unigram[END] = rare_total + 1, n_docs + 1
-    unigram /= words + n_docs + 2
+    n_words, word_types = sums[0] or 0, sums[1]
+    total = n_words + n_docs
+    counts = materialize(spark, _count_pairs(texts).where("n > 1"), "lm-pairs")
+    # Unseen words and the end have one more, so both always have a share. A word is a history as often as it occurs.
+    ends = spark.createDataFrame([(END, n_docs, (n_docs + 1) / (total + 2)), (BEGIN, n_docs, 0.0)], "key long, n long, unigram double")
+
+    def with_ends(df):
+        return df.select("key", "n", (F.col("n") / F.lit(total + 2.0)).alias("unigram")).unionAll(ends)
+
+    levels, top = with_ends(unigrams), with_ends(commonest(unigrams, "n", vocabulary))
     d = _discounts({r["n"]: r["count"] for r in counts.where(F.col("n") <= KATZ_K + 1).groupBy("n").count().collect()})
     factor = F.when(F.col("n") > KATZ_K, (F.col("n") - 0.5) / F.col("n")).otherwise(F.element_at(F.array(*map(F.lit, map(float, d))), F.least(F.col("n"), F.lit(KATZ_K)).cast("int") + 1))
-    histories = counts.groupBy(F.floor(F.col("key") / size).cast("int").alias("h")).agg(F.sum("n").alias("total"))
-    histories = materialize(spark, histories, "lm-histories")
-    level = spark.createDataFrame([(i, float(p)) for i, p in enumerate(unigram)], "w int, unigram double")
-    kept = counts.where("n > 1").select("key", "n", F.floor(F.col("key") / size).cast("int").alias("h"), (F.col("key") % size).cast("int").alias("w"))
-    kept = kept.join(F.broadcast(histories), "h").join(F.broadcast(level), "w").withColumn("p", factor * F.col("n") / F.col("total"))
-    rest = kept.groupBy("h").agg(F.sum("p").alias("p"), F.sum("unigram").alias("u")).toPandas()  # a row per class at most
-    alpha = np.ones(size)
-    left = 1.0 - rest["u"].to_numpy(float)
-    alpha[rest["h"].to_numpy(int)] = np.where(left > 1e-12, np.maximum(1e-12, 1.0 - rest["p"].to_numpy(float)) / np.maximum(left, 1e-12), 1e-12)
-    weights = spark.createDataFrame([(i, float(a)) for i, a in enumerate(alpha)], "h int, alpha double")
+    kept = _look_up(counts.withColumn("w", _word_of("key", "h")), "w", levels.drop("n"), top.drop("n"))
+    totals = [df.select("key", F.col("n").alias("total")) for df in (levels, top)]
+    kept = _look_up(kept, "h", *totals).withColumn("p", factor * F.col("n") / F.col("total"))
+    kept = materialize(spark, kept.select("key", "h", "w", "n", "p", "unigram"), "lm-kept")
+    used = kept.groupBy(F.col("h").alias("key")).agg(F.sum("p").alias("used"), F.sum("unigram").alias("mass"))
+    left = 1.0 - F.col("mass")
+    alpha = F.when(F.col("mass").isNull(), 1.0).when(left > 1e-12, F.greatest(F.lit(1e-12), 1.0 - F.col("used")) / left).otherwise(1e-12)
+    words = materialize(spark, levels.join(used, "key", "left").select("key", "n", "unigram", alpha.alias("alpha")), "lm-words")
+    top = words.join(F.broadcast(top.select("key")), "key")
+    table = _look_up(kept, "h", words.select("key", "alpha"), top.select("key", "alpha"))
     gain = F.log10("p") - F.log10("alpha") - F.log10("unigram")
     path = scratch_path(spark, "lm-model")
-    table = kept.join(F.broadcast(weights), "h").select("key", "n", "p", gain.alias("gain"), F.pmod("h", F.lit(PARTITIONS)).alias("part"))
+    table = table.select("key", "h", "w", "n", "p", gain.alias("gain"), F.pmod("h", F.lit(PARTITIONS)).cast("int").alias("part"))
     table.write.partitionBy("part").parquet(path)
-    model = spark.read.schema(table.schema).parquet(path).drop("part")
-    often = commonest(model, "n", common_pairs).select("key", "gain").toPandas().sort_values("key")
-    known = commonest(unigrams, "n", common_words).toPandas().sort_values("key")
+    table = spark.read.schema(table.schema).parquet(path).drop("part")
+    often = commonest(table, "n", common_pairs).select("key", "gain").toPandas().sort_values("key")
+    known = commonest(words, "n", common_words).select("key", "n", _weight().alias("weight")).toPandas().sort_values("key")
     return Model(
-        spark, unigrams, model, shared, unigram, alpha, words + n_docs, word_types + (n_docs > 0), rare_total, rare_types,
-        (known["key"].to_numpy(np.int64), known["n"].to_numpy(np.int64)), (often["key"].to_numpy(np.int64), often["gain"].to_numpy(float)))
+        spark, unigrams, words, table, total, word_types + (n_docs > 0), n_docs,
+        (known["key"].to_numpy(np.int64), known["n"].to_numpy(np.int64), known["weight"].to_numpy(float)), (often["key"].to_numpy(np.int64), often["gain"].to_numpy(float)))
+
+
+def _weight() -> Column:
+    """What an occurrence of a word adds to a score: as a token without its pair, and as the history of the next one."""
+    return F.when(F.col("unigram") > 0, F.log10("unigram") + F.log10("alpha")).otherwise(0.0)
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,19 +241,19 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
     m = fit(spark, docs.where(~held))
-    n_end = int(round(m.unigram[END] * (m.total + 2))) - 1
-    log_alpha, log_unigram = np.log10(m.alpha), np.log10(np.maximum(m.unigram, 1e-300))
-    tables = spark.sparkContext.broadcast((m.common_words, m.common_pairs, log_alpha, log_unigram))
-    classes = m.classes
+    rare = -float(np.log10(m.total + 2.0))  # of an unseen word; as a history it has the weight 1
+    begin = m.words.where(F.col("key") == BEGIN).select(F.log10("alpha")).first()[0]
+    fixed = float(begin + np.log10(m.n_docs + 1.0) + rare)  # the begin as a history and the end as a token
+    tables = spark.sparkContext.broadcast((m.common_words, m.common_pairs))
+    n_end = m.n_docs
 
     def run(batches):
-        (word_keys, word_counts), (pair_keys, gains), alpha, unigram = tables.value
+        (word_keys, word_counts, weights), (pair_keys, gains) = tables.value
         row = TaskContext.get().partitionId() << 36
         for b in slices(batches):
             words, n = Words(b.column("text")), b.num_rows
-            h, w, doc = classes.value.pairs(words)
-            total = np.bincount(doc, alpha[h] + unigram[w], minlength=n)
-            key = h.astype(np.int64) * classes.value.size + w
+            key, _, doc = _tokens(words)
+            total = np.full(n, fixed)
             at, known = _find(pair_keys, key)
             if known.any():
                 total += np.bincount(doc[known], gains[at[known]], minlength=n)
@@ -187,31 +262,28 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             at, seen = _find(word_keys, hashes)
             logs = np.log10(word_counts[at[seen]] + 1.0) if seen.any() else np.zeros(0)
             base = np.bincount(words.doc[seen], logs, minlength=n) + np.log10(n_end + 1.0)
-            rare = classes.value.of(hashes) == RARE
-            inner = rare[seen]
-            rare_logs = np.bincount(words.doc[seen][inner], logs[inner], minlength=n).astype(float)  # without entries bincount gives integers
+            if seen.any():
+                total += np.bincount(words.doc[seen], weights[at[seen]], minlength=n)
             lists = [np.concatenate([[0], np.cumsum(np.bincount(d, minlength=n))]) for d in (pair_doc, words.doc[~seen])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(n)), b.column("doc_id"), pa.array(np.diff(words.first) + 1), pa.array(np.bincount(words.doc[seen], minlength=n)),
-                 pa.array(np.bincount(words.doc[rare], minlength=n)), pa.array(base), pa.array(rare_logs), pa.array(total),
-                 rows_of_lists(pairs, lists[0]), rows_of_lists(hashes[~seen], lists[1])],
-                names=["row", "doc_id", "n_tokens", "known", "rare", "logs", "rare_logs", "total", "pairs", "words"])
+                 pa.array(base), pa.array(total), rows_of_lists(pairs, lists[0]), rows_of_lists(hashes[~seen], lists[1])],
+                names=["row", "doc_id", "n_tokens", "known", "logs", "total", "pairs", "words"])
             row += n
 
-    schema = "row long, doc_id long, n_tokens long, known long, rare long, logs double, rare_logs double, total double, pairs array<long>, words array<long>"
+    schema = "row long, doc_id long, n_tokens long, known long, logs double, total double, pairs array<long>, words array<long>"
     local = materialize(spark, docs.mapInArrow(run, schema), "lm-local")
-    gained = local.select("row", F.explode("pairs").alias("key")).join(m.pairs.select(F.col("key").cast("long").alias("key"), "gain"), "key")
+    gained = local.select("row", F.explode("pairs").alias("key")).join(m.table.select("key", "gain"), "key")
     gained = gained.groupBy("row").agg(F.sum("gain").alias("gained"))
-    met = local.select("row", F.explode("words").alias("key")).join(m.unigrams, "key").groupBy("row").agg(
-        F.count(F.lit(1)).alias("met"), F.sum(F.log10(F.col("n") + 1.0)).alias("met_logs"))
+    met = local.select("row", F.explode("words").alias("key")).join(m.words.select("key", "n", _weight().alias("weight")), "key").groupBy("row").agg(
+        F.count(F.lit(1)).alias("met"), F.sum(F.log10(F.col("n") + 1.0)).alias("met_logs"), F.sum("weight").alias("weights"))
     per_token = float(np.log10(m.total + m.types + 1.0))
-    per_rare = float(np.log10(m.rare_total + m.rare_types + 1.0))
     zero = F.lit(0.0)
-    more = F.coalesce("met_logs", zero)
+    counted = F.col("known") + F.coalesce("met", F.lit(0))
     out = local.drop("pairs", "words").join(gained, "row", "left").join(met, "row", "left")
     return out.select(
         "doc_id", F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce("met", F.lit(0)) + F.lit(1 if n_end else 0)).cast("long").alias("n_known"),
+        (counted + F.lit(1 if n_end else 0)).cast("long").alias("n_known"),
         F.lit(m.total).cast("long").alias("train_tokens"),
-        (F.col("logs") + more - F.col("n_tokens") * per_token).alias("base_score"),
-        (F.col("total") + F.coalesce("gained", zero) + F.col("rare_logs") + more - F.col("rare") * per_rare).alias("score"))
+        (F.col("logs") + F.coalesce("met_logs", zero) - F.col("n_tokens") * per_token).alias("base_score"),
+        (F.col("total") + F.coalesce("gained", zero) + F.coalesce("weights", zero) + (F.col("n_tokens") - 1 - counted) * rare).alias("score"))
