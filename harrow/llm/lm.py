@@ -15,6 +15,7 @@ a cache; the other words and pairs of the texts are joined to the tables by key.
 
 from __future__ import annotations
 
+import gc
 from functools import cached_property
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.common import Words, commonest, crc_remainder, materialize, mix, rows_of_lists, scratch_path, slices
+from harrow.llm.common import Words, commonest, crc_remainder, materialize, mix, scratch_path, slices
 
 #: Bounds of what is sent to the tasks, none of the model: words whose pairs are joined by broadcast, words and pairs of the cache.
 VOCABULARY, COMMON_WORDS, COMMON_PAIRS = 20_000, 400_000, 500_000
@@ -31,7 +32,7 @@ VOCABULARY, COMMON_WORDS, COMMON_PAIRS = 20_000, 400_000, 500_000
 KATZ_K = 5
 PARTITIONS = 8
 #: Distinct pairs that a task sums up before it hands them on.
-HELD_PAIRS = 4_000_000
+HELD_PAIRS = 2_000_000
 
 #: What stands for unseen words, the end and the begin among the hashes of words.
 RARE, END, BEGIN = (int(x) for x in mix(np.array([201, 202, 203], np.uint64)).view(np.int64))
@@ -99,7 +100,7 @@ def _count_pairs(texts: DataFrame) -> DataFrame:
             key, h, _ = _tokens(Words(b.column("text")))
             u, at, n = np.unique(key, return_index=True, return_counts=True)
             held.append((u, h[at], n.astype(np.int64)))
-            if len(held) >= 16:
+            if len(held) >= 12:
                 held = [_summed(held)]
                 if len(held[0][0]) > HELD_PAIRS:
                     yield from rows(held)
@@ -107,7 +108,7 @@ def _count_pairs(texts: DataFrame) -> DataFrame:
         if held:
             yield from rows(held)
 
-    return texts.mapInArrow(run, "key long, h long, n long").groupBy("key", "h").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "key long, h long, n long").repartition("key").groupBy("key", "h").agg(F.sum("n").alias("n"))
 
 
 def _discounts(of_counts: dict[int, int]) -> np.ndarray:
@@ -135,7 +136,7 @@ class Model:
     """The tables of a fitted model and its scalars.
 
     words has (key, n, unigram, alpha) of every word, the end and the begin; table has
-    (key, h, w, n, p, gain) of every pair. classes, unigram, alpha and pairs are the same
+    (key, h, n, p, gain) of every pair. classes, unigram, alpha and pairs are the same
     by number, collected: for small models.
     """
 
@@ -163,11 +164,27 @@ class Model:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        seen, of = self.table.toPandas(), self.classes.value.of
+        seen, of = self.table.withColumn("w", _word_of("key", "h")).toPandas(), self.classes.value.of
         seen["key"] = of(seen["h"].to_numpy()) * self.classes.value.size + of(seen["w"].to_numpy())
         return self.spark.createDataFrame(seen[["key", "n", "p", "gain"]], "key long, n long, p double, gain double")
 
 
+def _release(spark: SparkSession, *paths: str) -> None:
+    """Lets go of the disk of finished steps: scratch tables that are no longer read, and shuffle files that no plan refers to."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    jvm.java.lang.System.gc()
+
+
+def _written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def _look_up(df: DataFrame, on: str, words: DataFrame, top: DataFrame) -> DataFrame:
     """df with the columns of its words: those of common ones by broadcast, of all others by key."""
     words, top = words.withColumnRenamed("key", on), F.broadcast(top.withColumnRenamed("key", on))
@@ -183,7 +200,8 @@ def fit(spark: SparkSession, docs: DataFrame, vocabulary: int = VOCABULARY, comm
     n_docs = texts.count()
     n_words, word_types = sums[0] or 0, sums[1]
     total = n_words + n_docs
-    counts = materialize(spark, _count_pairs(texts).where("n > 1"), "lm-pairs")
+    counts, counts_path = _written(spark, _count_pairs(texts).where("n > 1"), "lm-pairs")
+    _release(spark)
     # Unseen words and the end have one more, so both always have a share. A word is a history as often as it occurs.
     ends = spark.createDataFrame([(END, n_docs, (n_docs + 1) / (total + 2)), (BEGIN, n_docs, 0.0)], "key long, n long, unigram double")
 
@@ -196,7 +214,8 @@ def fit(spark: SparkSession, docs: DataFrame, vocabulary: int = VOCABULARY, comm
     kept = _look_up(counts.withColumn("w", _word_of("key", "h")), "w", levels.drop("n"), top.drop("n"))
     totals = [df.select("key", F.col("n").alias("total")) for df in (levels, top)]
     kept = _look_up(kept, "h", *totals).withColumn("p", factor * F.col("n") / F.col("total"))
-    kept = materialize(spark, kept.select("key", "h", "w", "n", "p", "unigram"), "lm-kept")
+    kept, kept_path = _written(spark, kept.select("key", "h", "n", "p", "unigram"), "lm-kept")
+    _release(spark, counts_path)
     used = kept.groupBy(F.col("h").alias("key")).agg(F.sum("p").alias("used"), F.sum("unigram").alias("mass"))
     left = 1.0 - F.col("mass")
     alpha = F.when(F.col("mass").isNull(), 1.0).when(left > 1e-12, F.greatest(F.lit(1e-12), 1.0 - F.col("used")) / left).otherwise(1e-12)
@@ -205,9 +224,10 @@ def fit(spark: SparkSession, docs: DataFrame, vocabulary: int = VOCABULARY, comm
     table = _look_up(kept, "h", words.select("key", "alpha"), top.select("key", "alpha"))
     gain = F.log10("p") - F.log10("alpha") - F.log10("unigram")
     path = scratch_path(spark, "lm-model")
-    table = table.select("key", "h", "w", "n", "p", gain.alias("gain"), F.pmod("h", F.lit(PARTITIONS)).cast("int").alias("part"))
+    table = table.select("key", "h", "n", "p", gain.alias("gain"), F.pmod("h", F.lit(PARTITIONS)).cast("int").alias("part"))
     table.write.partitionBy("part").parquet(path)
     table = spark.read.schema(table.schema).parquet(path).drop("part")
+    _release(spark, kept_path)
     often = commonest(table, "n", common_pairs).select("key", "gain").toPandas().sort_values("key")
     known = commonest(words, "n", common_words).select("key", "n", _weight().alias("weight")).toPandas().sort_values("key")
     return Model(
@@ -264,26 +284,30 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
             base = np.bincount(words.doc[seen], logs, minlength=n) + np.log10(n_end + 1.0)
             if seen.any():
                 total += np.bincount(words.doc[seen], weights[at[seen]], minlength=n)
-            lists = [np.concatenate([[0], np.cumsum(np.bincount(d, minlength=n))]) for d in (pair_doc, words.doc[~seen])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(n)), b.column("doc_id"), pa.array(np.diff(words.first) + 1), pa.array(np.bincount(words.doc[seen], minlength=n)),
-                 pa.array(base), pa.array(total), rows_of_lists(pairs, lists[0]), rows_of_lists(hashes[~seen], lists[1])],
-                names=["row", "doc_id", "n_tokens", "known", "logs", "total", "pairs", "words"])
+            # A row for every text, then one for every pair and word that the cache lacks.
+            stats = pa.StructArray.from_arrays(
+                [b.column("doc_id"), pa.array(np.diff(words.first) + 1), pa.array(np.bincount(words.doc[seen], minlength=n)), pa.array(base), pa.array(total)],
+                names=["doc_id", "n_tokens", "known", "logs", "total"])
+            each = row + np.arange(n)
+            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(each), stats], names=["row", "key", "doc"])
+            key, doc = np.concatenate([pairs, hashes[~seen]]), np.concatenate([pair_doc, words.doc[~seen]])
+            yield pa.RecordBatch.from_arrays([pa.array(each[doc]), pa.array(key), pa.nulls(len(key), stats.type)], names=["row", "key", "doc"])
             row += n
 
-    schema = "row long, doc_id long, n_tokens long, known long, logs double, total double, pairs array<long>, words array<long>"
-    local = materialize(spark, docs.mapInArrow(run, schema), "lm-local")
-    gained = local.select("row", F.explode("pairs").alias("key")).join(m.table.select("key", "gain"), "key")
-    gained = gained.groupBy("row").agg(F.sum("gain").alias("gained"))
-    met = local.select("row", F.explode("words").alias("key")).join(m.words.select("key", "n", _weight().alias("weight")), "key").groupBy("row").agg(
-        F.count(F.lit(1)).alias("met"), F.sum(F.log10(F.col("n") + 1.0)).alias("met_logs"), F.sum("weight").alias("weights"))
+    schema = "row long, key long, doc struct<doc_id:long,n_tokens:long,known:long,logs:double,total:double>"
+    stored = m.table.select("key", F.col("gain").alias("value"), F.lit(None).cast("long").alias("n")).unionAll(m.words.select("key", _weight().alias("value"), "n"))
+    # Tokens that the model lacks go; the rows of the texts stay and take nothing from the tables.
+    met = docs.mapInArrow(run, schema).join(stored, "key", "left").where("doc is not null or value is not null")
+    token = F.col("doc").isNull()
+    out = met.groupBy("row").agg(
+        *(F.max(f"doc.{c}").alias(c) for c in ("doc_id", "n_tokens", "known", "logs", "total")),
+        F.count(F.when(token, F.col("n"))).alias("met"), F.sum(F.when(token, F.log10(F.col("n") + 1.0))).alias("met_logs"), F.sum(F.when(token, F.col("value"))).alias("gained"))
     per_token = float(np.log10(m.total + m.types + 1.0))
     zero = F.lit(0.0)
-    counted = F.col("known") + F.coalesce("met", F.lit(0))
-    out = local.drop("pairs", "words").join(gained, "row", "left").join(met, "row", "left")
+    counted = F.col("known") + F.col("met")
     return out.select(
         "doc_id", F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens",
         (counted + F.lit(1 if n_end else 0)).cast("long").alias("n_known"),
         F.lit(m.total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("met_logs", zero) - F.col("n_tokens") * per_token).alias("base_score"),
-        (F.col("total") + F.coalesce("gained", zero) + F.coalesce("weights", zero) + (F.col("n_tokens") - 1 - counted) * rare).alias("score"))
+        (F.col("total") + F.coalesce("gained", zero) + (F.col("n_tokens") - 1 - counted) * rare).alias("score"))
