@@ -5,7 +5,7 @@ placeholders, other words are lower-cased without the punctuation around them. W
 of WIDTH template words are joined by hash. Matches of a document and an item that lie
 on one diagonal must fill the slots consistently - one value of the item always stands
 for one value of the document - so a question with other numbers or names is caught
-and a coincidence of placeholders is not.
+and a coincidence of placeholders is not. Windows are matched word for word as well.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from harrow.llm.common import BROADCAST_BYTES, Words, hash_words, materialize, m
 WIDTH = 8
 #: Windows on one diagonal that make a match; shorter items need all of theirs.
 MIN_WINDOWS = 3
+#: One word in so many, over the windows of a diagonal, must be none of the placeholders.
+LITERAL_SHARE = 4
 
 #: Units of measure and money, as whole words.
 UNITS = (
@@ -67,22 +69,34 @@ class Templates:
         for mark, which in ((_NUMBER, number), (_UNIT, unit), (_NAME, name)):
             self.token[which] = mark
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, text and first word of every window of width words that is not mostly placeholders."""
+    def windows(self, width: int, opened: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, text, first word and number of leading words whose slots do not count, of every window of width words.
+
+        Windows with slots come as templates and word for word (no slot counts); with
+        opened, those that begin with a name also as if a sentence began there.
+        """
         n = max(0, len(self.token) - width + 1)
-        h = np.full(n, width, np.uint64)
+        h, literal = np.full(n, width, np.uint64), np.full(n, width + 1000, np.uint64)
         for k in range(width):
             h += self.token[k : k + n] * _PLACE[k]
+            literal += self.value[k : k + n] * _PLACE[k]
         doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         slots = np.concatenate([[0], np.cumsum(self.slot)])
-        ok = (slots[width : width + n] - slots[:n]) * 2 <= width
-        if n:
-            ok &= doc[width - 1 :] == doc[:n]
-        at = np.flatnonzero(ok)
-        return mix(h)[at], doc[at] if n else at, at
-
-    def slots_of(self, at: int, width: int) -> list[int]:
-        picked = self.value[at : at + width][self.slot[at : at + width]]
+        inside = doc[width - 1 :] == doc[:n] if n else np.zeros(0, bool)
+        every = np.flatnonzero(inside)
+        filled = np.flatnonzero(inside & (slots[width : width + n] > slots[:n]))
+        at, hashes, skip = [every, filled], [h[every], literal[filled]], [0, width]
+        if opened:
+            named = np.flatnonzero(inside & (self.token[:n] == _NAME))
+            at.append(named)
+            hashes.append(h[named] + (self.value[named] - _NAME) * _PLACE[0])
+            skip.append(1)
+        skip = np.repeat(skip, [len(x) for x in at])
+        at = np.concatenate(at)
+        return mix(np.concatenate(hashes)), doc[at] if n else at, at, skip
+
+    def slots_of(self, at: int, width: int, skip: int) -> list[int]:
+        picked = self.value[at + skip : at + width][self.slot[at + skip : at + width]]
         return picked.view(np.int64).tolist()
 
 
@@ -116,9 +130,9 @@ def _item_windows(items: DataFrame, width: int) -> DataFrame:
                 if not n or ids[d] is None:
                     continue
                 own = min(width, n)
-                h, doc, at = t.windows(own)
+                h, doc, at, skip = t.windows(own, False)
                 for i in np.flatnonzero(doc == d):
-                    for col, v in zip(out, (ids[d], int(at[i] - t.first[d]), own, int(h[i].view(np.int64)), t.slots_of(at[i], own)), strict=True):
+                    for col, v in zip(out, (ids[d], int(at[i] - t.first[d]), own, int(h[i].view(np.int64)), t.slots_of(at[i], own, skip[i])), strict=True):
                         col.append(v)
             yield _rows(*out)
 
@@ -134,15 +148,15 @@ def _document_windows(docs: DataFrame, widths: list[int], wanted) -> DataFrame:
             ids = b.column("doc_id").to_pylist()
             out = ([], [], [], [], [])
             for width in widths:
-                h, doc, at = t.windows(width)
+                h, doc, at, skip = t.windows(width, True)
                 h = h.view(np.int64)
                 if wanted is not None:
                     keys = wanted.value
                     hit = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h) if len(keys) else np.zeros(0, int)
-                    h, doc, at = h[hit], doc[hit], at[hit]
-                for x, d, i in zip(h.tolist(), doc.tolist(), at.tolist(), strict=True):
+                    h, doc, at, skip = h[hit], doc[hit], at[hit], skip[hit]
+                for x, d, i, k in zip(h.tolist(), doc.tolist(), at.tolist(), skip.tolist(), strict=True):
                     if ids[d] is not None:
-                        for col, v in zip(out, (ids[d], i - int(t.first[d]), width, x, t.slots_of(i, width)), strict=True):
+                        for col, v in zip(out, (ids[d], i - int(t.first[d]), width, x, t.slots_of(i, width, k)), strict=True):
                             col.append(v)
             yield _rows(*out)
 
@@ -173,11 +187,15 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width
     met = found.join(wins.select(F.col("id").alias("item_id"), "pos", "h", "width", "slots"), ["h", "width"])
     met = met.where(F.size("filled") == F.size("slots"))
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("slots", "filled"))))
+    # A match word for word needs no slots; a template match needs consistent ones and enough words that are none.
+    literal, words = F.sum(F.col("width") - F.size("slots")), F.sum("width")
     runs = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("diagonal")).agg(
-        F.count_distinct("pos").alias("n_windows"), pairs.alias("pairs"))
+        F.count_distinct("pos").alias("all"), F.count_distinct(F.when(F.size("slots") == 0, F.col("pos"))).alias("exact"),
+        (literal * LITERAL_SHARE >= words).alias("telling"), pairs.alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == F.size("pairs")
-    runs = runs.where(consistent).groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.max_by(F.size("pairs"), "n_windows").alias("n_slots"))
+    whole = consistent & F.col("telling")
+    runs = runs.select("doc_id", "item_id", F.when(whole, F.col("all")).otherwise(F.col("exact")).alias("n_windows"), F.when(whole, F.size("pairs")).otherwise(0).alias("filled"))
+    runs = runs.where("n_windows > 0").groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max_by("filled", "n_windows").alias("n_slots"))
     sizes = wins.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("item_windows"))
     out = runs.join(sizes, "item_id").where(F.col("n_windows") >= F.least(F.col("item_windows"), F.lit(min_windows)))
     return out.select("doc_id", "item_id", "n_windows", "item_windows", "n_slots")

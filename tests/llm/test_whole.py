@@ -4,7 +4,7 @@ import brute
 import pytest
 from test_operators import crc, found, katz
 
-from harrow.llm import lm
+from harrow.llm import decontam, lm
 
 
 def test_katz_words_beyond_the_bounds(spark, docs, rows, monkeypatch):
@@ -19,3 +19,20 @@ def test_katz_words_beyond_the_bounds(spark, docs, rows, monkeypatch):
     for i, t in rows:
         assert got[i]["score"] == pytest.approx(want[i], rel=1e-6)
         assert got[i]["n_known"] == sum(w in count for w in [*brute.words_of(t), "</s>"])
+
+
+def test_leaks_of_items_full_of_placeholders(spark):
+    """Items of mostly numbers, units and names are found, word for word and with other values; so are quoted ones."""
+    items = [
+        (1, "Convert 5 km to 12 miles"), (2, "Alice ran 12 km Monday, Bob ran 9 km Tuesday, Carol ran 7 km Friday; total km?"),
+        (3, "Anna Bert Carl Dora Emil Fritz Gerd Hans Ida Jan"), (4, "What is the capital city of the northern province"),
+        (5, "What is the sum of 12 and 30 then"),
+    ]
+    texts = [
+        (1, "they said Convert 5 km to 12 miles today"), (2, "so, Alice ran 12 km Monday, Bob ran 9 km Tuesday, Carol ran 7 km Friday; total km? yes"),
+        (3, "list: Anna Bert Carl Dora Emil Fritz Gerd Hans Ida Jan"), (4, 'asked, "What is the capital city of the northern province"'),
+        (5, "asked, What is the sum of 17 and 44 then"), (6, "list: Xaver Yann Zoe Ulla Tom Sven Rita Quin Paul Otto"), (7, "please convert 8 km to 3 miles"),
+    ]
+    df, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(spark, df, benchmark).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (7, 1)}
