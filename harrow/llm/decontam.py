@@ -189,15 +189,28 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("slots", "filled"))))
     # A match word for word needs no slots; a template match needs consistent ones and enough words that are none.
     literal, words = F.sum(F.col("width") - F.size("slots")), F.sum("width")
+    # Windows of mostly placeholders do not spoil the others: those alone are a match as well.
+    sparse = F.size("slots") * 2 <= F.col("width")
+    few = F.array_distinct(F.flatten(F.collect_list(F.when(sparse, F.arrays_zip("slots", "filled")))))
     runs = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("diagonal")).agg(
         F.count_distinct("pos").alias("all"), F.count_distinct(F.when(F.size("slots") == 0, F.col("pos"))).alias("exact"),
-        (literal * LITERAL_SHARE >= words).alias("telling"), pairs.alias("pairs"))
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == F.size("pairs")
-    whole = consistent & F.col("telling")
-    runs = runs.select("doc_id", "item_id", F.when(whole, F.col("all")).otherwise(F.col("exact")).alias("n_windows"), F.when(whole, F.size("pairs")).otherwise(0).alias("filled"))
-    runs = runs.where("n_windows > 0").groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max_by("filled", "n_windows").alias("n_slots"))
-    sizes = wins.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("item_windows"))
-    out = runs.join(sizes, "item_id").where(F.col("n_windows") >= F.least(F.col("item_windows"), F.lit(min_windows)))
+        (literal * LITERAL_SHARE >= words).alias("telling"), pairs.alias("pairs"),
+        F.count_distinct(F.when(sparse, F.col("pos"))).alias("sparse"), few.alias("few"))
+
+    def consistent(col):
+        return F.size(F.array_distinct(F.transform(col, lambda p: p["slots"]))) == F.size(col)
+
+    whole, some = consistent("pairs") & F.col("telling"), consistent("few") & (F.col("sparse") > F.col("exact"))
+    runs = runs.select(
+        "doc_id", "item_id", F.when(consistent("few"), F.col("sparse")).otherwise(0).alias("sparse"),
+        F.when(whole, F.col("all")).when(some, F.col("sparse")).otherwise(F.col("exact")).alias("n_windows"),
+        F.when(whole, F.size("pairs")).when(some, F.size("few")).otherwise(0).alias("filled"))
+    runs = runs.where("n_windows > 0").groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max_by("filled", "n_windows").alias("n_slots"), F.max("sparse").alias("sparse"))
+    crowded = wins.where(F.size("slots") * 2 > F.col("width")).groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("crowded"))
+    sizes = wins.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("item_windows")).join(crowded, "item_id", "left")
+    others = F.col("item_windows") - F.coalesce("crowded", F.lit(0))
+    enough = F.col("n_windows") >= F.least(F.col("item_windows"), F.lit(min_windows))
+    out = runs.join(sizes, "item_id").where(enough | (others > 0) & (F.col("sparse") >= F.least(others, F.lit(min_windows))))
     return out.select("doc_id", "item_id", "n_windows", "item_windows", "n_slots")
 
 

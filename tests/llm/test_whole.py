@@ -36,3 +36,10 @@ def test_leaks_of_items_full_of_placeholders(spark):
     df, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(spark, df, benchmark).collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (7, 1)}
+
+
+def test_leaks_survive_an_inconsistent_window_of_placeholders(spark):
+    item = "a train travels 9 miles and then turns back home again to rest 5 km 6 kg 5 lb 8 oz"
+    text = "a train travels 7 miles and then turns back home again to rest 5 km 6 kg 9 lb 8 oz"
+    df, benchmark = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontam.find_leaks(spark, df, benchmark).count() == 1
