@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -85,6 +86,56 @@ def test_context_discovers_and_redacts(spark, empty):
     assert out[100]["text"] == "hello there contact: <context> thanks"
     assert out[0]["text"] == "hello there contact: <email> thanks"
     assert pii.digest(spark, empty).count() == 0
+    # The two ways of applying the patterns agree: as a table in the tasks, and by a join.
+    joined = found(pii.digest(spark, df, limit=0))
+    assert {i: r["spans"] for i, r in joined.items()} == {i: r["spans"] for i, r in got.items()}
+
+
+SECRET = re.compile(r'token = "([0-9a-f]{40})"|password=([0-9a-f]{18})|(AKIA[0-9A-Z]{16})')
+
+
+def test_context_finds_planted_secrets(spark):
+    """Over a whole table: every secret, and nothing else but runs of 16 digits, which cards have as well."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    planted = {(i, *m.span(m.lastindex)) for i, t in texts.items() for m in SECRET.finditer(t)}
+    contexts = {(i, *map(int, s.split(":")[1:])) for i, r in found(pii.digest(spark, docs)).items() for s in r["spans"].split(",") if s.startswith("context")}
+    assert len(planted) > 10 and planted <= contexts
+    assert all(re.fullmatch("[0-9]{16}", texts[i][a:b]) for i, a, b in contexts - planted)
+
+
+def test_shapes_of_seeds_are_found_without_a_cue(spark):
+    """Seeds teach the shape of their values: one that no word announces is found, another shape is not."""
+    digits = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(14)]
+    rows = [(i, f'settings{i} token = "{d}" more{i} words') for i, d in enumerate(digits[:12])]
+    rows += [(50, f"plainly {digits[12]} here"), (51, f"plainly {digits[13][:30]} here")]
+    got = found(pii.digest(spark, spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[50]["spans"] == "context:8:48" and got[51]["spans"] == ""
+
+
+def redacted(text, spans):
+    out, at = "", 0
+    for kind, a, b in ((k, int(a), int(b)) for k, a, b in (s.split(":") for s in spans.split(",") if s)):
+        if a >= at:
+            out += text[at:a] + f"<{kind}>"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_redact(spark, edges):
+    """Texts of every kind, one with thousands of hits, and columns of any name."""
+    many = " ".join(f"é{i} u{i}@mail.example.org and 10.0.{i % 256}.7 or +44 20 7946 {i:04d}" for i in range(3000))
+    df = edges.unionByName(spark.createDataFrame([(910000, many, "en")], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    df = df.withColumn("n_chars", F.lit(-1))
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest(spark, df).collect()}
+    assert spans[910000].count(",") == 8999
+    out = pii.redact(spark, df)
+    assert out.columns == df.columns and out.count() == df.count()
+    after = found(out)
+    for r in df.collect():
+        want = r["text"] if not spans[r["doc_id"]] else redacted(r["text"], spans[r["doc_id"]])
+        assert after[r["doc_id"]]["text"] == want
+        assert after[r["doc_id"]]["n_chars"] == (len(want) if spans[r["doc_id"]] else -1)
 
 
 # ---- 3, 4, 7 tokens
