@@ -1,23 +1,30 @@
 """Language identification: known words first, ever shorter character n-grams for the others.
 
-The model holds, per language, how often each word and each n-gram of ORDERS characters
-occurs in the training texts. A known word scores its log frequency in every language;
-an unseen one scores the mean over its longest n-grams of which any is known. A text's
-score is the sum over its words. Words are runs of letters, lower-cased.
+The model is a stored table of every word and every n-gram of ORDERS characters of the
+training texts, with its log frequency in each language. A known word scores its log
+frequency in every language; an unseen one scores the mean over its longest n-grams of
+which any is known. A text's score is the sum over its words. Words are runs of letters,
+lower-cased.
+
+Tasks hold the commonest entries as a cache. A word that the cache lacks is looked up in
+the table by a join, once however often it occurs, and what is no word there goes
+through the n-grams order by order; the texts then take its score by the word's hash. So
+the cache changes no result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.common import _BASE, _INVERSE, SLICE_BYTES, crc_remainder, materialize, mix, powers, slices
+from harrow.llm.common import _BASE, _INVERSE, SLICE_BYTES, commonest, crc_remainder, materialize, mix, powers, slices
 
 ORDERS = (4, 3, 2, 1)
-#: The model keeps the commonest words and n-grams of each order, so many at most: its size is bounded.
-MODEL_ENTRIES = 60_000
+#: Words, and n-grams of each order, that tasks hold as a cache; no bound of the model.
+CACHE_ENTRIES = 100_000
 #: A language's texts count with at least this many smoothed occurrences for an entry that it lacks.
 SMOOTH = 0.5
 
@@ -42,7 +49,8 @@ class LetterRuns:
 
     def __init__(self, texts: list):
         lowered = [(t or "").lower() for t in texts]
-        chars = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.text = "\n".join(lowered)
+        chars = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(t) + 1 for t in lowered], np.int64)
         inside = _letters()[chars]
         edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
@@ -104,112 +112,134 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind int, lang string, h long, n long").groupBy("kind", "lang", "h").agg(F.sum("n").alias("n"))
 
 
-def _commonest(spark: SparkSession, counts: DataFrame, entries: int) -> DataFrame:
-    """The counts of each kind's commonest entries: as many whole frequency classes as fit into entries."""
-    per_entry = materialize(spark, counts.groupBy("kind", "h").agg(F.sum("n").alias("all")), "langid-entries")
-    bucket = F.floor(F.log2("all") * 16).alias("b")  # at most 1024 frequency classes a kind
-    classes = per_entry.groupBy("kind", bucket).agg(F.count(F.lit(1)).alias("k")).collect()
-    cuts = {}
-    for kind in {r["kind"] for r in classes}:
-        total = 0
-        for r in sorted((r for r in classes if r["kind"] == kind), key=lambda r: -r["b"]):
-            total += r["k"]
-            if total > entries:
-                break
-            cuts[kind] = r["b"]
-    keep = [(F.col("kind") == k) & (F.floor(F.log2("all") * 16) >= b) for k, b in cuts.items()]
-    if not keep:
-        return counts.limit(0)
-    chosen = keep[0]
-    for k in keep[1:]:
-        chosen = chosen | k
-    return counts.join(F.broadcast(per_entry.where(chosen).select("kind", "h")), ["kind", "h"])
+class Model:
+    """langs in order; table (kind, h, all, logs) of all entries (kind 0: words, else the order), stored by kind; keys and logs of the cached ones."""
 
+    def __init__(self, spark: SparkSession, langs: list[str], table: DataFrame, entries: int):
+        self.spark, self.langs, self.table = spark, langs, table
+        self.cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for kind in (0, *ORDERS) if langs else ():
+            rows = commonest(table.where(F.col("kind") == kind), "all", entries).select("h", "logs").toArrow()
+            keys = rows["h"].to_numpy()
+            order = np.argsort(keys)
+            self.cache[kind] = keys[order], np.asarray(rows["logs"].combine_chunks().flatten(), np.float32).reshape(len(keys), len(langs))[order]
 
-class Model:
-    """Sorted hashes and log frequencies of each kind; bounded by MODEL_ENTRIES, sent to the tasks."""
-
-    def __init__(self, langs: list[str], totals: dict, rows):
-        self.langs = langs
-        self.keys, self.logs = {}, {}
-        column = {lang: i for i, lang in enumerate(langs)}
-        for kind, part in rows.groupby("kind"):
-            keys, back = np.unique(part["h"].to_numpy(), return_inverse=True)
-            n = np.full((len(keys), len(langs)), SMOOTH)
-            np.add.at(n, (back, part["lang"].map(column).to_numpy()), part["n"].to_numpy())
-            self.keys[kind] = keys
-            self.logs[kind] = np.log(n / np.array([totals.get((kind, lang), 0) + SMOOTH * len(keys) + 1.0 for lang in langs])).astype(np.float32)
-
-    def _find(self, kind: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = self.keys.get(kind, np.zeros(0, np.int64))
-        if not len(keys):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return at, keys[at] == h
-
-    def score(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log frequencies per text and language, and whether the text has a letter."""
-        runs = LetterRuns(texts)
-        words, at, back = np.unique(runs.hash, return_index=True, return_inverse=True)
-        table = np.zeros((len(words), len(self.langs)), np.float32)
-        place, known = self._find(0, words)
-        if known.any():
-            table[known] = self.logs[0][place[known]]
-        open_ = np.flatnonzero(~known)
-        for order in ORDERS:
-            if not len(open_):
-                break
-            h, of = runs.grams(at[open_], order)
-            place, known = self._find(order, h)
-            if known.any():
-                n = np.bincount(of[known], minlength=len(open_))
-                some = n > 0
-                for k in range(len(self.langs)):
-                    sums = np.bincount(of[known], self.logs[order][place[known], k], minlength=len(open_))
-                    table[open_[some], k] = sums[some] / n[some]
-                open_ = open_[~some]
-        out = np.zeros((len(texts), len(self.langs)))
-        for k in range(len(self.langs)):
-            total = np.concatenate([[0.0], np.cumsum(table[back, k], dtype=np.float64)])
-            out[:, k] = total[runs.first[1:]] - total[runs.first[:-1]]
-        return out, np.diff(runs.first) > 0
-
-
-def fit(spark: SparkSession, docs: DataFrame, entries: int = MODEL_ENTRIES) -> Model:
-    """Counts over all texts of docs(text, lang) with a lang."""
+
+def _cached(cache: dict, kind: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the cache and which of h are there."""
+    keys = cache[kind][0]
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
+def fit(spark: SparkSession, docs: DataFrame, entries: int = CACHE_ENTRIES) -> Model:
+    """Counts over all texts of docs(text, lang) with a lang. The driver holds a number per language and kind."""
     counts = materialize(spark, _counted(docs.where("lang is not null").select("text", "lang")), "langid-counts")
     totals = {(r["kind"], r["lang"]): r["n"] for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
-    rows = _commonest(spark, counts, entries).toPandas()
-    return Model(sorted({lang for _, lang in totals}), totals, rows)
+    langs = sorted({lang for _, lang in totals})
+    each = counts.groupBy("kind", "h").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("of"))
+    each = materialize(spark, each, "langid-entries")
+    kinds = {r["kind"]: r["count"] for r in each.groupBy("kind").count().collect()}
+
+    def logs(kind: int) -> Column:
+        seen = [F.coalesce(F.col("of")[lang], F.lit(0)) + SMOOTH for lang in langs]
+        return F.array(*(F.log(n / F.lit(totals.get((kind, lang), 0) + SMOOTH * kinds[kind] + 1.0)).cast("float") for lang, n in zip(langs, seen, strict=True)))
+
+    chosen = F.lit(None).cast("array<float>")
+    for kind in kinds:
+        chosen = F.when(F.col("kind") == kind, logs(kind)).otherwise(chosen)
+    table = materialize(spark, each.select("kind", "h", "all", chosen.alias("logs")), "langid-model")
+    return Model(spark, langs, table, entries)
+
+
+def _mean(column: str, n: int) -> Column:
+    return F.array(*(F.avg(F.col(column)[i]) for i in range(n))).cast("array<double>")
+
+
+def _open_words(model: Model, words: DataFrame) -> DataFrame:
+    """(h, logs) for words(h, word) that the cache lacks: from the table, else by n-grams of the longest order that is known. Words without any are left out."""
+    spark, n = model.spark, len(model.langs)
+    table = model.table.select("kind", F.col("h").alias("key"), "logs")
+    found = words.join(table.where("kind = 0"), F.col("h") == F.col("key"), "left").select("h", "word", F.col("logs").cast("array<double>").alias("logs"))
+    found = materialize(spark, found, "langid-words")
+    out, left = found.where("logs is not null").select("h", "logs"), found.where("logs is null").select("h", "word")
+    for order in ORDERS:
+        def grams(batches, order=order):
+            for b in batches:
+                runs = LetterRuns(b.column("word").to_pylist())
+                g, of = runs.grams(np.arange(len(runs.start)), order)
+                yield pa.RecordBatch.from_arrays([b.column("h").take(pa.array(of)), pa.array(g)], names=["h", "key"])
+
+        scored = left.mapInArrow(grams, "h long, key long").join(table.where(F.col("kind") == order), "key")
+        scored = materialize(spark, scored.groupBy("h").agg(_mean("logs", n).alias("logs")), "langid-grams")
+        out = out.unionAll(scored)
+        left = left.join(scored.select("h"), "h", "left_anti")
+    return out
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of docs(doc_id, text): the likeliest language and its share."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark, n = model.spark, len(model.langs)
+    if not model.langs:
+        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = spark.sparkContext.broadcast(model.cache)
 
     def run(batches):
-        m = shared.value
+        cache = shared.value
+        row = TaskContext.get().partitionId() << 36
         for b in slices(batches):
-            if not m.langs:
-                names, share = ["und"] * b.num_rows, np.zeros(b.num_rows)
-            else:
-                logs, some = m.score(b.column("text").to_pylist())
-                weight = np.exp(logs - logs.max(axis=1, keepdims=True))
-                best = logs.argmax(axis=1)
-                share = np.where(some, weight.max(axis=1) / weight.sum(axis=1), 0.0)
-                names = [m.langs[k] if s else "und" for k, s in zip(best, some, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(share)], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-
-
-def identify(spark: SparkSession, docs: DataFrame, entries: int = MODEL_ENTRIES) -> DataFrame:
+            texts = b.column("text").to_pylist()
+            runs = LetterRuns(texts)
+            words, first, back = np.unique(runs.hash, return_index=True, return_inverse=True)
+            place, known = _cached(cache, 0, words)
+            table = np.zeros((len(words), n))
+            table[known] = cache[0][1][place[known]]
+            sums = np.zeros((len(texts), n))
+            for k in range(n):
+                total = np.concatenate([[0.0], np.cumsum(table[back, k])])
+                sums[:, k] = total[runs.first[1:]] - total[runs.first[:-1]]
+            each = row + np.arange(len(texts))
+            # A row for every text, then one for every text and word that the cache lacks.
+            logs = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(texts) + 1, n, dtype=np.int32)), pa.array(sums.ravel()))
+            some = pa.array(np.diff(runs.first) > 0)
+            none = pa.nulls(len(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(each), b.column("doc_id"), some, logs, none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.string())], names=MET)
+            doc = np.repeat(np.arange(len(texts)), np.diff(runs.first))
+            rest = ~known[back]
+            pair, times = np.unique(doc[rest] * len(words) + back[rest], return_counts=True)
+            word = pair % max(1, len(words))
+            names = [runs.text[runs.start[i] : runs.end[i]] for i in first[word].tolist()]
+            none = pa.nulls(len(pair))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(each[pair // max(1, len(words))]), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(logs.type), pa.array(words[word]), pa.array(times.astype(np.int64)), pa.array(names, pa.string())], names=MET)
+            row += len(texts)
+
+    met = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, some boolean, logs array<double>, h long, n long, word string")
+    met = materialize(spark, met, "langid-texts")
+    words = met.where("h is not null").groupBy("h").agg(F.min("word").alias("word"))
+    opened = _open_words(model, words)
+    gained = met.where("h is not null").select("row", "h", "n").join(opened, "h").groupBy("row").agg(F.array(*(F.sum(F.col("logs")[i] * F.col("n")) for i in range(n))).alias("more"))
+    both = met.where("h is null").select("row", "doc_id", "some", "logs").join(gained, "row", "left")
+    total = F.when(F.col("more").isNull(), F.col("logs")).otherwise(F.zip_with("logs", "more", lambda a, b: a + b))
+    both = both.select("doc_id", "some", total.alias("total")).withColumn("top", F.array_max("total"))
+    share = 1.0 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
+    name = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("total", F.col("top")).cast("int"))
+    return both.select("doc_id", F.when(F.col("some"), name).otherwise("und").alias("lang_pred"), F.when(F.col("some"), share).otherwise(0.0).alias("score"))
+
+
+MET = ["row", "doc_id", "some", "logs", "h", "n", "word"]
+
+
+def identify(spark: SparkSession, docs: DataFrame, entries: int = CACHE_ENTRIES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs(doc_id, text, lang, ...).
 
     Learns from rows that have a lang and are not held out (crc32(doc_id as text) mod 3
     = 1). Equal scores go to the language that sorts first. A text that is null or has
     no letter is 'und' with score 0, as is everything if no row has a lang. A null
-    doc_id is held out of nothing. Other columns are ignored.
+    doc_id is held out of nothing. Other columns are ignored. entries bounds the cache
+    of the tasks only.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     held = F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter, defaultdict
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -62,3 +64,42 @@ def near_duplicates(rows, width: int) -> dict:
     links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     component = smallest_reachable(ids, links)
     return {i: (len(sets[i]), component[i]) for i in ids}
+
+
+def language_model(train):
+    """score(text) = (language, share) by words first and n-grams of 4 to 1 characters, from (text, lang) pairs."""
+    n, totals = defaultdict(Counter), Counter()
+    for text, lang in train:
+        for word in letter_runs(text):
+            for kind in (0, 4, 3, 2, 1):
+                for part in [word] if kind == 0 else [word[i : i + kind] for i in range(len(word) - kind + 1)]:
+                    n[kind, part][lang] += 1
+                    totals[kind, lang] += 1
+    langs = sorted({lang for _, lang in totals})
+    entries = Counter(kind for kind, _ in n)
+
+    def logs(kind, part):
+        return [math.log((n[kind, part][x] + 0.5) / (totals[kind, x] + 0.5 * entries[kind] + 1)) for x in langs]
+
+    def word_score(word):
+        if (0, word) in n:
+            return logs(0, word)
+        for kind in (4, 3, 2, 1):
+            known = [logs(kind, g) for g in (word[i : i + kind] for i in range(len(word) - kind + 1)) if (kind, g) in n]
+            if known:
+                return [sum(x) / len(known) for x in zip(*known, strict=True)]
+        return [0.0] * len(langs)
+
+    def score(text):
+        words = letter_runs(text)
+        if not words or not langs:
+            return "und", 0.0
+        total = [sum(x) for x in zip(*map(word_score, words), strict=True)]
+        share = 1 / sum(math.exp(x - max(total)) for x in total)
+        return langs[total.index(max(total))], share
+
+    return score
+
+
+def letter_runs(text):
+    return [w for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ") if w]

@@ -290,6 +290,18 @@ def test_language_held_out(spark, docs, edges, empty):
     assert langid.identify(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("entries", [40, langid.CACHE_ENTRIES])
+def test_language_against_brute_force(spark, docs, edges, entries):
+    """However little the tasks hold, every word and n-gram of the training texts counts."""
+    table = docs.select("doc_id", "text", "lang").unionByName(edges.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang"))
+    rows = [tuple(r) for r in table.collect()]
+    score = brute.language_model([(t, x) for i, t, x in rows if x is not None and crc(i, 3) != 1])
+    got = found(langid.identify(spark, table, entries))
+    for i, t, _ in rows:
+        lang, share = score(t)
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(share, abs=1e-3)
+
+
 def test_language_backs_off_to_shorter_grams(spark):
     rows = [(i, "zapzapzap" if i % 2 else "bolobolo", "xx" if i % 2 else "yy") for i in range(60)]
     df = spark.createDataFrame([*rows, (1000, "bolzap zapzap", None), (1001, "olobol", None)], "doc_id long, text string, lang string")
