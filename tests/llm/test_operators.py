@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -191,6 +192,30 @@ def test_byte_bpe(spark, docs, rows, edges, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_byte_bpe_of_long_runs():
+    """Pre-tokens of 10,000 characters of many kinds, one by one and together, as the library has them and in about a second."""
+    import random
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(7)
+    draw = lambda parts, n=10_000: "".join(r.choice(parts) for _ in range(n))
+    runs = [
+        draw("abcdefghijklmnopqrstuvwxyz"), draw("abcXYZtheTHE"), draw("0123456789"), draw("!?#=-*./\\"), draw("漢字語文", 3000), draw(["the", "ing", "tion", "er"], 4000),
+        draw("aab"), "x" * 10_000, "ab" * 5000, "-" * 9_999, "=" * 401, " " * 5000, "\n" * 5000, "é" * 3000, "😀😃" * 1000, draw("aA", 450)]
+    bpe_ = bpe.Bpe(path)
+    for words in (*([x] for x in runs), runs):
+        began = time.perf_counter()
+        ids = bpe_._query_long([x.encode() for x in words])["ids"].to_pylist()
+        assert time.perf_counter() - began < 10 * len(words)
+        assert ids == [list(library._encode_single_piece(x.encode())) for x in words]
+    short = [x[:300] for x in runs]
+    assert bpe_._query([x.encode() for x in short])["ids"].to_pylist() == [list(library._encode_single_piece(x.encode())) for x in short]
+
+
 # ---- 5 language model
 
 
