@@ -66,29 +66,36 @@ def commonest(counts: DataFrame, n: str, entries: int) -> DataFrame:
 def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge.
 
-    Minimum labels travel over the edges and along the labels themselves (pointer
-    jumping), so rounds grow with the logarithm of a component's diameter. Every
-    round is a written table. Self loops and repeated edges are harmless; edges with
-    a null end are ignored; no edges give no rows.
+    Every node points to its smallest neighbour, if that is smaller. Pointers are
+    followed to the roots by jumping, which doubles the way each time, so long chains
+    take a logarithm of their length. Then roots take the place of their nodes in the
+    edges, and what is left of these goes through the same again: every root that still
+    has a neighbour meets a smaller one or is met. Every step is a written table. Self
+    loops and repeated edges are harmless; edges with a null end are ignored; no edges
+    give no rows.
     """
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     both = materialize(spark, both.union(both.select("dst", "src")).distinct(), "cc-edges")
-    labels = materialize(
-        spark,
-        both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component")),
-        "cc-labels",
-    )
+    labels = None
     while True:
-        heard = both.join(labels, both.src == labels.node).select(F.col("dst").alias("node"), "component")
-        step = labels.union(heard).groupBy("node").agg(F.min("component").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("component").alias("lower"))
-        old = labels.select("node", F.col("component").alias("was"))
-        step = materialize(spark, step, "cc-step")
-        nxt = step.join(up, "low").join(old, "node").select("node", F.least("low", "lower").alias("component"), "was")
-        nxt = materialize(spark, nxt, "cc-labels")
-        labels = nxt.select("node", "component")
-        if nxt.where("component <> was").isEmpty():
+        up = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("low"))
+        up = materialize(spark, up, "cc-pointers")
+        while True:
+            over = up.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+            nxt = materialize(spark, up.join(over, "low").select("node", F.col("lower").alias("low"), (F.col("lower") < F.col("low")).alias("moved")), "cc-pointers")
+            up = nxt.select("node", "low")
+            if nxt.where("moved").isEmpty():
+                break
+        if labels is None:
+            labels = up.select("node", F.col("low").alias("component"))
+        else:
+            above = up.select(F.col("node").alias("component"), "low")
+            labels = materialize(spark, labels.join(above, "component", "left").select("node", F.coalesce("low", "component").alias("component")), "cc-labels")
+        ends = [up.select(F.col("node").alias(end), F.col("low").alias(f"low_{end}")) for end in ("src", "dst")]
+        both = both.join(ends[0], "src").join(ends[1], "dst").where("low_src <> low_dst").select(F.col("low_src").alias("src"), F.col("low_dst").alias("dst")).distinct()
+        both = materialize(spark, both, "cc-edges")
+        if both.isEmpty():
             return labels
 
 
