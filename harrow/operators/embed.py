@@ -30,12 +30,17 @@ def top_items(users: DataFrame, items: DataFrame, n: int, user_block: int = 1024
 
     pairs = packed(users, user_block, "us").crossJoin(packed(items, item_block, "vs"))
 
+    def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        # Straight from the Arrow buffers: no Python object per number.
+        ids, vecs = rows.flatten()
+        return ids.to_numpy(), vecs.flatten().to_numpy().reshape(len(ids), -1)
+
     def run(batches):
         for b in batches:
-            for us, vs in zip(b.column("us").to_pylist(), b.column("vs").to_pylist(), strict=True):
-                uid, iid = np.array([x["id"] for x in us]), np.array([x["id"] for x in vs])
+            for us, vs in zip(b.column("us"), b.column("vs"), strict=True):
+                (uid, x), (iid, y) = (unpacked(side.values) for side in (us, vs))
                 order = np.argsort(iid)
-                s = np.array([x["vec"] for x in us]) @ np.array([x["vec"] for x in vs])[order].T
+                s = x @ y[order].T
                 k = min(n, s.shape[1])
                 best = np.argsort(-np.round(s, 6), axis=1, kind="stable")[:, :k]
                 yield pa.RecordBatch.from_arrays(
@@ -50,6 +55,40 @@ def mean_vector(vectors: DataFrame) -> DataFrame:
     return each.agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("l")).select(F.col("l.x").alias("vec"))
 
 
+def with_default(vectors: DataFrame) -> DataFrame:
+    """vectors(id, vec) with the mean of the others under id 0."""
+    mean = mean_vector(vectors).select(F.lit(0).cast(vectors.schema["id"].dataType).alias("id"), "vec")
+    return vectors.where("id <> 0").unionByName(mean)
+
+
+def default_items(users: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """(i, rank): the n best items of the mean user, what unknown users get."""
+    mean = mean_vector(users).select(F.lit(0).cast("long").alias("id"), "vec")
+    return top_items(mean, items, n).select("i", F.col("rk").alias("rank"))
+
+
+def pair_scores(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """pairs(u, pos, neg, ...) with pos_score and neg_score, the dot products of the user with either item."""
+    def side(name: str) -> DataFrame:
+        return items.select(F.col("id").alias(name), F.col("vec").alias(f"__{name}"))
+
+    out = pairs.join(users.select(F.col("id").alias("u"), F.col("vec").alias("__u")), "u").join(side("pos"), "pos").join(side("neg"), "neg")
+    return out.select(*pairs.columns, dot("__u", "__pos").alias("pos_score"), dot("__u", "__neg").alias("neg_score"))
+
+
+def list_scores(rows: DataFrame, users: DataFrame, items: DataFrame, shares: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """(u, i, logits, target) for rows(u, i, batch): a user's scores with all items of the batch, corrected by shares(i, share).
+
+    A batch is a bounded list, in order of (u, i); target is the own item's place in it, from 0.
+    """
+    each = rows.join(items.select(F.col("id").alias("i"), F.col("vec").alias("v")), "i").join(shares, "i")
+    batch = each.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("u", "i", "v", "share"))).alias("all"))
+    own = rows.join(users.select(F.col("id").alias("u"), F.col("vec").alias("a")), "u").join(batch, "batch")
+    logits = F.transform("all", lambda x: dot("a", x["v"]))
+    target = F.array_position(F.transform("all", lambda x: F.struct(x["u"], x["i"])), F.struct("u", "i")) - 1
+    return own.select("u", "i", adjusted_logits(logits, F.transform("all", lambda x: x["share"]), temperature).alias("logits"), target.alias("target"))
+
+
 def normalized(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", unit("vec").alias("vec"))
 

@@ -123,9 +123,32 @@ def build(data: DataFrame, mapping: DataFrame, key: str, id_col: str, config: En
     return out, index
 
 
+def hash_value_index(data: DataFrame, cols: tuple[str, ...], n_bins: int = vocab.DEFAULT_BINS, seed: int = 42) -> DataFrame:
+    """(col, value, idx): the bin of every distinct value of each column."""
+    out = None
+    for c in cols:
+        values = data.select(F.col(c).cast("string").alias("value")).where("value is not null").distinct()
+        part = values.select(F.lit(c).alias("col"), "value", vocab.hash_ids(c, F.col("value"), n_bins, seed).alias("idx"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def update_hash_index(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Union of two value indexes; the newer entry of a value wins."""
+    return new.unionByName(old.join(new.select("col", "value"), ["col", "value"], "left_anti").select(*new.columns))
+
+
 def hash_features(data: DataFrame, key: str, feature: str, cols: tuple[str, ...], n_bins: int = vocab.DEFAULT_BINS, seed: int = 42, existing: DataFrame | None = None) -> DataFrame:
-    """(id, cols...) by hashed id: hashed values; of colliding entities the last in sorted order, new rows before existing ones."""
-    hashed = data.select(vocab.hash_ids(feature, F.col(key), n_bins, seed).alias("id"), F.col(key).cast("string").alias("__k"), *(vocab.hash_ids(c, F.col(c), n_bins, seed).alias(c) for c in cols))
+    """(id, cols...) by hashed id: hashed values; of colliding entities the last in sorted order, new rows before existing ones.
+
+    Every distinct value is hashed once, then joined. Values that are null have bin 0.
+    """
+    _needs(data, (key, *cols))
+    own = vocab.hash_mapping(data.select(F.col(key).cast("string").alias("__k")), "__k", feature, n_bins, seed)
+    hashed = data.select(F.col(key).cast("string").alias("__k"), *(F.col(c).cast("string").alias(c) for c in cols)).join(own, "__k")
+    for c in cols:
+        index = hash_value_index(data, (c,), n_bins, seed).select(F.col("value").alias(c), F.col("idx").alias("__idx"))
+        hashed = hashed.join(index, c, "left").withColumn(c, F.coalesce("__idx", F.lit(0))).drop("__idx")
     out = hashed.groupBy("id").agg(*(F.max_by(c, "__k").alias(c) for c in cols))
     if existing is not None:
         out = out.unionByName(existing.join(out.select("id"), "id", "left_anti").select("id", *cols))
@@ -144,6 +167,15 @@ def override(features: DataFrame, values: dict, index: DataFrame | None = None)
     return features
 
 
+def inputs(rows: DataFrame, features: DataFrame, key: str, id_col: str, prefix: str = "") -> DataFrame:
+    """rows with the features of the id in key; an id that the table features(id_col, ...) lacks has those of id 0."""
+    cols = [c for c in features.columns if c != id_col]
+    default = features.where(F.col(id_col) == 0).select(*(F.col(c).alias(f"__{c}") for c in cols))  # one row
+    own = features.select(F.col(id_col).alias("__id"), *(F.col(c).alias(f"__own_{c}") for c in cols))
+    out = rows.join(own, F.col(key) == F.col("__id"), "left").join(F.broadcast(default), how="left")
+    return out.select(*rows.columns, *(F.when(F.col("__id").isNull(), F.col(f"__{c}")).otherwise(F.col(f"__own_{c}")).alias(prefix + c) for c in cols))
+
+
 def sequence_features(sequences: DataFrame, items: DataFrame, col: str, key: str = "u") -> DataFrame:
     """(key, seq_<col>): the feature of each element of seq, in order, from items(i, col)."""
     each = sequences.select(key, F.posexplode("seq").alias("pos", "i")).join(items.select("i", col), "i", "left")

@@ -6,12 +6,16 @@ import json
 import time
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.operators import features, history, metrics, sampling, serve, similarity, validate, vocab
+from harrow.operators import features, history, metrics, serve, similarity, training, validate, vocab
 from harrow.sources.scratch import stored
 
+#: The tables of a DataInfo.
+INFO_PARTS = ("users", "items", "user_consumed", "item_consumed", "popular")
+
 
 @dataclass
 class DataInfo:
@@ -89,10 +93,15 @@ class Dataset:
         self.features = {}
 
     @staticmethod
-    def for_retrain(model: "CfModel", **options) -> "Dataset":
-        if model.info.n_hash_bins:
+    def for_retrain(trained: "CfModel | HashDataset", **options) -> "Dataset":
+        """A dataset that goes on from a similarity model, or from the hashed dataset of another kind of model."""
+        if isinstance(trained, HashDataset):
+            return HashDataset.for_retrain(trained, **options)
+        if not isinstance(trained, CfModel):
+            raise ValueError("retraining goes on from a similarity model or a hashed dataset")
+        if trained.info.n_hash_bins:
             raise ValueError("similarity models don't take hashed datasets")
-        return ExtendableDataset(model, **options)
+        return ExtendableDataset(trained, **options)
 
 
 class ExtendableDataset(Dataset):
@@ -107,28 +116,67 @@ class ExtendableDataset(Dataset):
 
     def build_data(self, train, eval_data=None, test_data=None):
         parts = super().build_data(train, eval_data, test_data)
-        self.info.user_consumed = history.merge_consumed(self.old.user_consumed, self.info.user_consumed)
-        self.info.item_consumed = history.merge_consumed(self.old.item_consumed, self.info.item_consumed, "i", "users")
+        self.info.user_consumed = stored(history.merge_consumed(self.old.user_consumed, self.info.user_consumed), "consumed")
+        self.info.item_consumed = stored(history.merge_consumed(self.old.item_consumed, self.info.item_consumed, "i", "users"), "consumed")
         return parts
 
 
 class HashDataset(Dataset):
-    """Ids are hash bins: users and items share one range, new values need no mapping to grow."""
+    """Ids are hash bins: users and items share one range, new values need no mapping to grow.
+
+    Features are sparse ones, by hashed id, their values hashed as well. From for_retrain()
+    the mappings, histories, value indexes and feature rows of before are updated, not
+    built anew.
+    """
 
-    def __init__(self, n_hash_bins: int = vocab.DEFAULT_BINS, **options):
+    def __init__(self, n_hash_bins: int = vocab.DEFAULT_BINS, previous: "HashDataset | None" = None, **options):
         super().__init__(**options)
-        self.n_hash_bins = n_hash_bins
+        self.n_hash_bins, self.previous = n_hash_bins, previous
+
+    @staticmethod
+    def for_retrain(trained: "HashDataset", **options) -> "HashDataset":
+        if not isinstance(trained, HashDataset) or trained.info is None:
+            raise ValueError("a hashed dataset goes on from a hashed dataset that was built")
+        return HashDataset(trained.n_hash_bins, trained, **({"seed": trained.seed} | options))
 
     def _mappings(self, train: DataFrame) -> tuple[DataFrame, DataFrame]:
-        u = vocab.hash_mapping(train, "user", "__users__", self.n_hash_bins, self.seed).withColumnRenamed("id", "u")
-        i = vocab.hash_mapping(train, "item", "__items__", self.n_hash_bins, self.seed).withColumnRenamed("id", "i")
-        return stored(u, "users"), stored(i, "items")
+        out = []
+        for col, name, id_col in (("user", "__users__", "u"), ("item", "__items__", "i")):
+            new = vocab.hash_mapping(train, col, name, self.n_hash_bins, self.seed).withColumnRenamed("id", id_col)
+            if self.previous is not None:
+                new = vocab.update_mapping(self.previous.info.users if col == "user" else self.previous.info.items, new, col, id_col)
+            out.append(stored(new, f"{col}s"))
+        return out[0], out[1]
 
     def build_data(self, train, eval_data=None, test_data=None):
         parts = super().build_data(train, eval_data, test_data)
         self.info.n_hash_bins = self.n_hash_bins
+        if self.previous is not None:
+            old = self.previous.info
+            self.info.user_consumed = stored(history.merge_consumed(old.user_consumed, self.info.user_consumed), "consumed")
+            self.info.item_consumed = stored(history.merge_consumed(old.item_consumed, self.info.item_consumed, "i", "users"), "consumed")
         return parts
 
+    def process_features(self, user_data=None, item_data=None, config=None, complete=False):
+        """Feature tables by u and by i, each with its value index (col, value, idx); sparse columns only."""
+        if self.info is None:
+            raise RuntimeError("build_data comes first")
+        config = config or features.FeatureConfig()
+        for own in (config.user, config.item):
+            if own.dense or own.multi_sparse:
+                raise ValueError("hashed datasets take sparse features only")
+        validate.check_feat_cols(self.user_col, self.item_col, config.user.sparse, config.item.sparse)
+        for name, data, key, own, id_col, feature in (("user", user_data, self.user_col, config.user, "u", "__users__"), ("item", item_data, self.item_col, config.item, "i", "__items__")):
+            validate.check_feat_data(data, data, own.sparse, None)
+            if not own.sparse:
+                continue
+            before = self.previous.features.get(name) if self.previous is not None else None
+            rows = features.hash_features(data, key, feature, own.sparse, self.n_hash_bins, self.seed, before and before[0].withColumnRenamed(id_col, "id"))
+            index = features.hash_value_index(data, own.sparse, self.n_hash_bins, self.seed)
+            index = features.update_hash_index(before[1], index) if before else index
+            self.features[name] = stored(rows.withColumnRenamed("id", id_col), "features"), stored(index, "index")
+        return self.features
+
 
 @dataclass
 class State:
@@ -218,8 +266,14 @@ class CfModel:
         cold = serve.cold_start(strangers, popular, n_rec).join(self.info.items, "i").select("user", "item", "rk")
         return out.unionByName(cold)
 
-    def evaluate(self, data: DataFrame, neg_sampling: bool = False, wanted: list[str] | None = None, k: int = 10, num_neg: int = 1, eval_user_num: int | None = None) -> DataFrame:
-        """(metric, value) of the wanted metrics over encoded eval rows."""
+    def evaluate(
+        self, data: DataFrame, neg_sampling: bool = False, wanted: list[str] | None = None, k: int = 10, num_neg: int = 1, eval_user_num: int | None = None, sampler: str = "random",
+    ) -> DataFrame:
+        """(metric, value) of the wanted metrics over encoded eval rows.
+
+        With neg_sampling every row is a positive and gets num_neg negatives by the sampler;
+        what counts as consumed is what the eval rows hold, not the training rows.
+        """
         everything = metrics.RATING if self.task == "rating" else metrics.POINTWISE + metrics.LISTWISE
         wanted = list(wanted or (("rmse",) if self.task == "rating" else ("roc_auc", "precision", "ndcg")))
         if bad := [m for m in wanted if m not in everything]:
@@ -230,7 +284,7 @@ class CfModel:
             labelled = rows.select("u", "i", F.col("r").alias("label"))
             if neg_sampling:
                 keyed = rows.select(F.xxhash64("u", "i").alias("row"), "u", "i")
-                labelled = sampling.pointwise_rows(keyed, sampling.negatives_from_random(keyed, self.info.n_items, num_neg, self.seed)).select("u", "i", "label")
+                labelled = training.training_rows(keyed, rows, self.info.n_items, sampler, num_neg, seed=self.seed).select("u", "i", "label")
             preds = stored(labelled.join(self.predict(labelled, inner_id=True), ["u", "i"]), "preds")
             if self.task == "rating":
                 found = metrics.long_form(metrics.rating_metrics(preds))
@@ -252,18 +306,28 @@ class CfModel:
         return out
 
     def save(self, path: str, name: str) -> None:
+        """Similarities, interactions, ids, histories and popular items, under path/name: all that load() needs."""
         state = self._fitted()
+        for part in INFO_PARTS:
+            getattr(self.info, part).write.mode("overwrite").parquet(f"{path}/{name}/info-{part}")
         for part in ("r", "pairs", "ss", "stats"):
             if (df := getattr(state, part)) is not None:
                 df.write.mode("overwrite").parquet(f"{path}/{name}/{part}")
         meta = {"model_type": self.model_type, "task": self.task, "k_sim": self.k_sim, "min_common": self.min_common, "parts": [p for p in ("r", "pairs", "ss", "stats") if getattr(state, p) is not None]}
+        meta["info"] = {"n_rows": self.info.n_rows, "n_users": self.info.n_users, "n_items": self.info.n_items, "n_hash_bins": self.info.n_hash_bins}
         state.r.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(f"{path}/{name}/meta")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, name: str, info: DataInfo) -> "CfModel":
-        meta = json.loads(spark.read.text(f"{path}/{name}/meta").first()[0])
+    def load(cls, spark: SparkSession, path: str, name: str, info: DataInfo | None = None) -> "CfModel":
+        """A saved model, with the ids and histories that were saved with it unless info is given."""
+        try:
+            meta = json.loads(spark.read.text(f"{path}/{name}/meta").first()[0])
+        except AnalysisException as e:
+            raise ValueError(f"no model {name!r} at {path}") from e
         if meta["model_type"] != cls.model_type:
             raise ValueError(f"{name} is a {meta['model_type']} model, not {cls.model_type}")
+        if info is None:
+            info = DataInfo(**{part: spark.read.parquet(f"{path}/{name}/info-{part}") for part in INFO_PARTS}, **meta["info"])
         model = cls(meta["task"], info, meta["k_sim"], meta["min_common"])
         model.state = State(**{p: spark.read.parquet(f"{path}/{name}/{p}") for p in meta["parts"]})
         return model

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.expressions import uniform
+from harrow.sources.scratch import stored
 
 PROBES = 10
+#: Items of a user that are held as one array at most.
+LONG_LIST = 10_000
 
 
 def _probes(rows: DataFrame, num_neg: int, attempts: int, n_items: int, seed: int) -> DataFrame:
@@ -47,12 +50,14 @@ def popularity(r: DataFrame, temperature: float = 0.75) -> DataFrame:
     return out.select("i", (F.col("w") / F.col("total")).alias("p"), (hi - F.col("w") / F.col("total")).alias("lo"), hi.alias("hi"))
 
 
-def negatives_from_popular(rows: DataFrame, probs: DataFrame, num_neg: int = 1, seed: int = 42, attempts: int = 2, cells: int = 1024) -> DataFrame:
+def negatives_from_popular(rows: DataFrame, probs: DataFrame, num_neg: int = 1, seed: int = 42, attempts: int = 2, cells: int | None = None) -> DataFrame:
     """(row, u, i, k, neg) drawn by popularity(); one more try where the draw is the row's own item.
 
     The inverse of the cumulative distribution is a range join, turned into an equi
-    join on the cell of [0, 1) that a draw and an interval lie in.
+    join on the cell of [0, 1) that a draw and an interval lie in: as many cells as items,
+    so that a draw meets a few intervals however many there are.
     """
+    cells = cells or max(1024, probs.count())
     draws = rows.select("row", "u", "i", F.explode(F.sequence(F.lit(1), F.lit(num_neg))).alias("k"))
     draws = draws.select("*", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
     draws = draws.withColumn("x", uniform(seed, F.col("row"), F.col("k"), F.col("attempt"))).withColumn("cell", F.floor(F.col("x") * cells).cast("int"))
@@ -62,12 +67,40 @@ def negatives_from_popular(rows: DataFrame, probs: DataFrame, num_neg: int = 1,
 
 
 def negatives_from_unconsumed(rows: DataFrame, r: DataFrame, n_items: int, num_neg: int = 1, seed: int = 42, attempts: int = PROBES) -> DataFrame:
-    """(row, u, i, k, neg): not the row's item, not consumed by its user, distinct within a row as far as probes go.
+    """(row, u, i, k, neg): not the row's item, not consumed by its user, distinct within a row.
 
     Of 2 * attempts probes the first half must be unconsumed; then that rule is dropped.
+    The num_neg first values by attempt, then k, are taken; where the probes hold fewer
+    other items than that (as with hardly any items at all) the row has fewer.
+
+    A user's items travel to the user's rows as one array. Users of more than LONG_LIST
+    items have their probes joined to their items one by one instead.
     """
+    lists = r.groupBy("u").agg(F.collect_set("i").alias("eaten"))
+    lists = stored(lists.where(F.size("eaten") <= LONG_LIST), "eaten")
+    long_ = r.groupBy("u").agg(F.count_distinct("i").alias("n")).where(F.col("n") > LONG_LIST).select("u")
+    heavy = rows.join(long_, "u", "left_semi").select("row", "u", "i")
+
+    def picked(upto: int):
+        def probe(k, attempt):
+            draw = F.floor(uniform(seed, F.col("row"), k, attempt) * n_items)
+            return F.struct(attempt.alias("attempt"), k.alias("k"), (draw + 1).cast("int").alias("neg"))
+
+        tries = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(upto)), lambda a: F.transform(F.sequence(F.lit(1), F.lit(num_neg)), lambda k: probe(k, a))))
+        good = F.filter(tries, lambda t: (t["neg"] != F.col("i")) & ((t["attempt"] > attempts) | ~F.array_contains("eaten", t["neg"])))
+        return F.slice(F.array_distinct(F.transform(good, lambda t: t["neg"])), 1, num_neg)
+
+    listed = rows.select("row", "u", "i").join(long_, "u", "left_anti").join(lists, "u", "left").withColumn("eaten", F.coalesce("eaten", F.array().cast("array<int>")))
+    # Most rows are done after a few probes; only the others draw all of them.
+    listed = listed.withColumn("negs", picked(min(3, attempts)))
+    listed = listed.withColumn("negs", F.when(F.size("negs") == num_neg, F.col("negs")).otherwise(picked(2 * attempts)))
+    listed = listed.select("row", "u", "i", F.posexplode("negs").alias("k", "neg")).withColumn("k", F.col("k") + 1)
+    return listed.unionByName(_unconsumed_joined(heavy, r, n_items, num_neg, seed, attempts))
+
+
+def _unconsumed_joined(rows: DataFrame, r: DataFrame, n_items: int, num_neg: int, seed: int, attempts: int) -> DataFrame:
     probes = _probes(rows, num_neg, 2 * attempts, n_items, seed)
-    eaten = r.select("u", F.col("i").alias("neg"), F.lit(True).alias("eaten"))
+    eaten = r.select("u", F.col("i").alias("neg"), F.lit(True).alias("eaten")).distinct()
     probes = probes.join(eaten, ["u", "neg"], "left")
     bad = (F.col("neg") == F.col("i")) | ((F.col("attempt") <= attempts) & F.coalesce("eaten", F.lit(False)))
     good = probes.where(~bad)
@@ -96,6 +129,12 @@ def pointwise_rows(rows: DataFrame, negatives: DataFrame) -> DataFrame:
     return pos.unionByName(negatives.select("row", "k", "u", F.col("neg").alias("i"), F.lit(0.0).alias("label")))
 
 
+def multi_label_rows(rows: DataFrame, negatives: DataFrame) -> DataFrame:
+    """(row, k, u, i, labels): each positive of rows(row, u, i, labels) with its own labels, and its negatives with all 0."""
+    none = negatives.join(rows.select("row", "labels"), "row").select("row", "k", "u", F.col("neg").alias("i"), F.transform("labels", lambda x: x * 0).alias("labels"))
+    return rows.select("row", F.lit(0).alias("k"), "u", "i", "labels").unionByName(none)
+
+
 def pairwise_rows(negatives: DataFrame) -> DataFrame:
     """(row, k, u, pos, neg)."""
     return negatives.select("row", "k", "u", F.col("i").alias("pos"), "neg")

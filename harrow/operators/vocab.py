@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.sources.scratch import stored
+from harrow.operators.ranges import before_ranges, ranged
 
 OOV = 0
 DEFAULT_BINS = 200_000
@@ -18,13 +18,9 @@ def make_id_mapping(data: DataFrame, col: str, id_col: str, start: int = 0) -> D
     The values are sorted in ranges; an id is the place within the range plus what the
     ranges before hold, so nothing passes through one task.
     """
-    values = data.select(col).where(F.col(col).isNotNull()).distinct().sort(col)
-    placed = stored(values.select(col, F.monotonically_increasing_id().alias("m")), "vocab")
-    part = F.shiftright("m", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row per range
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    local = F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("part", part).join(F.broadcast(before), "part").select(col, (F.col("before") + local + 1 + start).cast("int").alias(id_col))
+    placed = ranged(data.select(col).where(F.col(col).isNotNull()).distinct(), col)
+    before = before_ranges(placed, before=F.count(F.lit(1)))
+    return placed.join(F.broadcast(before), "__part").select(col, (F.col("before") + F.col("__place") + 1 + start).cast("int").alias(id_col))
 
 
 def extend_mapping(mapping: DataFrame, data: DataFrame, col: str, id_col: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 CUT = "1997-01-01"
+EARLY = "1995-03-01"
 _ORDER = "o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
 
 PURCHASES = f"""p as (
@@ -125,7 +126,7 @@ def _num_part(last: int) -> str:
     return f"(k > n - (case when n < 3 then 0 when n <= {last} then 1 else {last} end))::int"
 
 
-_UNKNOWN = (PURCHASES, "tr as (select * from p where ts < '1992-03-01')", "te as (select * from p where ts >= '1998-06-01')")
+_UNKNOWN = (PURCHASES, f"tr as (select * from p where ts < '{EARLY}')", f"te as (select * from p where ts >= '{EARLY}')")
 _AUC = """by_score as (select {keys} pred, sum((label = 1)::int) as p, sum((label <> 1)::int) as n from pl group by all),
 won as (select *, coalesce(sum(n) over ({part} order by pred rows between unbounded preceding and 1 preceding), 0) as below from by_score)"""
 _TEST = (*_world(5), *_ITEM)
@@ -155,7 +156,7 @@ _PROBE = f"""cast(floor({_uniform('42', 'row', 'k', 'attempt')} * (select count(
 
 
 def _probes(num: int, attempts: int) -> str:
-    return f"""rw as (select u::bigint * 1000000 + i as row, u, i from r),
+    return f"""rw as (select u::bigint * 4294967296 + i as row, u, i from r),
 pb as (select *, {_PROBE} as neg from rw, (select unnest(generate_series(1, {num}))::int as k), (select unnest(generate_series(1, {attempts}))::int as attempt))"""
 
 
@@ -166,6 +167,22 @@ _TOP = """top as (select * from (select us.id as u, vs.id as i, list_dot_product
   (row_number() over (partition by us.id order by round(list_dot_product(us.vec, vs.vec), 6) desc, vs.id))::int as rk from us, vs) where rk <= {n})"""
 _SOFTPLUS = "(greatest({x}, 0) + ln(1 + exp(-abs({x}))))"
 
+_UNCONSUMED = (
+    "good as (select pb.* from pb left join r e on e.u = pb.u and e.i = pb.neg where pb.neg <> pb.i and (attempt > 10 or e.i is null))",
+    "f as (select row, u, i, neg, min(attempt * 10 + k) as place from good group by 1, 2, 3, 4)", "k as (select *, (row_number() over (partition by row order by place))::int as k from f)")
+_STRANGERS = (
+    *_UNKNOWN, _vocab("tr"), "pop as (select i, (row_number() over (order by n desc, item))::int as rk from (select item, count(distinct usr) as n from tr group by item) join iv using (item))",
+    "st as (select c_custkey from customer where c_custkey not in (select usr from tr))")
+_SCORED = (
+    _VECTORS, _TOP.format(n=40), "sc as (select u, i, round(s, 6) as score, rk from top)", "had as (select u, i from sc where rk <= 5 or (rk <= 8 and u % 4 = 0))",
+    "gone as (select * from had where u in (select u from had group by u having count(*) + 10 <= 17))", "left_ as (select u, i, score from sc where not exists (select 1 from gone g where g.u = sc.u and g.i = sc.i))")
+_BRAND = ("half as (select * from feat where item % 5 <> 0)", _index("p_brand", "half"), "fi as (select i, coalesce(b.idx, 0) as p_brand from iv left join half using (item) left join ix_p_brand b on b.v = p_brand)")
+_TRAIN = (
+    *ALL, _ITEMS, *_BRAND, "cu as (select c_custkey as usr, c_mktsegment from customer)", _index("c_mktsegment", "cu"),
+    "fu as (select u, coalesce(b.idx, 0) as c_mktsegment from uv left join cu using (usr) left join ix_c_mktsegment b on b.v = c_mktsegment)",
+    _consumed(), "g as (select u, list(i order by ord) as l from c group by u)", "q as (select r.u, r.i, l, list_position(l, r.i) as place from r join g on g.u = r.u)",
+    "sq as (select u::bigint * 4294967296 + i as row, array_to_string(list_slice(l, greatest(1, place - 3), place - 1) || list_transform(generate_series(1, 3 - len(list_slice(l, greatest(1, place - 3), place - 1))), lambda x: 0), ',') as seq from q)")
+
 ORACLE: dict[str, str] = {
     "interactions_encode": _with(PURCHASES, ENC) + 'select usr as "user", item, u, i, label from enc',
     "vocab_users": _with(PURCHASES, _vocab()) + 'select usr as "user", u from uv',
@@ -213,8 +230,49 @@ ORACLE: dict[str, str] = {
     "itemcf_recommend": _with(*_world(), *_ITEM, _recommend("i")) + _DECODED,
     "usercf_recommend": _with(*_world(), *_USER, _recommend("u")) + _DECODED,
     "swing_recommend": _with(*_world(), *_SWING, _recommend("i")) + _DECODED,
-    "cold_start_popular": _with(*_world(), "pop as (select item, (row_number() over (order by count(distinct usr) desc, item))::int as rk from train group by item)")
-    + 'select c_custkey as "user", i, rk from customer, pop join iv using (item) where rk <= 10 and c_custkey not in (select usr from train)',
+    "cold_start_popular": _with(*_STRANGERS) + 'select c_custkey as "user", i, rk from st, pop where rk <= 10',
+    "cold_start_sample": _with(*_STRANGERS, "n as (select count(*) as n from pop where rk <= 100)", "k as (select unnest(generate_series(1, 10))::int as k)")
+    + f"""select c_custkey as "user", i, k as rk from (select c_custkey, k, floor({_uniform('42', 'c_custkey', 'k')} * n)::int + 1 as rank from st, k, n) join pop on pop.rk = rank""",
+    "cold_start_average": _with(
+        _VECTORS, "e as (select unnest(vec) as x, generate_subscripts(vec, 1) as pos from us where id <> 0)", "m as (select list(x order by pos) as vec from (select pos, avg(x) as x from e group by pos))",
+        "b as (select vs.id as i, (row_number() over (order by round(list_dot_product(m.vec, vs.vec), 6) desc, vs.id))::int as rk from m, vs)",
+    ) + 'select c_custkey as "user", i, rk from customer, b where rk <= 10 and c_custkey not in (select id from us)',
+    "rank_top_items": _with(*_SCORED) + "select u, i, score, (row_number() over (partition by u order by score desc, i))::int as rk from left_ qualify rk <= 10",
+    "rank_random_items": _with(
+        *_SCORED, "w as (select *, pow(exp(score - max(score) over (partition by u)), 0.75) as w from left_)",
+        f"d as (select *, ln({_uniform('42', 'u', 'i')} + 1e-12) / (w / sum(w) over (partition by u) + 1e-8) as d from w)",
+        "c as (select * from d qualify row_number() over (partition by u order by d desc, i) <= 10)",
+    ) + "select u, i, score, (row_number() over (partition by u order by score desc, i))::int as rk from c",
+    "normalize_scores": _with(*_SCORED, "z as (select case when u % 10 = 0 then 0 else u end as u, i, score from sc)") + "select u, i, round(case when u = 0 or i = 0 then 0 else 1 / (1 + exp(-score)) end, 6) as pred from z",
+    "sample_users": _with(PURCHASES, ENC) + f"select u from (select distinct u from enc) order by {_uniform('42', 'u')}, u limit 50",
+    "vocab_update": _with(*_UNKNOWN, "a as (select item, (row_number() over (order by item))::int as i from (select distinct item from tr))", "b as (select item, (row_number() over (order by item))::int as i from (select distinct item from te where label > 45))")
+    + "select item, coalesce(b.i, a.i) as i from a full join b using (item)",
+    "unknown_pairs": _with(*_UNKNOWN, _vocab("tr")) + 'select usr as "user", item, coalesce(u, 0) as u, coalesce(i, 0) as i, label from te left join uv using (usr) left join iv using (item) where u is null or i is null',
+    "seq_build": _with(
+        *_UNKNOWN, _vocab("tr"), "q as (select usr, item, row_number() over (partition by usr order by ord) as k from p)", "l as (select * from q where k <= 7)", "t as (select *, row_number() over (partition by usr order by k desc) as back from l)",
+        "g as (select usr, list(coalesce(i, 0) order by k) as l from t left join iv using (item) where back <= 5 group by usr)",
+    ) + "select usr as key, array_to_string(l || list_transform(generate_series(1, 5 - len(l)), lambda x: 0), ',') as seq from g",
+    "feat_inputs": _with(PURCHASES, _vocab(), _ITEMS, *_BRAND) + "select l_orderkey, l_linenumber, l_partkey::int as i, coalesce(p_brand, 0) as p_brand from lineitem left join fi on fi.i = l_partkey",
+    "feat_override": _with(PURCHASES, _vocab(), _ITEMS, *_BRAND) + "select i, coalesce((select idx from ix_p_brand where v = 'Brand#13'), p_brand) as known, p_brand as unknown from fi union all select 0, coalesce((select idx from ix_p_brand where v = 'Brand#13'), 0), 0",
+    "multi_label_sampling": _with(
+        CLICKS, ENC, "rw as (select event_id as row, u, i, event_type from enc)", "pb as (select *, 1 as k, " + _PROBE.replace("'k'", "1") + " as neg from rw, (select unnest(generate_series(1, 10))::int as attempt))",
+        f"ng as ({_FIRST.format(bad='neg = i', src='pb')})",
+    ) + "select row, 0 as k, u, i, (event_type = 'click')::int::double || ',' || (event_type = 'purchase')::int::double || ',' || (event_type = 'signup')::int::double as labels from rw union all select row, k, u, neg, '0.0,0.0,0.0' from ng",
+    "train_rows_pointwise": _with(*_TRAIN, _probes(1, 10), f"ng as ({_FIRST.format(bad='neg = i', src='pb')})", "tr as (select row, 0 as k, u, i, 1.0::double as label from rw union all select row, k, u, neg, 0.0 from ng)")
+    + "select tr.row, k, tr.u, tr.i, label, coalesce(c_mktsegment, 0) as c_mktsegment, coalesce(p_brand, 0) as p_brand, seq from tr left join fu on fu.u = tr.u left join fi on fi.i = tr.i join sq on sq.row = tr.row",
+    "train_rows_pairwise": _with(
+        *_TRAIN, _probes(2, 20), *_UNCONSUMED, "ng as (select * from k where k <= 2)",
+    ) + "select ng.row, k, ng.u, ng.i as pos, ng.neg, coalesce(c_mktsegment, 0) as c_mktsegment, coalesce(a.p_brand, 0) as pos_p_brand, coalesce(b.p_brand, 0) as neg_p_brand, seq from ng left join fu on fu.u = ng.u left join fi a on a.i = ng.i left join fi b on b.i = ng.neg join sq on sq.row = ng.row",
+    "embed_oov_predict": _with(
+        _VECTORS, "e as (select unnest(vec) as x, generate_subscripts(vec, 1) as pos from us where id <> 0)", "m as (select list(x order by pos) as vec from (select pos, avg(x) as x from e group by pos))",
+        "q as (select id as i, case when id % 3 = 0 then -1 else id - 1 end as u, vec from vs)",
+    ) + "select q.u, q.i, round(list_dot_product(case when us.id is null or us.id = 0 then (select vec from m) else us.vec end, q.vec), 6) as score from q left join us on us.id = q.u",
+    "pair_inputs": _with(_VECTORS, "q as (select id as u, vec, id + 1 as pos, unnest([id + 3, id + 5]) as neg from us)")
+    + "select u, pos, neg, round(list_dot_product(q.vec, a.vec), 6) as pos_score, round(list_dot_product(q.vec, b.vec), 6) as neg_score from q join vs a on a.id = pos join vs b on b.id = neg",
+    "list_inputs": _with(
+        _VECTORS, "q as (select us.id as u, us.vec as a, vs.vec as b, us.id // 32 as batch, (vs.id % 7 + 1) / 1000 as share from us join vs on vs.id = us.id + 1)",
+        "l as (select x.u, y.u as other, list_dot_product(x.a, y.b) / 0.5 - ln(y.share) as logit from q x join q y using (batch))",
+    ) + "select u, count(*)::int as n, sum((other < u)::int)::int as target, round(sum(logit), 4) as total from l group by u",
     "backfill": _with(
         *_world(), _swing(), _near("swing", 2), _recommend("i"), "pop as (select i, row_number() over (order by n desc, item) as rank from (select item, count(distinct usr) as n from train group by item) join iv using (item))",
         "short as (select uv.u, 10 - count(rec.i) as missing from uv left join rec on rec.u = uv.u group by uv.u having count(rec.i) < 10)",
@@ -260,13 +318,10 @@ ORACLE: dict[str, str] = {
     "neg_popular": _with(
         *ALL, "pr as (select i, count(*)::double as w from r group by i)",
         "cdf as (select i as neg, (sum(w) over (order by i) - w) / (select sum(w) from pr) as lo, sum(w) over (order by i) / (select sum(w) from pr) as hi from pr)",
-        f"d as (select u::bigint * 1000000 + i as row, u, i, 1 as k, a::int as attempt from r, (select unnest([1, 2]) as a))",
+        f"d as (select u::bigint * 4294967296 + i as row, u, i, 1 as k, a::int as attempt from r, (select unnest([1, 2]) as a))",
         f"x as (select *, {_uniform('42', 'row', 'k', 'attempt')} as x from d)", "m as (select x.*, cdf.neg from x asof join cdf on x.x >= cdf.lo)",
     ) + _FIRST.format(bad="neg = i", src="m"),
-    "neg_unconsumed": _with(
-        *ALL, _probes(2, 20), "good as (select pb.* from pb left join r e on e.u = pb.u and e.i = pb.neg where pb.neg <> pb.i and (attempt > 10 or e.i is null))",
-        "f as (select row, u, i, neg, min(attempt * 10 + k) as place from good group by 1, 2, 3, 4)", "k as (select *, (row_number() over (partition by row order by place))::int as k from f)",
-    ) + "select row, u, i, k, neg from k where k <= 2",
+    "neg_unconsumed": _with(*ALL, _probes(2, 20), *_UNCONSUMED) + "select row, u, i, k, neg from k where k <= 2",
     "pop_probs": _with(*ALL, "pr as (select i, count(*) ** 0.75 as w from r group by i)")
     + "select i, round(w / (select sum(w) from pr), 9) as p, round(sum(w) over (order by i) / (select sum(w) from pr), 9) as hi from pr",
     "keep_probs": _with(*ALL, "f as (select i, count(*) / (select count(distinct u) from r) as f from r group by i)") + "select i, round((sqrt(f / 0.001) + 1) * 0.001 / f, 6) as keep from f",

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.expressions import unit
-from harrow.operators import embed, features, history, metrics, rerank, sampling, serve, similarity, split, vocab
+from harrow.operators import embed, features, history, metrics, neural, rerank, sampling, serve, similarity, split, training, vocab
 from harrow.sources import views
 from harrow.sources.scratch import stored
 
 CUT = "1997-01-01"
+#: What lies before this date holds some of the users and items, not all.
+EARLY = "1995-03-01"
 QUERIES: dict = {}
 
 
@@ -34,10 +36,10 @@ class World:
     """Purchases split by the last `last` rows per user, encoded by train's vocabulary, and R."""
 
     def __init__(self, spark, sf_dir, last: int = 1):
-        self.train, self.test = split.split_by_num(views.purchases(spark, sf_dir), test_size=last)
-        enc, self.users, self.items = _encoded(self.train)
-        self.enc = enc
-        self.r = stored(similarity.interactions(enc), "r")
+        train, test = split.split_by_num(views.purchases(spark, sf_dir), test_size=last)
+        self.train, self.test = stored(train, "train"), stored(test, "test")
+        self.enc, self.users, self.items = _encoded(self.train)
+        self.r = stored(similarity.interactions(self.enc), "r")
         self.test_enc = vocab.encode(self.test, self.users, self.items)
 
     def sims(self, x: str, k: int = 20) -> DataFrame:
@@ -75,6 +77,20 @@ def vocab_extend(spark, sf_dir):
     return vocab.extend_mapping(first, p.where(F.col("time") >= CUT), "item", "i")
 
 
+@query
+def vocab_update(spark, sf_dir):
+    """The newer mapping's ids win over those of the older one."""
+    early, late = _early_and_late(spark, sf_dir)
+    return vocab.update_mapping(vocab.make_id_mapping(early, "item", "i"), vocab.make_id_mapping(late.where("label > 45"), "item", "i"), "item", "i")
+
+
+@query
+def unknown_pairs(spark, sf_dir):
+    early, late = _early_and_late(spark, sf_dir)
+    _, users, items = _encoded(early)
+    return vocab.unknown(vocab.encode(late, users, items)).select("user", "item", "u", "i", "label")
+
+
 @query
 def consumed_consecutive(spark, sf_dir):
     enc, _, _ = _encoded(views.clicks(spark, sf_dir))
@@ -129,6 +145,15 @@ def seq_recent(spark, sf_dir):
     return history.recent_sequences(history.consumed(enc), 10).select("u", text("seq"))
 
 
+@query
+def seq_build(spark, sf_dir):
+    """Given item values, some of them unknown, as ids: the last five, padded."""
+    p = views.purchases(spark, sf_dir)
+    items = vocab.make_id_mapping(p.where(F.col("time") < EARLY), "item", "i")
+    raw = p.groupBy(F.col("user").alias("key")).agg(F.slice(F.sort_array(F.collect_list(F.struct("ord", "item"))), 1, 7).alias("l")).select("key", F.col("l.item").alias("values"))
+    return history.build_sequence(raw, items, 5).select("key", text("seq"))
+
+
 @query
 def seq_interacted(spark, sf_dir):
     enc, _, _ = _encoded(views.clicks(spark, sf_dir))
@@ -177,16 +202,19 @@ def split_num_chrono(spark, sf_dir):
     return _parts(split.split_by_num_chrono(views.clicks(spark, sf_dir), test_size=4))
 
 
+def _early_and_late(spark, sf_dir) -> list[DataFrame]:
+    p = views.purchases(spark, sf_dir)
+    return [p.where(F.col("time") < EARLY), p.where(F.col("time") >= EARLY)]
+
+
 @query
 def filter_unknown(spark, sf_dir):
-    p = views.purchases(spark, sf_dir)
-    return _parts(split.filter_unknown([p.where(F.col("time") < "1992-03-01"), p.where(F.col("time") >= "1998-06-01")]))
+    return _parts(split.filter_unknown(_early_and_late(spark, sf_dir)))
 
 
 @query
 def pad_unknown(spark, sf_dir):
-    p = views.purchases(spark, sf_dir)
-    return _parts(split.pad_unknown([p.where(F.col("time") < "1992-03-01"), p.where(F.col("time") >= "1998-06-01")], (-1, -2)))
+    return _parts(split.pad_unknown(_early_and_late(spark, sf_dir), (-1, -2)))
 
 
 # ---- similarity
@@ -292,11 +320,62 @@ def _popular_ids(w: World, n: int = 100) -> DataFrame:
     return history.popular_items(w.train, n).join(w.items, "item").select("i", "rank")
 
 
+def _strangers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Customers without an early purchase, and the popular items (i, rank) of the early ones."""
+    early = stored(_early_and_late(spark, sf_dir)[0], "early")
+    _, users, items = _encoded(early)
+    strangers = views.user_features(spark, sf_dir).select("user").join(users, "user", "left_anti")
+    return strangers, history.popular_items(early).join(items, "item").select("i", "rank")
+
+
 @query
 def cold_start_popular(spark, sf_dir):
-    w = World(spark, sf_dir)
-    strangers = views.user_features(spark, sf_dir).select("user").join(w.users, "user", "left_anti")
-    return serve.cold_start(strangers, _popular_ids(w), 10)
+    return serve.cold_start(*_strangers(spark, sf_dir), 10)
+
+
+@query
+def cold_start_sample(spark, sf_dir):
+    return serve.cold_start(*_strangers(spark, sf_dir), 10, mode="sample")
+
+
+@query
+def cold_start_average(spark, sf_dir):
+    """Unknown users get the best items of the mean vector of the known ones."""
+    users, items = views.vectors(spark, sf_dir)
+    strangers = views.user_features(spark, sf_dir).select("user").join(users.select(F.col("id").alias("user")), "user", "left_anti")
+    return serve.cold_start(strangers, embed.default_items(users, items, 50), 10)
+
+
+def _scored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(u, i, score) of the 40 best items by vector of each user, and lists of what users had of the first 5 of them and again."""
+    scores = stored(embed.top_items(*views.vectors(spark, sf_dir), 40).select("u", "i", F.round("score", 6).alias("score"), "rk"), "scores")
+    had = scores.where("rk <= 5 or (rk <= 8 and u % 4 = 0)").groupBy("u").agg(F.sort_array(F.collect_list("i")).alias("items"))
+    return scores.select("u", "i", "score"), had
+
+
+@query
+def rank_top_items(spark, sf_dir):
+    scores, had = _scored(spark, sf_dir)
+    return serve.top_items(scores, had, 17, 10).select("u", "i", "score", "rk")
+
+
+@query
+def rank_random_items(spark, sf_dir):
+    scores, had = _scored(spark, sf_dir)
+    return serve.top_items(scores, had, 17, 10, random=True).select("u", "i", "score", "rk")
+
+
+@query
+def normalize_scores(spark, sf_dir):
+    scores, _ = _scored(spark, sf_dir)
+    preds = scores.select(F.when(F.col("u") % 10 == 0, 0).otherwise(F.col("u")).alias("u"), "i", F.col("score").alias("pred"))
+    out = serve.normalize_prediction(preds, "ranking", "popular")
+    return out.select("u", "i", F.round("pred", 6).alias("pred"))
+
+
+@query
+def sample_users(spark, sf_dir):
+    return metrics.sample_users(_encoded(views.purchases(spark, sf_dir))[0], 50)
 
 
 @query
@@ -412,6 +491,29 @@ def seq_item_features(spark, sf_dir):
     return features.sequence_features(seqs, brand, "p_brand").select("u", text("seq_p_brand"))
 
 
+def _item_brand(spark, sf_dir, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    data = views.item_features(spark, sf_dir).where("item % 5 <> 0")
+    index = features.value_index(features.sparse_values(data, ("p_brand",)))
+    return features.sparse_features(data, items, "item", "i", ("p_brand",), index), index
+
+
+@query
+def feat_inputs(spark, sf_dir):
+    """Features by id for rows of any ids: an id beyond the table has those of id 0."""
+    items = vocab.make_id_mapping(views.purchases(spark, sf_dir), "item", "i")
+    ids = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("int").alias("i"))
+    return features.inputs(ids, _item_brand(spark, sf_dir, items)[0], "i", "i")
+
+
+@query
+def feat_override(spark, sf_dir):
+    """One column set for all rows by a known value, another left alone by an unknown one."""
+    items = vocab.make_id_mapping(views.purchases(spark, sf_dir), "item", "i")
+    table, index = _item_brand(spark, sf_dir, items)
+    known = features.override(table, {"p_brand": "Brand#13"}, index).withColumnRenamed("p_brand", "known")
+    return known.join(features.override(table, {"p_brand": "no such brand"}, index).withColumnRenamed("p_brand", "unknown"), "i")
+
+
 # ---- incremental
 
 
@@ -458,7 +560,7 @@ def swing_incremental(spark, sf_dir):
 def _rows(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
     enc, _, items = _encoded(views.purchases(spark, sf_dir))
     r = stored(similarity.interactions(enc), "r")
-    return r.select((F.col("u") * F.lit(1_000_000).cast("long") + F.col("i")).alias("row"), "u", "i"), r, items.count()
+    return r.select((F.col("u") * F.lit(1 << 32) + F.col("i")).alias("row"), "u", "i"), r, items.count()
 
 
 @query
@@ -503,6 +605,34 @@ def label_sampling(spark, sf_dir):
     return sampling.pointwise_rows(rows, sampling.negatives_from_random(rows, n, 1)).select("row", "k", "u", "i", "label")
 
 
+@query
+def multi_label_sampling(spark, sf_dir):
+    enc, _, items = _encoded(views.clicks_multi(spark, sf_dir))
+    rows = enc.select(F.col("ord.event_id").alias("row"), "u", "i", "labels")
+    out = training.training_rows(rows, similarity.interactions(enc), items.count(), num_neg=1, labels="labels")
+    return out.select("row", "k", "u", "i", text("labels"))
+
+
+def _training(spark, sf_dir, **options) -> DataFrame:
+    enc, users, items = _encoded(views.purchases(spark, sf_dir))
+    r = stored(similarity.interactions(enc), "r")
+    rows = r.select((F.col("u") * F.lit(1 << 32) + F.col("i")).alias("row"), "u", "i")
+    data = views.user_features(spark, sf_dir)
+    segment = features.sparse_features(data, users, "user", "u", ("c_mktsegment",), features.value_index(features.sparse_values(data, ("c_mktsegment",))))
+    out = training.training_rows(rows, r, items.count(), users=segment, items=_item_brand(spark, sf_dir, items)[0], lists=history.consumed(enc), length=3, **options)
+    return out.withColumn("seq", text("seq"))
+
+
+@query
+def train_rows_pointwise(spark, sf_dir):
+    return _training(spark, sf_dir)
+
+
+@query
+def train_rows_pairwise(spark, sf_dir):
+    return _training(spark, sf_dir, sampler="unconsumed", num_neg=2, pairwise=True)
+
+
 # ---- embeddings
 
 
@@ -530,6 +660,33 @@ def embed_normalize(spark, sf_dir):
     return embed.normalized(scaled).select("id", F.posexplode("vec").alias("pos", "x")).select("id", "pos", F.round("x", 6).alias("x"))
 
 
+@query
+def embed_oov_predict(spark, sf_dir):
+    """Scores of known and unknown users: these have the mean vector under id 0."""
+    users, items = views.vectors(spark, sf_dir)
+    rows = items.select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") - 1).alias("u"), F.col("vec").alias("b"))
+    both = neural.embed_rows(rows, "u", embed.with_default(users), "a")
+    return both.select("u", "i", F.round(embed.dot("a", "b"), 6).alias("score"))
+
+
+@query
+def pair_inputs(spark, sf_dir):
+    """Scores of a user with an item and with each of its negatives."""
+    users, items = views.vectors(spark, sf_dir)
+    negs = users.select(F.col("id").alias("u"), (F.col("id") + 1).alias("pos"), F.explode(F.array(F.col("id") + 3, F.col("id") + 5)).alias("neg"))
+    return embed.pair_scores(negs, users, items).select("u", "pos", "neg", F.round("pos_score", 6).alias("pos_score"), F.round("neg_score", 6).alias("neg_score"))
+
+
+@query
+def list_inputs(spark, sf_dir):
+    """In-batch softmax: every user against the items of its batch, corrected by the items' shares; the own item is the target."""
+    users, items = views.vectors(spark, sf_dir)
+    rows = users.select(F.col("id").alias("u"), (F.col("id") + 1).alias("i"), F.floor(F.col("id") / 32).alias("batch"))
+    shares = items.select(F.col("id").alias("i"), ((F.col("id") % 7 + 1) / 1000).alias("share"))
+    out = embed.list_scores(rows, users, items, shares, temperature=0.5)
+    return out.select("u", F.size("logits").alias("n"), F.col("target").cast("int").alias("target"), F.round(F.aggregate("logits", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
 def _candidates(spark, sf_dir) -> DataFrame:
     users, items = views.vectors(spark, sf_dir)
     top = embed.top_items(users, items, 20).join(items.select(F.col("id").alias("i"), unit("vec").alias("vec")), "i")
