@@ -1,253 +1,510 @@
-"""Katz backoff language model: counts, tables and scores.
-
-Events are all words of the training texts, the end of a text, and one event for words
-that they lack. A history is the word before, or the begin of a text. Counts of pairs
-are Good-Turing discounted; pairs seen once count as unseen, as is usual for Katz models
-of higher order. Every history's backoff weight is the mass that its seen pairs leave
-over, divided by what the unigram distribution has for its unseen ones, so the
-distribution of every history sums to one.
-
-A token is evaluated recursively: the pair's discounted probability if the model has the
-pair, else the history's weight times the unigram probability. Words and pairs are keyed
-by their hashes in stored tables of any size. Tasks hold the commonest words and pairs as
-a cache; the other words and pairs of the texts are joined to the tables by key.
+"""Katz backoff language model of order three over all words.
+
+Events are the words of the training texts, the end of a text, and one event for words
+that they lack. A token's history is the two words before it; the begin stands before
+the first one, which has no other. Counts of one, two and three tokens are Good-Turing
+discounted as Katz has it: counts 1 to KATZ_K by (r* / r - A) / (1 - A), larger ones not
+at all. What a history's seen successors leave over goes to the others in proportion to
+their probability after the shorter history, by a weight that makes the distribution of
+every history sum to one exactly. A history none of whose counts is small enough for a
+discount keeps one part in n + 1 for the unseen.
+
+A token is evaluated recursively: its discounted probability after two words, else the
+weight of this history times its probability after one word, else that one's weight
+times the probability without a history.
+
+The counts are far larger than the texts, so tasks exchange them in blocks: a row is a
+bucket of word hashes and the packed columns of its n-grams. Two exchanges do the work.
+
+* By the predicted word: counts of pairs and triples, how many there are of each count,
+  and the table of pairs that the second exchange needs (lm-pairs, by bucket).
+* By the word before: a bucket has all pairs and triples around its words, so discounts,
+  weights and the evaluation of every token of every text happen there. Each text's sums
+  are gathered by the block of texts it came from.
+
+Words of more than half a bucket's share are dealt out by the word next to them too;
+what then lies in other buckets comes from the table of pairs, and their weights from an
+aggregation. The exchanges are made in PASSES parts, which bounds the scratch they need.
 """
 
 from __future__ import annotations
 
 import gc
-from functools import cached_property
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.common import Words, commonest, crc_remainder, materialize, mix, scratch_path, slices
+from harrow.llm.common import Words, commonest, crc_remainder, materialize, mix, slices
 
-#: Bounds of what is sent to the tasks, none of the model: words whose pairs are joined by broadcast, words and pairs of the cache.
-VOCABULARY, COMMON_WORDS, COMMON_PAIRS = 20_000, 400_000, 500_000
 #: Counts up to this one get the Good-Turing discount.
 KATZ_K = 5
-PARTITIONS = 8
-#: Distinct pairs that a task sums up before it hands them on.
-HELD_PAIRS = 2_000_000
+#: Words whose counts the tasks hold as a cache; no bound of the model.
+COMMON_WORDS = 400_000
+#: Tokens of a bucket, on average; parts of an exchange; tokens that a task sorts into blocks at once.
+BUCKET_TOKENS, PASSES, CHUNK_TOKENS = 1_000_000, 2, 1_000_000
 
-#: What stands for unseen words, the end and the begin among the hashes of words.
-RARE, END, BEGIN = (int(x) for x in mix(np.array([201, 202, 203], np.uint64)).view(np.int64))
-_TURN = 23
+#: The end, the begin and no word at all among the hashes of words.
+END, BEGIN, NONE = (int(x) for x in mix(np.array([202, 203, 204], np.uint64)).view(np.int64))
+_SCALE = float(1 << 52)
 
 
-def _count_keys(df: DataFrame, keys_of, key_type: str) -> DataFrame:
-    """(key, n): summed over each task first, then over all. keys_of(batch) gives an array."""
+def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of an ordered pair of 64-bit numbers."""
+    return mix(mix(a.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ b.view(np.uint64))
 
-    def run(batches):
-        keys, counts = None, None
-        for b in slices(batches):
-            u, n = np.unique(keys_of(b), return_counts=True)
-            if keys is None:
-                keys, counts = u, n
-            else:
-                keys, back = np.unique(np.concatenate([keys, u]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
-        if keys is not None:
-            for lo in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 200_000]), pa.array(counts[lo : lo + 200_000].astype(np.int64))], names=["key", "n"])
-
-    return df.mapInArrow(run, f"key {key_type}, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-
-def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, history, document) of every token of the texts, ends included."""
+def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word two before, word before, word, document) of every token of the texts, ends included."""
     n = len(words.first) - 1
-    ends = words.first[1:]
+    ends, begins = words.first[1:], words.first[:-1] + np.arange(n)
     w = np.insert(words.hash.view(np.int64), ends, END)
     doc = np.insert(words.doc, ends, np.arange(n))
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[words.first[:-1] + np.arange(n)] = BEGIN
-    u = h.view(np.uint64)
-    return ((u << np.uint64(_TURN)) | (u >> np.uint64(64 - _TURN))).view(np.int64) ^ w, h, doc
-
+    before = np.empty_like(w)
+    before[1:] = w[:-1]
+    before[begins] = BEGIN
+    first = np.empty_like(w)
+    first[1:] = before[:-1]
+    first[begins] = NONE
+    return first, before, w, doc
 
-def _word_of(key: str, h: str) -> Column:
-    """The word of a pair with this history: undoes what _tokens does."""
-    return F.col(key).bitwiseXOR(F.shiftleft(h, _TURN).bitwiseOR(F.shiftrightunsigned(h, 64 - _TURN)))
 
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in the sorted keys, and which of x are there."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
 
-def _summed(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key, h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], h[order[first]], np.add.reduceat(n[order], first)
 
+def discounts(of_counts: np.ndarray) -> np.ndarray:
+    """Katz's factors for counts 0 to KATZ_K + 1 (1 from there on), from how many n-grams have each count.
 
-def _count_pairs(texts: DataFrame) -> DataFrame:
-    """(key, h, n) of all pairs, summed over each task first, then over all."""
+    A count whose factor the data don't give (too few n-grams) has (r - 1/2) / r.
+    """
+    d = np.ones(KATZ_K + 2)
+    n = of_counts.astype(float)
+    common = (KATZ_K + 1) * n[KATZ_K + 1] / n[1] if n[1] else 1.0
+    for r in range(1, KATZ_K + 1):
+        turing = (r + 1) * n[r + 1] / (r * n[r]) if n[r] else 0.0
+        found = (turing - common) / (1 - common) if common < 1 else 0.0
+        d[r] = found if 0 < found < 1 else (r - 0.5) / r
+    return d
 
-    def rows(held):
-        key, h, n = _summed(held)
-        order = np.argsort(h)  # equal histories side by side: smaller shuffle files
-        for lo in range(0, len(key), 200_000):
-            part = order[lo : lo + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(h[part]), pa.array(n[part])], names=["key", "h", "n"])
 
-    def run(batches):
-        held = []
-        for b in slices(batches):
-            key, h, _ = _tokens(Words(b.column("text")))
-            u, at, n = np.unique(key, return_index=True, return_counts=True)
-            held.append((u, h[at], n.astype(np.int64)))
-            if len(held) >= 12:
-                held = [_summed(held)]
-                if len(held[0][0]) > HELD_PAIRS:
-                    yield from rows(held)
-                    held = []
-        if held:
-            yield from rows(held)
-
-    return texts.mapInArrow(run, "key long, h long, n long").repartition("key").groupBy("key", "h").agg(F.sum("n").alias("n"))
-
-
-def _discounts(of_counts: dict[int, int]) -> np.ndarray:
-    """Factor for counts 0 to KATZ_K + 1 (the last for all larger ones: see _discounted)."""
-    d = np.zeros(KATZ_K + 1)
-    for r in range(2, KATZ_K + 1):
-        n, m = of_counts.get(r, 0), of_counts.get(r + 1, 0)
-        turing = (r + 1) * m / (r * n) if n and m else 0.0
-        d[r] = turing if 0.0 < turing < 1.0 else (r - 0.5) / r
-    return d
+def _discounted(d: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return d[np.minimum(n, KATZ_K + 1)] * n
+
+
+class Buckets:
+    """Where n-grams go. hot are the words that are dealt out by their neighbour too, with their counts."""
+
+    def __init__(self, n: int, hot: np.ndarray, counts: np.ndarray):
+        self.n, self.hot, self.counts = n, hot, counts
+
+    def of(self, word: np.ndarray, beside: np.ndarray) -> np.ndarray:
+        h = mix(word.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D))
+        _, hot = _find(self.hot, word)
+        h[hot] = _hash(word[hot], beside[hot])
+        return ((h >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
+
+
+def _sorted(bucket: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """An order by bucket, then by bits of the hashes: what is equal in all of them comes together but for rare collisions."""
+    bits = 40 // len(keys)
+    code = bucket.astype(np.uint64) << np.uint64(40)
+    for k, key in enumerate(keys):
+        code |= (key >> np.uint64(64 - bits)) << np.uint64(40 - bits * (k + 1))
+    return np.argsort(code)
+
+
+BLOCK = "bucket int, kind int, block binary"
+
+
+def _blocks(bucket: np.ndarray, kind: int, base: int, columns: list[np.ndarray]):
+    """A row (BLOCK) for each bucket of rows that are in its order: base, then the columns one after the other."""
+    if not len(bucket):
+        return
+    lo = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    hi = np.concatenate([lo[1:], [len(bucket)]])
+    head = np.int64(base).tobytes()
+    packed = [head + b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(lo, hi, strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[lo], pa.int32()), pa.array(np.full(len(lo), kind, np.int32)), pa.array(packed, pa.binary())], names=["bucket", "kind", "block"])
+
+
+def _unpacked(blocks: list[bytes], types: list) -> list[np.ndarray]:
+    """The columns of blocks of one kind, and the base of every row in front."""
+    width = sum(np.dtype(t).itemsize for t in types)
+    sizes = [(len(b) - 8) // width for b in blocks]
+    out = [np.repeat(np.array([int.from_bytes(b[:8], "little", signed=True) for b in blocks], np.int64), sizes)]
+    at = [8] * len(blocks)
+    for t in types:
+        step = np.dtype(t).itemsize
+        parts = []
+        for k, (b, n) in enumerate(zip(blocks, sizes, strict=True)):
+            parts.append(np.frombuffer(b, t, n, at[k]))
+            at[k] += n * step
+        out.append(np.concatenate(parts) if parts else np.zeros(0, t))
+    return out
+
+
+def _by_bucket(batches):
+    """(bucket, {kind: blocks}) of rows in order of their buckets."""
+    bucket, held = None, {}
+    for batch in batches:
+        for b, kind, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "block")), strict=True):
+            if b != bucket and held:
+                yield bucket, held
+                held = {}
+            bucket = b
+            held.setdefault(kind, []).append(block)
+    if held:
+        yield bucket, held
+
+
+def _exchanged(blocks: DataFrame, buckets: int) -> DataFrame:
+    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def _chunks(batches):
+    """Tokens of as many texts as come to CHUNK_TOKENS, or one slice: (first, before, word, document, batches)."""
+    held, n, docs = [], 0, 0
+    for b in slices(batches):
+        first, before, w, doc = _tokens(Words(b.column("text")))
+        held.append((first, before, w, doc + docs, b))
+        n, docs = n + len(w), docs + b.num_rows
+        if n >= CHUNK_TOKENS:
+            yield *(np.concatenate(x) for x in list(zip(*held, strict=True))[:4]), [x[4] for x in held]
+            held, n, docs = [], 0, 0
+    if held:
+        yield *(np.concatenate(x) for x in list(zip(*held, strict=True))[:4]), [x[4] for x in held]
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
 
 
-class Classes:
-    """The numbers of a model's events, in order of their hashes."""
+def _count_words(texts: DataFrame) -> DataFrame:
+    """(key, n) of all words, summed over each task first, then over all."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-        self.size = len(hashes)
+    def run(batches):
+        keys, counts = None, None
+        for b in slices(batches):
+            u, n = np.unique(Words(b.column("text")).hash.view(np.int64), return_counts=True)
+            if keys is None:
+                keys, counts = u, n
+            else:
+                keys, back = np.unique(np.concatenate([keys, u]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
+        if keys is not None:
+            for lo in range(0, len(keys), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 200_000]), pa.array(counts[lo : lo + 200_000].astype(np.int64))], names=["key", "n"])
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.hashes, h)
+    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+@dataclass
 class Model:
-    """The tables of a fitted model and its scalars.
+    """What a fitted model has besides the texts: the table of words (key, n), the table of pairs in blocks, and numbers.
 
-    words has (key, n, unigram, alpha) of every word, the end and the begin; table has
-    (key, h, n, p, gain) of every pair. classes, unigram, alpha and pairs are the same
-    by number, collected: for small models.
+    total counts the tokens, types the distinct ones, n_docs the texts; d1, d2, d3 are
+    the discounts of each order, whole and unseen what words keep and new ones share
+    without a history; heavy has, for each hot word before, what its pairs keep and leave
+    over: (words, factor of the pairs, log10 of the weight).
     """
 
-    def __init__(self, spark, unigrams, words, table, total, types, n_docs, common_words, common_pairs):
-        self.spark, self.unigrams, self.words, self.table = spark, unigrams, words, table
-        self.total, self.types, self.n_docs = total, types, n_docs
-        self.common_words, self.common_pairs = common_words, common_pairs
-
-    @cached_property
-    def _rows(self):
-        unseen = self.spark.createDataFrame([(RARE, 1.0 / (self.total + 2), 1.0)], "key long, unigram double, alpha double")
-        return self.words.select("key", "unigram", "alpha").unionAll(unseen).toPandas().sort_values("key")
-
-    @cached_property
-    def classes(self):
-        return self.spark.sparkContext.broadcast(Classes(self._rows["key"].to_numpy()))
-
-    @property
-    def unigram(self) -> np.ndarray:
-        return self._rows["unigram"].to_numpy()
-
-    @property
-    def alpha(self) -> np.ndarray:
-        return self._rows["alpha"].to_numpy()
-
-    @cached_property
-    def pairs(self) -> DataFrame:
-        seen, of = self.table.withColumn("w", _word_of("key", "h")).toPandas(), self.classes.value.of
-        seen["key"] = of(seen["h"].to_numpy()) * self.classes.value.size + of(seen["w"].to_numpy())
-        return self.spark.createDataFrame(seen[["key", "n", "p", "gain"]], "key long, n long, p double, gain double")
-
-
-def _release(spark: SparkSession, *paths: str) -> None:
-    """Lets go of the disk of finished steps: scratch tables that are no longer read, and shuffle files that no plan refers to."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    jvm.java.lang.System.gc()
-
-
-def _written(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
+    words: DataFrame
+    pairs: DataFrame
+    total: int
+    types: int
+    n_docs: int
+    d1: np.ndarray
+    d2: np.ndarray
+    d3: np.ndarray
+    whole: float
+    unseen: float
+    buckets: Buckets
+    common: tuple[np.ndarray, np.ndarray]
+    heavy: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def unigram(self, n: np.ndarray) -> np.ndarray:
+        return _discounted(self.d1, n) * self.whole / max(1, self.total)
+
+
+def _weights(n: np.ndarray, kept: np.ndarray, small: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(factor of the seen successors, weight of the unseen ones) of histories that occur n times.
+
+    kept is the sum of the discounted counts, small whether any of them is discounted,
+    below the probability of the seen successors after the shorter history.
+    """
+    factor = np.where(small, 1.0, n / (n + 1.0))
+    left, room = 1.0 - factor * kept / n, 1.0 - below
+    return factor, np.where(room > 1e-12, np.maximum(left, 1e-12) / np.maximum(room, 1e-12), 1e-12)
 
-def _look_up(df: DataFrame, on: str, words: DataFrame, top: DataFrame) -> DataFrame:
-    """df with the columns of its words: those of common ones by broadcast, of all others by key."""
-    words, top = words.withColumnRenamed("key", on), F.broadcast(top.withColumnRenamed("key", on))
-    rest = df.join(top.select(on), on, "left_anti").join(words, on)
-    return df.join(top, on).unionByName(rest)
 
+def fit(spark: SparkSession, docs: DataFrame, common_words: int = COMMON_WORDS, bucket_tokens: int = BUCKET_TOKENS, passes: int = PASSES) -> Model:
+    """Counts over all of docs(text, held) that are not held; the table of pairs serves the others too.
 
-def fit(spark: SparkSession, docs: DataFrame, vocabulary: int = VOCABULARY, common_words: int = COMMON_WORDS, common_pairs: int = COMMON_PAIRS) -> Model:
-    """Counts over all texts of docs(text). The bounds say what is sent to the tasks; the model does not depend on them."""
-    texts = docs.select("text")
-    unigrams = materialize(spark, _count_keys(texts, lambda b: Words(b.column("text")).hash.view(np.int64), "long"), "lm-unigrams")
-    sums = unigrams.agg(F.sum("n"), F.count(F.lit(1))).first()
+    The other arguments bound what tasks hold and write at once, not the model.
+    """
+    texts = docs.where("not held").select("text")
+    words = materialize(spark, _count_words(texts), "lm-words")
     n_docs = texts.count()
-    n_words, word_types = sums[0] or 0, sums[1]
-    total = n_words + n_docs
-    counts, counts_path = _written(spark, _count_pairs(texts).where("n > 1"), "lm-pairs")
-    _release(spark)
-    # Unseen words and the end have one more, so both always have a share. A word is a history as often as it occurs.
-    ends = spark.createDataFrame([(END, n_docs, (n_docs + 1) / (total + 2)), (BEGIN, n_docs, 0.0)], "key long, n long, unigram double")
-
-    def with_ends(df):
-        return df.select("key", "n", (F.col("n") / F.lit(total + 2.0)).alias("unigram")).unionAll(ends)
-
-    levels, top = with_ends(unigrams), with_ends(commonest(unigrams, "n", vocabulary))
-    d = _discounts({r["n"]: r["count"] for r in counts.where(F.col("n") <= KATZ_K + 1).groupBy("n").count().collect()})
-    factor = F.when(F.col("n") > KATZ_K, (F.col("n") - 0.5) / F.col("n")).otherwise(F.element_at(F.array(*map(F.lit, map(float, d))), F.least(F.col("n"), F.lit(KATZ_K)).cast("int") + 1))
-    kept = _look_up(counts.withColumn("w", _word_of("key", "h")), "w", levels.drop("n"), top.drop("n"))
-    totals = [df.select("key", F.col("n").alias("total")) for df in (levels, top)]
-    kept = _look_up(kept, "h", *totals).withColumn("p", factor * F.col("n") / F.col("total"))
-    kept, kept_path = _written(spark, kept.select("key", "h", "n", "p", "unigram"), "lm-kept")
-    _release(spark, counts_path)
-    used = kept.groupBy(F.col("h").alias("key")).agg(F.sum("p").alias("used"), F.sum("unigram").alias("mass"))
-    left = 1.0 - F.col("mass")
-    alpha = F.when(F.col("mass").isNull(), 1.0).when(left > 1e-12, F.greatest(F.lit(1e-12), 1.0 - F.col("used")) / left).otherwise(1e-12)
-    words = materialize(spark, levels.join(used, "key", "left").select("key", "n", "unigram", alpha.alias("alpha")), "lm-words")
-    top = words.join(F.broadcast(top.select("key")), "key")
-    table = _look_up(kept, "h", words.select("key", "alpha"), top.select("key", "alpha"))
-    gain = F.log10("p") - F.log10("alpha") - F.log10("unigram")
-    path = scratch_path(spark, "lm-model")
-    table = table.select("key", "h", "n", "p", gain.alias("gain"), F.pmod("h", F.lit(PARTITIONS)).cast("int").alias("part"))
-    table.write.partitionBy("part").parquet(path)
-    table = spark.read.schema(table.schema).parquet(path).drop("part")
-    _release(spark, kept_path)
-    often = commonest(table, "n", common_pairs).select("key", "gain").toPandas().sort_values("key")
-    known = commonest(words, "n", common_words).select("key", "n", _weight().alias("weight")).toPandas().sort_values("key")
-    return Model(
-        spark, unigrams, words, table, total, word_types + (n_docs > 0), n_docs,
-        (known["key"].to_numpy(np.int64), known["n"].to_numpy(np.int64), known["weight"].to_numpy(float)), (often["key"].to_numpy(np.int64), often["gain"].to_numpy(float)))
-
-
-def _weight() -> Column:
-    """What an occurrence of a word adds to a score: as a token without its pair, and as the history of the next one."""
-    return F.when(F.col("unigram") > 0, F.log10("unigram") + F.log10("alpha")).otherwise(0.0)
-
-
-def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return at, keys[at] == x
+    ends = spark.createDataFrame([(END, n_docs)], "key long, n long").where("n > 0")
+    words = words.unionAll(ends)
+    capped = F.least("n", F.lit(KATZ_K + 1))
+    # One row for each small count: tokens, types, and the count of counts.
+    rows = {r["r"]: (r["tokens"], r["types"]) for r in words.groupBy(capped.alias("r")).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types")).collect()}
+    exact = words.where(F.col("n") == KATZ_K + 1).count()
+    total, types = sum(t for t, _ in rows.values()), sum(k for _, k in rows.values())
+    of = np.array([0, *(rows.get(r, (0, 0))[1] for r in range(1, KATZ_K + 1)), exact])
+    d1 = discounts(of)
+    lost = sum((1 - d1[r]) * r * of[r] for r in range(1, KATZ_K + 1))
+    whole, unseen = (1.0, lost / total) if lost else (total / (total + 1), 1 / (total + 1))
+    n_buckets = max(1, -(-total // bucket_tokens))
+    often = words.where(F.col("n") * 2 * n_buckets >= total).toPandas()  # 2 * n_buckets words at most
+    hot = dict(zip(often["key"], often["n"], strict=True)) | {BEGIN: n_docs}
+    keys = np.array(sorted(hot), np.int64)
+    buckets = Buckets(n_buckets, keys, np.array([hot[k] for k in keys], np.int64))
+    cached = commonest(words, "n", common_words).toArrow()
+    order = np.argsort(cached["key"].to_numpy())
+    common = (cached["key"].to_numpy()[order], cached["n"].to_numpy()[order])
+    one = Model(words, words, total, types, n_docs, d1, d1, d1, whole, unseen, buckets, common, (keys, keys, keys))
+    shared = spark.sparkContext.broadcast((buckets, common, one.d1, whole, total))
+    found = None
+    for part in range(passes):
+        # Written part by part, each partitioned by kind: pairs, sums of hot words, counts of counts.
+        counted = materialize(spark, _exchanged(_counting(docs, shared, part, passes), n_buckets).mapInArrow(_counted(shared), COUNTED), "lm-counts")
+        _release(spark)
+        found = counted if found is None else found.unionAll(counted)
+    of = np.zeros((2, KATZ_K + 2), np.int64)
+    for r in found.where(F.col("kind") == _OF_COUNTS).groupBy("key").agg(F.sum(F.col("numbers")[0]).alias("n")).collect():
+        of[divmod(r["key"], 100)] = r["n"]
+    d2, d3 = discounts(of[0]), discounts(of[1])
+    sums = found.where(F.col("kind") == _HOT_SUMS).groupBy("key").agg(*(F.sum(F.col("numbers")[k]).alias(f"s{k}") for k in range(KATZ_K + 2))).toPandas().sort_values("key")
+    heavy = sums["key"].to_numpy(np.int64)
+    n = buckets.counts[_find(keys, heavy)[0]] if len(heavy) else np.zeros(0, np.int64)
+    by_count = [sums[f"s{r}"].to_numpy(float) for r in range(KATZ_K + 2)]  # s0: probability without a history, s1..: pairs of that count, the last: larger counts
+    kept = sum(d2[r] * r * by_count[r] for r in range(1, KATZ_K + 1)) + by_count[KATZ_K + 1] if len(heavy) else np.zeros(0)
+    small = sum(by_count[1 : KATZ_K + 1]) > 0 if len(heavy) else np.zeros(0, bool)
+    factor, weight = _weights(np.maximum(n, 1), kept, small, by_count[0] / _SCALE)
+    pairs = found.where(F.col("kind") == _PAIRS).select("bucket", F.lit(0).alias("kind"), "block")
+    return Model(words, pairs, total, types, n_docs, d1, d2, d3, whole, unseen, buckets, common, (heavy, factor, np.log10(weight)))
+
+
+_PAIRS, _HOT_SUMS, _OF_COUNTS = 0, 1, 2
+_TOKENS, _TEXTS, _SUMS, _LATE = 1, 2, 3, 4
+COUNTED = "kind int, bucket int, block binary, key long, numbers array<long>"
+
+
+def _counting(docs: DataFrame, shared, part: int, passes: int) -> DataFrame:
+    """Blocks (word, before, first, n) of the n-grams whose bucket, by the word, belongs to this part.
+
+    Texts that are held count 0; of them only what follows a hot word goes along: the
+    second exchange deals it out where the table of pairs has to follow.
+    """
 
+    def run(batches):
+        buckets = shared.value[0]
+        for first, before, w, doc, texts in _chunks(batches):
+            teaches = np.concatenate([~np.asarray(b.column("held").to_numpy(zero_copy_only=False)) for b in texts])[doc]
+            bucket = buckets.of(w, before)
+            mine = np.flatnonzero((bucket % passes == part) & (teaches | _find(buckets.hot, before)[1]))
+            first, before, w, bucket, teaches = first[mine], before[mine], w[mine], bucket[mine], teaches[mine]
+            pair = _hash(w, before)
+            triple = _hash(pair.view(np.int64), first)
+            order = _sorted(bucket, mix(w.view(np.uint64)), pair, triple)
+            triple, bucket = triple[order], bucket[order]
+            new = np.flatnonzero(np.concatenate([[True], triple[1:] != triple[:-1]])) if len(order) else order
+            n = np.add.reduceat(teaches[order].astype(np.uint32), new) if len(new) else np.zeros(0, np.uint32)
+            at = order[new]
+            yield from _blocks(bucket[new], 0, 0, [w[at], before[at], first[at], n.astype(np.uint32)])
+
+    return docs.select("text", "held").mapInArrow(run, BLOCK)
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct key, the number of its key for each row)."""
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    return first, back
+
+
+def _counted(shared):
+    def run(batches):
+        buckets, (known, known_n), d1, whole, total = shared.value
+        of = np.zeros((2, KATZ_K + 2), np.int64)
+        hot_sums = np.zeros((len(buckets.hot), KATZ_K + 2), np.int64)
+        for _, held in _by_bucket(batches):
+            _, w, before, first, n = _unpacked(held[0], [np.int64, np.int64, np.int64, np.uint32])
+            pair = _hash(w, before)
+            at, back = _grouped(_hash(pair.view(np.int64), first))
+            triples = np.bincount(back, n).astype(np.int64)
+            of[1] += np.bincount(np.minimum(triples[first[at] != NONE], KATZ_K + 2), minlength=KATZ_K + 3)[: KATZ_K + 2]
+            w, before, first, pair = w[at], before[at], first[at], pair[at]
+            at, back = _grouped(pair)
+            pairs = np.bincount(back, triples).astype(np.int64)
+            of[0] += np.bincount(np.minimum(pairs, KATZ_K + 2), minlength=KATZ_K + 3)[: KATZ_K + 2]
+            # How often the word occurs: all of it is here, unless it is hot.
+            each, number = _grouped(w[at])
+            times = np.bincount(number, pairs).astype(np.int64)[number]
+            place, hot = _find(buckets.hot, w[at])
+            times[hot] = buckets.counts[place[hot]]
+            place, hot = _find(buckets.hot, before[at])
+            hot &= pairs > 0
+            few = np.minimum(pairs[hot], KATZ_K + 1)
+            np.add.at(hot_sums, (place[hot], few), np.where(few > KATZ_K, pairs[hot], 1))
+            alone = np.rint(_discounted(d1, times[hot]) * whole / total * _SCALE).astype(np.int64)
+            np.add.at(hot_sums, (place[hot], 0), alone)
+            # The second exchange needs a pair where its count or its word's is not at hand.
+            need = np.flatnonzero(_find(buckets.hot, before)[1] | ~_find(known, w)[1])
+            to = buckets.of(before[need], first[need])
+            chosen, _ = _grouped(_hash(pair[need].view(np.int64), to))
+            need, to = need[chosen], to[chosen]
+            order = np.argsort(to, kind="stable")
+            need, to = need[order], to[order]
+            for b in _blocks(to, 0, 0, [before[need], w[need], pairs[back[need]].astype(np.uint32), times[back[need]].astype(np.uint32)]):
+                none = pa.nulls(b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("bucket"), b.column("block"), none.cast(pa.int64()), none.cast(pa.list_(pa.int64()))], names=_NAMES)
+        rows = [(_OF_COUNTS, 100 * k + r, [int(of[k, r])]) for k in range(2) for r in range(KATZ_K + 2) if of[k, r]]
+        rows += [(_HOT_SUMS, int(buckets.hot[k]), hot_sums[k].tolist()) for k in np.flatnonzero(hot_sums.any(axis=1))]
+        none = pa.nulls(len(rows))
+        kind, key, numbers = ([r[k] for r in rows] for k in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array(key, pa.int64()), pa.array(numbers, pa.list_(pa.int64()))], names=_NAMES)
+
+    return run
+
+
+_NAMES = [c.split()[0] for c in COUNTED.split(", ")]
+
+
+def _row_base() -> int:
+    return TaskContext.get().partitionId() << 36
+
+
+def _dealt(docs: DataFrame, shared, part: int, passes: int) -> DataFrame:
+    """Blocks of all tokens whose bucket, by the word before, belongs to this part: first, before, word, text and whether it teaches, n.
+
+    Texts are numbered within this one job; their keys go along, in blocks of their own.
+    """
 
-def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    def run(batches):
+        buckets, row = shared.value.buckets, _row_base()
+        for first, before, w, doc, texts in _chunks(batches):
+            teaches = np.concatenate([~np.asarray(b.column("held").to_numpy(zero_copy_only=False)) for b in texts])
+            bucket = buckets.of(before, first)
+            mine = np.flatnonzero(bucket % passes == part)
+            triple = _hash(_hash(w[mine], before[mine]).view(np.int64), first[mine])
+            order = _sorted(bucket[mine], mix(before[mine].view(np.uint64)), triple)
+            at, triple = mine[order], triple[order]
+            # Tokens of a text that are equal and came together are one row.
+            same = (triple[1:] == triple[:-1]) & (doc[at][1:] == doc[at][:-1])
+            new = np.flatnonzero(np.concatenate([[True], ~same])) if len(at) else at
+            n = np.diff(np.concatenate([new, [len(at)]])).astype(np.uint32)
+            at = at[new]
+            yield from _blocks(bucket[at], _TOKENS, row, [first[at], before[at], w[at], (2 * doc[at] + teaches[doc[at]]).astype(np.uint32), n])
+            keys = [np.concatenate([b.column(k).to_numpy() for b in texts]) for k in ("k1", "k2")]
+            to = TaskContext.get().partitionId() % max(1, buckets.n // passes) * passes + part
+            yield from _blocks(np.full(len(teaches), to), _TEXTS, row, keys)
+            row += len(teaches)
+
+    return docs.select("text", "held", "k1", "k2").mapInArrow(run, BLOCK)
+
+
+def _evaluated(m: Model, pairs: list[bytes], tokens: list[bytes]):
+    """(texts, their sums), and (texts, words, times) whose probability without a history is still to be added."""
+    base, first, before, w, doc, n = _unpacked(tokens, [np.int64, np.int64, np.int64, np.uint32, np.uint32])
+    row, n, teaches = base + (doc >> 1), n.astype(np.int64), (doc & 1).astype(np.int64)
+    _, of_before, of_w, given, given_times = _unpacked(pairs, [np.int64, np.int64, np.uint32, np.uint32])
+    # Triples, then pairs, then words before, each with its training count.
+    pair = _hash(w, before)
+    at3, back3 = _grouped(_hash(pair.view(np.int64), first))
+    c3 = np.bincount(back3, n * teaches).astype(np.int64)
+    first, before, w, pair = first[at3], before[at3], w[at3], pair[at3]
+    at2, to2 = _grouped(pair)
+    c2 = np.bincount(to2, c3).astype(np.int64)
+    key = _hash(of_w, of_before)
+    order = np.argsort(key)
+    place, there = _find(key[order], pair[at2])
+    hot_at, hot = _find(m.buckets.hot, before[at2])
+    c2[hot] = np.where(there[hot], given[order][place[hot]] if len(order) else 0, 0)
+    known_at, known = _find(m.common[0], w[at2])
+    times = np.where(known, m.common[1][known_at] if len(m.common[0]) else 0, 0)
+    rare = ~known & there
+    times[rare] = given_times[order][place[rare]]
+    p1 = np.where(times > 0, m.unigram(times), 0.0)
+    at1, to1 = _grouped(before[at2])
+    hot1_at, hot1 = _find(m.buckets.hot, before[at2][at1])
+    c1 = np.bincount(to1, c2).astype(np.int64)
+    c1[hot1] = m.buckets.counts[hot1_at[hot1]]
+    kept2, seen2 = _discounted(m.d2, c2), c2 > 0
+    small = np.bincount(to1, (seen2 & (c2 <= KATZ_K)).astype(float)) > 0
+    with np.errstate(divide="ignore"):
+        factor1, weight1 = _weights(np.maximum(c1, 1), np.bincount(to1, kept2), small, np.bincount(to1, p1 * seen2))
+        log1 = np.where(c1 > 0, np.log10(weight1), 0.0)
+        heavy_at, heavy = _find(m.heavy[0], before[at2][at1])
+        factor1[heavy], log1[heavy] = m.heavy[1][heavy_at[heavy]], m.heavy[2][heavy_at[heavy]]
+        p2 = factor1[to1] * kept2 / np.maximum(c1, 1)[to1]
+        # A word without a count at hand is either new or rare; the table of words tells later.
+        later = ~seen2 & (times == 0)
+        log2 = np.where(seen2, np.log10(p2), log1[to1] + np.where(later, 0.0, np.log10(p1)))
+        # Histories of two words.
+        ath, toh = _grouped(_hash(before, first))
+        ch = np.bincount(toh, c3).astype(np.int64)
+        seen3 = (c3 > 0) & (first != NONE)
+        kept3 = _discounted(m.d3, c3)
+        small = np.bincount(toh, (seen3 & (c3 <= KATZ_K)).astype(float)) > 0
+        factor2, weight2 = _weights(np.maximum(ch, 1), np.bincount(toh, kept3), small, np.bincount(toh, p2[to2] * seen3))
+        after = (ch > 0) & (first[ath] != NONE)
+        log3 = np.where(seen3, np.log10(factor2[toh] * kept3 / np.maximum(ch, 1)[toh]), log2[to2] + np.where(after, np.log10(weight2), 0.0)[toh])
+    texts, back = np.unique(row, return_inverse=True)
+    sums = np.bincount(back, n * log3[back3])
+    open_ = np.flatnonzero((later[to2] & ~seen3)[back3])
+    return (texts, sums), (row[open_], w[back3[open_]], n[open_])
+
+
+def _scored(shared):
+    def run(batches):
+        m = shared.value
+        for _, held in _by_bucket(batches):
+            for block in held.get(_TEXTS, []):
+                source = int.from_bytes(block[:8], "little") >> 36
+                yield pa.RecordBatch.from_arrays([pa.array([source], pa.int32()), pa.array([_TEXTS], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "kind", "block"])
+            if _TOKENS in held:
+                (texts, sums), (rows, words, n) = _evaluated(m, held.get(_PAIRS, []), held[_TOKENS])
+                yield from _blocks(texts >> 36, _SUMS, 0, [texts, sums])
+                order = np.argsort(rows, kind="stable")
+                yield from _blocks(rows[order] >> 36, _LATE, 0, [rows[order], words[order], n[order]])
+
+    return run
+
+
+def _summed(batches):
+    """(k1, k2, score, copies) of the texts of a source, and (k1, k2, key, times) of their words that are still to be looked up."""
+    for _, held in _by_bucket(batches):
+        base, k1, k2 = _unpacked(held[_TEXTS], [np.int64, np.int64])
+        starts = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))
+        rows = base + np.arange(len(base)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(base)]])))
+        order = np.argsort(rows)
+        rows, k1, k2 = rows[order], k1[order], k2[order]
+        _, texts, sums = _unpacked(held.get(_SUMS, []), [np.int64, np.float64])
+        order = np.lexsort((sums, texts))  # one order of addition, whatever the order of arrival
+        total = np.bincount(np.searchsorted(rows, texts[order]), sums[order], minlength=len(rows)).astype(float)
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(total), none, none], names=_SUMMED)
+        _, texts, words, n = _unpacked(held.get(_LATE, []), [np.int64, np.int64, np.int64])
+        at = np.searchsorted(rows, texts)
+        yield pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), pa.nulls(len(at), pa.float64()), pa.array(words), pa.array(n)], names=_SUMMED)
+
+
+_SUMMED = ["k1", "k2", "score", "key", "times"]
+
+
+def score(spark: SparkSession, docs: DataFrame, common_words: int = COMMON_WORDS, bucket_tokens: int = BUCKET_TOKENS, passes: int = PASSES) -> DataFrame:
     """Scores of every row of docs(doc_id, text, ...) by a model of the rows that are not held out.
 
     Held out are those with crc32(doc_id as text) mod 7 = 2. Columns: doc_id, held_out,
@@ -256,58 +513,64 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     A null text is an empty one: its only token is the end. A null doc_id is not held
     out. Rows may repeat; each teaches and is answered. Without training rows every
-    token is new. Other columns are ignored; an empty table gives no rows.
+    token is new, with probability 1. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False))
-    m = fit(spark, docs.where(~held))
-    rare = -float(np.log10(m.total + 2.0))  # of an unseen word; as a history it has the weight 1
-    begin = m.words.where(F.col("key") == BEGIN).select(F.log10("alpha")).first()[0]
-    fixed = float(begin + np.log10(m.n_docs + 1.0) + rare)  # the begin as a history and the end as a token
-    tables = spark.sparkContext.broadcast((m.common_words, m.common_pairs))
-    n_end = m.n_docs
+    docs = docs.withColumn("held", F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False)))
+    docs = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit(7))})
+    m = fit(spark, docs, common_words, bucket_tokens, passes)
+    words, pairs = m.words, m.pairs
+    m.words = m.pairs = None  # tables; the rest goes to the tasks
+    shared = spark.sparkContext.broadcast(m)
+    met = None
+    for part in range(passes):
+        blocks = _dealt(docs, shared, part, passes).unionAll(pairs.where(F.col("bucket") % passes == part))
+        blocks = blocks.repartition(m.buckets.n, "bucket").sortWithinPartitions("bucket", "kind")
+        some = materialize(spark, blocks.mapInArrow(_scored(shared), BLOCK), "lm-sums")
+        some = materialize(spark, some.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "k1 long, k2 long, score double, key long, times long"), "lm-scores")
+        _release(spark)
+        met = some if met is None else met.unionAll(some)
+    same = ["k1", "k2"]
+    sums = met.where("score is not null").groupBy(same).agg(F.sum("score").alias("score"), (F.count(F.lit(1)) / passes).alias("copies"))
+    alone = F.element_at(F.array(*map(F.lit, map(float, m.d1))), (F.least("n", F.lit(KATZ_K + 1)) + 1).cast("int")) * F.col("n") * F.lit(m.whole / max(1, m.total))
+    late = met.where("key is not null").select(*same, "key", "times").join(words.select("key", F.log10(alone).alias("log")), "key", "left")
+    late = late.groupBy(same).agg(F.sum(F.col("times") * F.coalesce("log", F.lit(float(np.log10(m.unseen) if m.unseen > 0 else 0.0)))).alias("late"))
+    known = _known(docs, words, shared)
+    per_token = float(np.log10(m.total + m.types + 1.0))
+    out = known.join(sums, same, "left").join(late, same, "left")
+    return out.select(
+        "doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * per_token).alias("base_score"),
+        ((F.col("score") + F.coalesce("late", F.lit(0.0))) / F.col("copies")).alias("score"))  # equal rows were summed up together
+
+
+def _known(docs: DataFrame, words: DataFrame, shared) -> DataFrame:
+    """(k1, k2, doc_id, held, n_tokens, n_known, logs): exact counts of every text's tokens, common words from the cache, the others by a join."""
 
     def run(batches):
-        (word_keys, word_counts, weights), (pair_keys, gains) = tables.value
-        row = TaskContext.get().partitionId() << 36
+        m, row = shared.value, _row_base()
         for b in slices(batches):
-            words, n = Words(b.column("text")), b.num_rows
-            key, _, doc = _tokens(words)
-            total = np.full(n, fixed)
-            at, known = _find(pair_keys, key)
-            if known.any():
-                total += np.bincount(doc[known], gains[at[known]], minlength=n)
-            pairs, pair_doc = key[~known], doc[~known]
-            hashes = words.hash.view(np.int64)
-            at, seen = _find(word_keys, hashes)
-            logs = np.log10(word_counts[at[seen]] + 1.0) if seen.any() else np.zeros(0)
-            base = np.bincount(words.doc[seen], logs, minlength=n) + np.log10(n_end + 1.0)
-            if seen.any():
-                total += np.bincount(words.doc[seen], weights[at[seen]], minlength=n)
-            # A row for every text, then one for every pair and word that the cache lacks.
-            stats = pa.StructArray.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(words.first) + 1), pa.array(np.bincount(words.doc[seen], minlength=n)), pa.array(base), pa.array(total)],
-                names=["doc_id", "n_tokens", "known", "logs", "total"])
+            w, n = Words(b.column("text")), b.num_rows
+            hashes, ends = w.hash.view(np.int64), m.n_docs
+            at, seen = _find(m.common[0], hashes)
+            logs = np.bincount(w.doc[seen], np.log10(m.common[1][at[seen]] + 1.0) if seen.any() else None, minlength=n) + np.log10(ends + 1.0)
             each = row + np.arange(n)
-            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(each), stats], names=["row", "key", "doc"])
-            key, doc = np.concatenate([pairs, hashes[~seen]]), np.concatenate([pair_doc, words.doc[~seen]])
-            yield pa.RecordBatch.from_arrays([pa.array(each[doc]), pa.array(key), pa.nulls(len(key), stats.type)], names=["row", "key", "doc"])
+            stats = [b.column("k1"), b.column("k2"), b.column("doc_id"), b.column("held"), pa.array(np.diff(w.first) + 1), pa.array(np.bincount(w.doc[seen], minlength=n) + (ends > 0)), pa.array(logs.astype(float))]
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(each), *stats, none, none], names=_KNOWN)
+            # A row for every text and word that the cache lacks.
+            pair, times = np.unique(np.stack([each[w.doc[~seen]], hashes[~seen]]), axis=1, return_counts=True) if (~seen).any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+            none = [pa.nulls(len(times), s.type) for s in stats]
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), *none, pa.array(pair[1]), pa.array(times.astype(np.int64))], names=_KNOWN)
             row += n
 
-    schema = "row long, key long, doc struct<doc_id:long,n_tokens:long,known:long,logs:double,total:double>"
-    stored = m.table.select("key", F.col("gain").alias("value"), F.lit(None).cast("long").alias("n")).unionAll(m.words.select("key", _weight().alias("value"), "n"))
-    # Tokens that the model lacks go; the rows of the texts stay and take nothing from the tables.
-    met = docs.mapInArrow(run, schema).join(stored, "key", "left").where("doc is not null or value is not null")
-    token = F.col("doc").isNull()
+    met = docs.select("text", "k1", "k2", "doc_id", "held").mapInArrow(run, "row long, k1 long, k2 long, doc_id long, held boolean, n_tokens long, n_known long, logs double, key long, times long")
+    met = met.join(words, "key", "left")
+    one = F.col("key").isNull()
     out = met.groupBy("row").agg(
-        *(F.max(f"doc.{c}").alias(c) for c in ("doc_id", "n_tokens", "known", "logs", "total")),
-        F.count(F.when(token, F.col("n"))).alias("met"), F.sum(F.when(token, F.log10(F.col("n") + 1.0))).alias("met_logs"), F.sum(F.when(token, F.col("value"))).alias("gained"))
-    per_token = float(np.log10(m.total + m.types + 1.0))
-    zero = F.lit(0.0)
-    counted = F.col("known") + F.col("met")
-    return out.select(
-        "doc_id", F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens",
-        (counted + F.lit(1 if n_end else 0)).cast("long").alias("n_known"),
-        F.lit(m.total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("met_logs", zero) - F.col("n_tokens") * per_token).alias("base_score"),
-        (F.col("total") + F.coalesce("gained", zero) + (F.col("n_tokens") - 1 - counted) * rare).alias("score"))
+        *(F.max(F.when(one, F.col(c))).alias(c) for c in ("k1", "k2", "doc_id", "held", "n_tokens", "n_known", "logs")),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
+    return out.select("k1", "k2", "doc_id", "held", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("logs") + F.coalesce("more_logs", F.lit(0.0))).alias("logs"))
+
+
+_KNOWN = ["row", "k1", "k2", "doc_id", "held", "n_tokens", "n_known", "logs", "key", "times"]

@@ -103,3 +103,62 @@ def language_model(train):
 
 def letter_runs(text):
     return [w for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ") if w]
+
+
+def katz(train, k=5):
+    """A Katz model of order three of texts, plainly: probability(word, history), its words, and counts by order."""
+    counts = [Counter(), Counter(), Counter()]
+    for text in train:
+        tokens = [*words_of(text), "</s>"]
+        before = ["<s>", *tokens]
+        for i, w in enumerate(tokens):
+            counts[0][(w,)] += 1
+            counts[1][before[i], w] += 1
+            if i:
+                counts[2][before[i - 1], before[i], w] += 1
+    total = sum(counts[0].values())
+
+    def factors(c):
+        n = Counter(c.values())
+        a = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
+        d = {}
+        for r in range(1, k + 1):
+            x = ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) if n[r] and a < 1 else 0.0
+            d[r] = x if 0 < x < 1 else (r - 0.5) / r
+        return d
+
+    d = [factors(c) for c in counts]
+    size = Counter()  # of every history
+    after = defaultdict(list)
+    for c in counts:
+        for gram, n in c.items():
+            size[gram[:-1]] += n
+            after[gram[:-1]].append((gram[-1], n))
+
+    def kept(h, n):
+        return d[len(h)].get(n, 1.0) * n / size[h] * (1.0 if any(x <= k for _, x in after[h]) else size[h] / (size[h] + 1))
+
+    weights = {}
+
+    def weight(h):
+        if h not in weights:
+            left, room = 1 - sum(kept(h, n) for _, n in after[h]), 1 - sum(probability(w, h[1:]) for w, _ in after[h])
+            weights[h] = max(left, 1e-12) / room if room > 1e-12 else 1e-12
+        return weights[h]
+
+    def probability(w, h):
+        n = counts[len(h)].get((*h, w), 0)
+        if n:
+            return kept(h, n)
+        if not h:
+            return 1 - sum(kept((), n) for _, n in after[()]) if total else 1.0
+        return (weight(h) if size[h] else 1.0) * probability(w, h[1:])
+
+    return probability, counts, total
+
+
+def katz_score(model, text):
+    probability, _, _ = model
+    tokens = [*words_of(text), "</s>"]
+    before = ["<s>", *tokens]
+    return sum(math.log10(probability(w, tuple(before[max(0, i - 1) : i + 1]))) for i, w in enumerate(tokens))

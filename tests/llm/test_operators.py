@@ -219,67 +219,42 @@ def test_byte_bpe_of_long_runs():
 # ---- 5 language model
 
 
-def katz(train, texts):
-    """Scores of texts by the formulas, for a corpus whose words all have a class."""
-    sentences = [[*brute.words_of(t), "</s>"] for t in train]
-    count = Counter(w for s in sentences for w in s)
-    total = sum(count.values())
-    uni = {w: n / (total + 2) for w, n in count.items()}
-    uni["</s>"] = (len(train) + 1) / (total + 2)
-    rare = 1 / (total + 2)  # of a word without a count; within that class it has all of it
-    pairs = Counter((h, w) for s in sentences for h, w in zip(["<s>", *s], s, strict=False))
-    history = Counter()
-    for (h, _), n in pairs.items():
-        history[h] += n
-    of = Counter(pairs.values())
-
-    def discounted(n):
-        if n > lm.KATZ_K:
-            return n - 0.5
-        turing = (n + 1) * of[n + 1] / of[n] if of[n] and of[n + 1] else 0
-        return turing if 0 < turing < n else n - 0.5
-
-    p = {k: discounted(n) / history[k[0]] for k, n in pairs.items() if n > 1}
-    used, mass = Counter(), Counter()
-    for (h, w), x in p.items():
-        used[h] += x
-        mass[h] += uni[w]
-    alpha = {h: (1 - used[h]) / (1 - mass[h]) for h in used}
-    out = {}
-    for i, t in texts:
-        h, s = "<s>", 0.0
-        for w in [*brute.words_of(t), "</s>"]:
-            s += math.log10(p[h, w]) if (h, w) in p else math.log10(alpha.get(h, 1) * uni.get(w, rare))
-            h = w if w in uni else "<rare>"
-        out[i] = s
-    return out, count, total
-
-
-def test_katz(spark, docs, rows):
-    docs = docs.where("length(text) < 2000 or text is null")
-    rows = [(i, t) for i, t in rows if t is None or len(t) < 2000]
-    train = [t for i, t in rows if crc(i, 7) != 2]
-    want, count, total = katz(train, rows)
-    got = found(lm.score(spark, docs))
-    assert len({w for t in train for w in brute.words_of(t)}) <= lm.VOCABULARY
+@pytest.mark.parametrize("bounds", [{}, {"common_words": 40, "bucket_tokens": 700, "passes": 3}])
+def test_katz(spark, docs, rows, edges, bounds):
+    """Scores by the formulas, held-out texts with unknown words and repeated rows included; the bounds change nothing."""
+    table = docs.select("doc_id", "text").unionByName(edges.where("doc_id is not null and length(text) < 5000 or text is null").select("doc_id", "text")).where("length(text) < 2000 or text is null")
+    rows = [tuple(r) for r in table.collect()]
+    model = brute.katz([t for i, t in rows if crc(i, 7) != 2])
+    _, counts, total = model
+    got = found(lm.score(spark, table, **bounds))
+    new = 0
     for i, t in rows:
-        tokens = [*brute.words_of(t), "</s>"]
+        tokens = [(w,) for w in [*brute.words_of(t), "</s>"]]
         r = got[i]
         assert r["held_out"] == (crc(i, 7) == 2) and r["train_tokens"] == total
-        assert (r["n_tokens"], r["n_known"]) == (len(tokens), sum(w in count for w in tokens))
-        base = sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in tokens)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        assert r["score"] == pytest.approx(want[i], rel=1e-6)
-
-
-@pytest.mark.parametrize("bounds", [{}, {"vocabulary": 150, "common_words": 100, "common_pairs": 50}])
-def test_katz_histories_sum_to_one(spark, docs, bounds):
-    m = lm.fit(spark, docs, **bounds)
-    size = m.classes.value.size
-    seen = m.pairs.toPandas()
-    h, w = seen["key"].to_numpy(np.int64) // size, seen["key"].to_numpy(np.int64) % size
-    mass, used = np.bincount(h, seen["p"], size), np.bincount(h, m.unigram[w], size)
-    np.testing.assert_allclose(mass + m.alpha * (m.unigram.sum() - used), 1, atol=1e-9)
+        assert (r["n_tokens"], r["n_known"]) == (len(tokens), sum(w in counts[0] for w in tokens))
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[0][w] + 1) / (total + len(counts[0]) + 1)) for w in tokens), rel=1e-9)
+        assert r["score"] == pytest.approx(brute.katz_score(model, t), rel=1e-8)
+        new += len(tokens) - r["n_known"]
+    assert new > 100
+
+
+def test_katz_histories_sum_to_one(rows):
+    train = [t for i, t in rows if crc(i, 7) != 2 and t is not None and len(t) < 1000]
+    probability, counts, _ = brute.katz(train)
+    words = [w for w, in counts[0]]
+    for h in [(), ("<s>",), *sorted(counts[1])[::997], *((h[1],) for h in sorted(counts[1])[::991])]:
+        if h[-1:] != ("</s>",):
+            assert sum(probability(w, h) for w in [*words, "<a new word>"]) == pytest.approx(1, abs=1e-9)
+
+
+def test_discounts():
+    """Good-Turing with the common factor where the counts of counts allow it, a half off elsewhere."""
+    n = np.array([0, 1000, 300, 140, 80, 50, 30])
+    a = 6 * 30 / 1000
+    want = [((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, 6)]
+    np.testing.assert_allclose(lm.discounts(n)[1:], [*want, 1])
+    np.testing.assert_allclose(lm.discounts(np.zeros(7, int))[1:], [0.5, 0.75, 2.5 / 3, 3.5 / 4, 0.9, 1])
 
 
 def test_katz_edges(spark, edges, empty):
