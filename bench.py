@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 QUERIES = [
     "interactions_encode", "split_ratio", "consumed_consecutive", "popular_items", "seq_recent", "feat_sparse", "pair_stats",
-    "itemcf_sims", "usercf_sims", "itemcf_recommend", "itemcf_incremental", "metric_listwise", "neg_unconsumed", "embed_topn",
+    "itemcf_sims", "usercf_sims", "swing_sims", "itemcf_recommend", "itemcf_incremental", "metric_listwise", "neg_unconsumed", "embed_topn",
 ]
 
 
