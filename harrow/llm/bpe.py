@@ -113,9 +113,11 @@ group by i.w order by i.w
 class Bpe:
     """Ranks, merge table and what has been encoded so far, of one worker process."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int):
         import duckdb
 
+        self.remembered = remembered
+
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks, self.has_nodes = ranks, False
@@ -211,7 +213,7 @@ class Bpe:
     def pieces(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
         """For each text its pre-tokens as (ids as little-endian 32-bit integers, decoded bytes)."""
         cut = [(_FAST if _PLAIN.fullmatch(t) else _PATTERN).findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.old = {}, self.known
         new = []
         for word in set().union(*cut) - self.known.keys():
@@ -223,27 +225,28 @@ class Bpe:
         return [list(map(self.known.__getitem__, c)) for c in cut]
 
 
-def loaded(path: str) -> Bpe:
-    return held(("bpe", path), lambda: Bpe(path))
+def loaded(path: str, remembered: int = REMEMBERED) -> Bpe:
+    return held(("bpe", path, remembered), lambda: Bpe(path, remembered))
 
 
 #: What encode() can return besides doc_id.
 OUTPUTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "binary"}
 
 
-def encode(docs: DataFrame, ranks_path: str, outputs: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, outputs: tuple[str, ...] = ("n_tokens", "ids"), remembered: int = REMEMBERED) -> DataFrame:
     """doc_id and the chosen OUTPUTS for every row of docs(doc_id, text, ...).
 
     n_tokens and ids (token ids in order), ids_sha256 (of the ids as little-endian
     unsigned 32-bit integers), decoded (the bytes that decoding the ids gives back) and
     decoded_sha256. Strings that look like special tokens are ordinary text.
 
-    A null text is an empty one: no ids. Rows may repeat and doc_id may be null; every
+    Workers remember remembered pre-tokens, twice over: it bounds their memory and changes
+    no result. A null text is an empty one: no ids. Rows may repeat and doc_id may be null; every
     row is answered. Other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches):
-        bpe = loaded(ranks_path)
+        bpe = loaded(ranks_path, remembered)
         for b in slices(batches):
             pieces = bpe.pieces([t or "" for t in b.column("text").to_pylist()])
             ids = [b"".join([p[0] for p in c]) for c in pieces]

@@ -4,8 +4,9 @@ No piece of the vocabulary holds a space after anything but spaces, or a newline
 text falls apart into pre-tokens that are encoded alone: a word with the spaces before
 it, spaces that no word follows, and newlines. Pieces are counted once per distinct
 pre-token: the commonest get a bounded table that is sent to the tasks, which join it
-to the pre-token frequencies of each document; all others are dealt out by pre-token,
-counted where they meet, and summed by document.
+to the pre-token frequencies of each document; the frequencies of all others are dealt
+out and sorted by pre-token, joined to the count of its pieces there, and summed by
+document.
 """
 
 from __future__ import annotations
@@ -58,7 +59,12 @@ def pieces_of(model_path: str, words: list[str]) -> list[int]:
     if model_path not in _LOADED:
         import sentencepiece
 
-        _LOADED[model_path] = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        for i in range(model.get_piece_size()):
+            piece = model.id_to_piece(i)
+            if _META in piece.lstrip(_META) or ("\n" in piece and piece != "\n"):
+                raise ValueError(f"a piece of this vocabulary goes over the end of a pre-token: {piece!r}")
+        _LOADED[model_path] = model
     coded = _LOADED[model_path].encode([w[1:] if w[0] == " " else "\n" + w for w in words], num_threads=1)
     return [1 if w == " " else len(c) if w[0] == " " else len(c) - 2 for w, c in zip(words, coded, strict=True)]
 
@@ -120,27 +126,33 @@ def count_tokens(spark: SparkSession, docs: DataFrame, model_path: str, limit: i
             known = keys[place] == t.key if len(keys) else np.zeros(len(t.key), bool)
             doc = np.repeat(np.arange(n), np.diff(t.first))
             tokens = t.newlines + np.bincount(doc[known], pieces[place[known]] if len(keys) else None, minlength=n).astype(np.int64)
+            # The others, once for each text, with their frequencies in it.
             rest = np.flatnonzero(~known)
-            words = [t.text(i) for i in rest]
-            first = np.concatenate([[0], np.cumsum(np.bincount(doc[rest], minlength=n))])
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(words, pa.string()))
+            each, at, times = np.unique(np.stack([doc[rest], t.key[rest]]), axis=1, return_index=True, return_counts=True) if len(rest) else (np.zeros((2, 0), np.int64), rest, rest)
+            first = np.concatenate([[0], np.cumsum(np.bincount(each[0], minlength=n))])
+            words = pa.StructArray.from_arrays([pa.array([t.text(i) for i in rest[at]], pa.string()), pa.array(times.astype(np.int64))], names=["word", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), words)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(n)), b.column("doc_id"), pa.array(t.n_bytes), pa.array(tokens), lists], names=["row", "doc_id", "n_bytes", "tokens", "rest"])
             row += n
 
-    counted = materialize(spark, docs.mapInArrow(run, "row long, doc_id long, n_bytes long, tokens long, rest array<string>"), "tc-documents")
+    counted = materialize(spark, docs.mapInArrow(run, "row long, doc_id long, n_bytes long, tokens long, rest array<struct<word:string,n:long>>"), "tc-documents")
 
     def rest_pieces(batches):
-        seen: dict[str, int] = {}
+        # Equal words come one after the other: each is counted once.
+        last, last_pieces = None, 0
         for b in batches:
-            words = b.column("word").to_pylist()
-            if len(seen) > 200_000:
-                seen.clear()
-            new = list(set(words) - seen.keys())
-            seen.update(zip(new, pieces_of(model_path, new), strict=True))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(list(map(seen.__getitem__, words)), pa.int64())], names=["row", "more"])
-
-    each = counted.select("row", F.explode("rest").alias("word"))
-    more = each.repartition("word").mapInArrow(rest_pieces, "row long, more long").groupBy("row").agg(F.sum("more").alias("more"))
+            words = b.column("word").dictionary_encode()
+            names = words.dictionary.to_pylist()
+            new = [w for w in names if w != last]
+            pieces = dict(zip(new, pieces_of(model_path, new), strict=True)) | ({last: last_pieces} if last is not None else {})
+            if names:
+                last = words[len(words) - 1].as_py()
+                last_pieces = pieces[last]
+            counts = np.array([pieces[w] for w in names], np.int64)[words.indices.to_numpy()] if names else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(counts * b.column("n").to_numpy())], names=["row", "more"])
+
+    each = counted.select("row", F.explode("rest").alias("of")).select("row", "of.word", "of.n")
+    more = each.repartition("word").sortWithinPartitions("word").mapInArrow(rest_pieces, "row long, more long").groupBy("row").agg(F.sum("more").alias("more"))
     total = F.col("tokens") + F.coalesce("more", F.lit(0))
     return counted.drop("rest").join(more, "row", "left").select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))

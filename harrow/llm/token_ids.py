@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from harrow.llm.common import Spans, materialize, rows_of_lists, scratch_path, slices
+from harrow.llm.common import Spans, materialize, rows_of_lists, slices
+from harrow.sources.scratch import scratch_path
 
 END_ID = 1
 #: Pre-tokens that a worker remembers before it starts anew.

@@ -174,6 +174,29 @@ def test_token_ids(spark, docs, rows, edges, empty, tmp_path):
     assert one.count() == 1
 
 
+def test_token_id_files(spark, docs, tmp_path):
+    """ORC as promised: integers in run-length encoding, row indexes and Bloom filters on ids, and a filter that skips stripes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    token_ids.write_ids(spark, docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**6)), public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/ids")
+    orc = jvm.org.apache.orc.OrcFile
+    seen = 0
+    for file in (tmp_path / "ids").glob("*.orc"):
+        reader = orc.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), orc.readerOptions(conf))
+        rows = reader.rows()
+        assert reader.getRowIndexStride() == token_ids.INDEX_STRIDE
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            streams = {(s.getColumn(), str(s.getKind())) for s in footer.getStreamsList()}
+            assert {(1, "ROW_INDEX"), (1, "DATA"), (2, "ROW_INDEX"), (2, "LENGTH"), (3, "DATA")} <= streams
+            assert any(c == 1 and kind.startswith("BLOOM_FILTER") for c, kind in streams)
+            assert {str(footer.getColumns(c).getKind()) for c in (1, 2, 3)} == {"DIRECT_V2"}  # run-length encoding, second version
+            seen += 1
+        rows.close()
+    assert seen >= 2
+    some = token_ids.read_ids(spark, f"file://{tmp_path}/ids").where(F.col("doc_id") == docs.first()["doc_id"])
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id" in some._jdf.queryExecution().executedPlan().toString() and some.count() == 1
+
+
 def test_byte_bpe(spark, docs, rows, edges, empty):
     import tiktoken
 
@@ -206,7 +229,7 @@ def test_byte_bpe_of_long_runs():
     runs = [
         draw("abcdefghijklmnopqrstuvwxyz"), draw("abcXYZtheTHE"), draw("0123456789"), draw("!?#=-*./\\"), draw("漢字語文", 3000), draw(["the", "ing", "tion", "er"], 4000),
         draw("aab"), "x" * 10_000, "ab" * 5000, "-" * 9_999, "=" * 401, " " * 5000, "\n" * 5000, "é" * 3000, "😀😃" * 1000, draw("aA", 450)]
-    bpe_ = bpe.Bpe(path)
+    bpe_ = bpe.Bpe(path, bpe.REMEMBERED)
     for words in (*([x] for x in runs), runs):
         began = time.perf_counter()
         ids = bpe_._query_long([x.encode() for x in words])["ids"].to_pylist()
