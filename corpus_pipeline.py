@@ -14,6 +14,10 @@ from harrow.llm import bpe, decontam, minhash, pii, quality
 from harrow.llm.common import documents, materialize
 
 
+#: Pre-tokens that a worker remembers here: it shares its executor with what the stages before have left.
+REMEMBERED = 50_000
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return quality.keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -36,7 +40,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the byte-level BPE ids."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ("n_tokens", "ids_sha256", "decoded_sha256"), REMEMBERED)
 
 
 STAGES = [
