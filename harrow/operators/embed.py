@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,8 +19,10 @@ def predict(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("u", "i", dot("a", "b").alias("score"))
 
 
-def top_items(users: DataFrame, items: DataFrame, n: int, user_block: int = 1024, item_block: int = 8192) -> DataFrame:
-    """(u, i, score, rk): the n items of largest dot product per user.
+def top_items(
+    users: DataFrame, items: DataFrame, n: int, user_block: int = 1024, item_block: int = 8192, forward: Callable[[np.ndarray, np.ndarray], np.ndarray] = lambda x, y: x @ y.T,
+) -> DataFrame:
+    """(u, i, score, rk): the n items of largest score per user; forward(user rows, item rows) gives all scores of two blocks, the dot product by default.
 
     Both sides are packed into blocks; a task multiplies one pair of blocks and keeps n
     per user and block, so what is shuffled grows with users * item blocks * n, not with
@@ -40,7 +44,7 @@ def top_items(users: DataFrame, items: DataFrame, n: int, user_block: int = 1024
             for us, vs in zip(b.column("us"), b.column("vs"), strict=True):
                 (uid, x), (iid, y) = (unpacked(side.values) for side in (us, vs))
                 order = np.argsort(iid)
-                s = x @ y[order].T
+                s = forward(x, y[order])
                 k = min(n, s.shape[1])
                 best = np.argsort(-np.round(s, 6), axis=1, kind="stable")[:, :k]
                 yield pa.RecordBatch.from_arrays(

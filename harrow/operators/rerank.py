@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.functions.expressions import dot
+from harrow.functions.expressions import dot, unit
+from harrow.operators import embed, serve
 
 STOP = 1e-10
 
@@ -53,6 +54,27 @@ def rerank_kernel(kernel: np.ndarray, n: int) -> list[int]:
     return out
 
 
+def candidates(users: DataFrame, items: DataFrame, n: int, n_candidates: int | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """(u, i, score, vec) of each user's n_candidates best items by dot product, vectors at unit length.
+
+    20 times n of them by default, as far as there are items; more than n and no more
+    than the items there are. Items of lists(u, items) are left out where enough others stay.
+    """
+    n_items = items.count()
+    n_candidates = n_candidates or min(20 * n, n_items)
+    if not n < n_candidates <= n_items:
+        raise ValueError(f"candidates must be more than {n} and at most {n_items}")
+    longest = 0 if lists is None else min(lists.agg(F.max(F.size("items"))).first()[0] or 0, n_items - n_candidates)
+    best = embed.top_items(users, items, n_candidates + longest).select("u", "i", "score")
+    best = serve.top_n(best, n_candidates) if lists is None else serve.top_items(best, lists, n_items, n_candidates)
+    return best.join(items.select(F.col("id").alias("i"), unit("vec").alias("vec")), "i").select("u", "i", "score", "vec")
+
+
+def recommend(users: DataFrame, items: DataFrame, n: int, n_candidates: int | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """(u, i, rk): n diverse items for each of users(id, vec) out of its candidates()."""
+    return dpp_rerank(candidates(users, items, n, n_candidates, lists), n)
+
+
 def dpp_rerank(candidates: DataFrame, n: int) -> DataFrame:
     """(u, i, rk): n diverse items of each user's candidates(u, i, score, vec), vectors at unit length.
 

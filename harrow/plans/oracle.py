@@ -329,6 +329,10 @@ ORACLE: dict[str, str] = {
     "label_sampling": _with(*ALL, _probes(1, 10), f"ng as ({_FIRST.format(bad='neg = i', src='pb')})") + "select row, 0 as k, u, i, 1.0::double as label from rw union all select row, k, u, neg, 0.0 from ng",
     "embed_dot_predict": _with(_VECTORS) + "select us.id as u, vs.id as i, round(list_dot_product(us.vec, vs.vec), 6) as score from us join vs on vs.id = us.id + 1",
     "embed_topn": _with(_VECTORS, _TOP.format(n=10)) + "select u, i, round(s, 6) as score, rk from top",
+    "dense_topn": _with(
+        _VECTORS, "us2 as (select id, vec, list_sum(vec) as s from us)", "vs2 as (select id, vec, list_dot_product(vec[1:8], vec[1:8]) as s from vs)",
+        "sc as (select us2.id as u, vs2.id as i, list_dot_product(us2.vec, vs2.vec) + 0.1::double * us2.s - 0.2::double * vs2.s as s from us2, vs2)",
+    ) + "select u, i, round(s, 6) as score, (row_number() over (partition by u order by round(s, 6) desc, i))::int as rk from sc qualify rk <= 10",
     "embed_oov_mean": _with(_VECTORS, "e as (select unnest(vec) as x, generate_subscripts(vec, 1) - 1 as pos from us where id <> 0)") + "select pos::int as pos, round(avg(x), 6) as x from e group by pos",
     "embed_normalize": _with(_VECTORS, "e as (select id, unnest(vec) / sqrt(list_dot_product(vec, vec)) as x, generate_subscripts(vec, 1) - 1 as pos from vs)") + "select id, pos::int as pos, round(x, 6) as x from e",
     "dpp_kernel": _with(_VECTORS, _TOP.format(n=20), "c as (select u, i, s, vec, sqrt(list_dot_product(vec, vec)) as n from top join vs on vs.id = i)")

@@ -648,6 +648,15 @@ def embed_topn(spark, sf_dir):
     return embed.top_items(*views.vectors(spark, sf_dir), 10).select("u", "i", F.round("score", 6).alias("score"), "rk")
 
 
+@query
+def dense_topn(spark, sf_dir):
+    """Top items by a score that is no plain product: linear terms of both sides besides it."""
+    def forward(x, y):
+        return x @ y.T + 0.1 * x.sum(1)[:, None] - 0.2 * (y * y)[:, :8].sum(1)
+
+    return embed.top_items(*views.vectors(spark, sf_dir), 10, forward=forward).select("u", "i", F.round("score", 6).alias("score"), "rk")
+
+
 @query
 def embed_oov_mean(spark, sf_dir):
     mean = embed.mean_vector(views.vectors(spark, sf_dir)[0])
@@ -703,6 +712,14 @@ def dpp_rerank(spark, sf_dir):
     return rerank.dpp_rerank(_candidates(spark, sf_dir), 5)
 
 
+@query
+def dpp_recommend(spark, sf_dir):
+    """From vectors to diverse recommendations: candidates by score, without what the user had, re-ranked."""
+    users, items = views.vectors(spark, sf_dir)
+    had = users.select(F.col("id").alias("u"), F.array(F.col("id") + 1, F.col("id") + 3).alias("items"))
+    return rerank.recommend(users, items, 5, lists=had)
+
+
 @query
 def fm_pairwise(spark, sf_dir):
     users, items = views.vectors(spark, sf_dir)
