@@ -1,98 +1,12 @@
-"""Embedding networks: forward passes over rows, and factor training by alternating least squares.
-
-Parameters of entities are tables that are joined to the rows; layer weights are small
-arrays that travel with the task. Training uses Spark's own ALS and factorization
-machines; the networks score with given weights.
-"""
+"""Embedding tables joined to rows, and factors trained by alternating least squares."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def relu(x: np.ndarray) -> np.ndarray:
-    return np.maximum(x, 0)
-
-
-def dnn(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], norms: list[tuple] | None = None) -> np.ndarray:
-    """Linear layers with relu and then batch norm (mean, var, gamma, beta) between them, none after the last."""
-    for k, (w, b) in enumerate(layers):
-        x = x @ w + b
-        if k < len(layers) - 1:
-            x = relu(x)
-            if norms:
-                mean, var, gamma, beta = norms[k]
-                x = (x - mean) / np.sqrt(var + 1e-5) * gamma + beta
-    return x
-
-
-def fm(x: np.ndarray) -> np.ndarray:
-    """(rows, fields, size) -> (rows, size): half of square of sum less sum of squares."""
-    return (x.sum(1) ** 2 - (x**2).sum(1)) / 2
-
-
-def normalize(x: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=-1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
-
-
-def two_tower(x: np.ndarray, layers, final: np.ndarray, norm: bool = False) -> np.ndarray:
-    out = dnn(x, layers) @ final
-    return normalize(out) if norm else out
-
-
-def deepfm(fields: np.ndarray, linear: np.ndarray, layers, final: np.ndarray, bias: float = 0.0) -> np.ndarray:
-    """fields (rows, n, size), linear (rows, n): one logit from linear terms, fm and the network together."""
-    deep = dnn(fields.reshape(len(fields), -1), layers)
-    return np.concatenate([linear, fm(fields), deep], axis=1) @ final + bias
-
-
-def gru(seq: np.ndarray, lengths: np.ndarray, w_x, w_h, b_x, b_h) -> np.ndarray:
-    """The state at each row's true last step; rows of length 0 have zeros. Gates: reset, update, new."""
-    h = np.zeros((len(seq), w_h.shape[0]))
-    n = h.shape[1]
-    for t in range(seq.shape[1]):
-        a, b = seq[:, t] @ w_x + b_x, h @ w_h + b_h
-        r, z = 1 / (1 + np.exp(-(a[:, :n] + b[:, :n]))), 1 / (1 + np.exp(-(a[:, n : 2 * n] + b[:, n : 2 * n])))
-        new = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
-        h = np.where((t < lengths)[:, None], (1 - z) * new + z * h, h)
-    return h
-
-
-def lstm(seq: np.ndarray, lengths: np.ndarray, w_x, w_h, b) -> np.ndarray:
-    """As gru(); gates: input, forget, cell, output."""
-    h = np.zeros((len(seq), w_h.shape[0]))
-    c, n = np.zeros_like(h), h.shape[1]
-    for t in range(seq.shape[1]):
-        g = seq[:, t] @ w_x + h @ w_h + b
-        i, f, o = (1 / (1 + np.exp(-g[:, k * n : (k + 1) * n])) for k in (0, 1, 3))
-        cell = f * c + i * np.tanh(g[:, 2 * n : 3 * n])
-        live = (t < lengths)[:, None]
-        c, h = np.where(live, cell, c), np.where(live, o * np.tanh(cell), h)
-    return h
-
-
-def conv_output_len(length: int, kernel: int, stride: int = 1) -> int:
-    return (length - kernel) // stride + 1
-
-
-def caser(seq: np.ndarray, user: np.ndarray, horizontal: list[np.ndarray], vertical: np.ndarray, final: np.ndarray) -> np.ndarray:
-    """Convolutions over a (rows, L, size) sequence: kernels of height 1..L with max pooling, columns, and the user's vector."""
-    parts = []
-    for kernel in horizontal:  # (height, size, channels)
-        height = kernel.shape[0]
-        steps = [np.einsum("nhs,hsc->nc", seq[:, t : t + height], kernel) for t in range(conv_output_len(seq.shape[1], height))]
-        parts.append(relu(np.stack(steps, 1)).max(1))
-    parts.append(relu(np.einsum("nls,lc->ncs", seq, vertical)).reshape(len(seq), -1))
-    return np.concatenate([*parts, user], axis=1) @ final
-
-
 def embed_rows(rows: DataFrame, id_col: str, table: DataFrame, name: str) -> DataFrame:
     """rows with the vector of id_col from table(id, vec); unknown ids get the vector of id 0."""
     default = table.where("id = 0").select(F.col("vec").alias("__default"))
@@ -108,19 +22,6 @@ def embed_bag(rows: DataFrame, key: str, ids_col: str, table: DataFrame, name: s
     return bag.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("l")).select(key, F.col("l.x").alias(name))
 
 
-def score_rows(rows: DataFrame, keys: list[str], inputs: list[str], forward: Callable[..., np.ndarray], schema: str = "score double") -> DataFrame:
-    """keys and the forward pass over the array columns inputs, batch by batch."""
-
-    def run(frames):
-        for frame in frames:
-            if len(frame):
-                out = forward(*(np.array(frame[c].tolist(), float) for c in inputs))
-                yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame({schema.split()[0]: list(np.asarray(out))})], axis=1)
-
-    types = dict(rows.dtypes)
-    return rows.select(*keys, *inputs).mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), schema]))
-
-
 def als_vectors(r: DataFrame, size: int = 16, rounds: int = 5, implicit: bool = True, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(id, vec) of users and of items, trained on R(u, i, r) by alternating least squares."""
     model = ALS(rank=size, maxIter=rounds, userCol="u", itemCol="i", ratingCol="r", implicitPrefs=implicit, seed=seed, coldStartStrategy="drop").fit(r)

@@ -178,23 +178,12 @@ def test_embedding_top_items_in_blocks(spark):
     assert {(r["u"], r["rk"]): r["i"] for r in got.collect()} == {(k, j + 1): want[k, j] for k in range(30) for j in range(3)}
 
 
-def test_networks(spark):
-    rng = np.random.default_rng(2)
-    fields = rng.normal(size=(5, 3, 4))
-    pairs = sum(fields[:, a] * fields[:, b] for a in range(3) for b in range(a + 1, 3))
-    assert np.allclose(neural.fm(fields), pairs)
-    seq = rng.normal(size=(5, 6, 4))
-    w = [rng.normal(size=s) for s in ((4, 9), (3, 9), (9,), (9,))]
-    short = neural.gru(seq, np.full(5, 3), *w)
-    assert np.allclose(short, neural.gru(seq[:, :3], np.full(5, 3), *w)) and not neural.gru(seq, np.zeros(5), *w).any()
-    assert neural.lstm(seq, np.full(5, 6), rng.normal(size=(4, 12)), rng.normal(size=(3, 12)), np.zeros(12)).shape == (5, 3)
-    out = neural.caser(seq, rng.normal(size=(5, 4)), [rng.normal(size=(h, 4, 2)) for h in range(1, 7)], rng.normal(size=(6, 3)), rng.normal(size=(12 + 12 + 4, 4)))
-    assert out.shape == (5, 4) and neural.conv_output_len(6, 2) == 5
-    deep = neural.deepfm(fields, rng.normal(size=(5, 3)), [(rng.normal(size=(12, 2)), np.zeros(2))], rng.normal(size=3 + 4 + 2))
-    assert deep.shape == (5,)
-    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "k int, x array<double>")
-    got = {r["k"]: r["score"] for r in neural.score_rows(rows, ["k"], ["x"], lambda x: neural.dnn(x, [(np.array([[1.0], [3.0]]), np.zeros(1))])[:, 0]).collect()}
-    assert got == {1: 7.0, 2: 3.0}
+def test_trained_factors(spark):
+    """Two groups of users with a group of items each: own items score higher, and top items follow."""
+    r = spark.createDataFrame([(u, i, 1.0) for u in range(1, 9) for i in range(1, 9) if u % 2 == i % 2], "u int, i int, r double")
+    users, items = neural.als_vectors(r, size=4, rounds=8)
+    best = embed.top_items(users.withColumn("id", F.col("id").cast("long")), items.withColumn("id", F.col("id").cast("long")), 3)
+    assert best.count() == 24 and best.where("u % 2 <> i % 2").isEmpty()
 
 
 def test_bags(spark):
