@@ -162,3 +162,101 @@ def katz_score(model, text):
     tokens = [*words_of(text), "</s>"]
     before = ["<s>", *tokens]
     return sum(math.log10(probability(w, tuple(before[max(0, i - 1) : i + 1]))) for i, w in enumerate(tokens))
+
+
+def quality_features(text):
+    """The features of a text, one by one, in the operator's order."""
+    raw, words = (text or "").encode(), [w.encode() for w in words_of(text)]
+    kept = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    if not words:
+        return [0.0] * 22
+    n = len(words)
+
+    def share(chars):
+        return sum(b in chars for b in raw) / len(raw)
+
+    def among(test):
+        return sum(map(test, range(n))) / n
+
+    upper, lower, symbol = (range(65, 91), range(97, 123), b"#$%&*@^~<>{}[]\\_=+`/")
+    lines = [line for line in (words_of(x) for x in re.split("\n", text)) if line]
+    bags = [tuple(sorted(line)) for line in lines]
+    pairs = list(zip(words, words[1:], strict=False))
+    return [
+        math.log1p(n), sum(map(len, words)) / n / 10, share(upper), share(b"0123456789"), share(symbol), share(b"|"), share(b"!?"), share(b"."), share(b","), share(b"-:;'\"()"),
+        sum(b > 127 for b in raw) / len(raw), len(set(words)) / n, len(set(pairs)) / max(1, n - 1), sum(a == b for a, b in pairs) / n,
+        (len(bags) - len(set(bags))) / max(1, len(bags)), math.log1p(len(lines)), among(lambda i: len(words[i]) > 12), among(lambda i: len(words[i]) < 4),
+        among(lambda i: sum(b in upper for b in kept[i]) > 1 and not any(b in lower for b in kept[i])), among(lambda i: any(b in symbol for b in kept[i])),
+        among(lambda i: not any(b in lower for b in kept[i])), max(Counter(words).values()) / n]
+
+
+def template(text, units):
+    """(word as a template has it, the word itself, whether it is a slot) of a text's words that hold letters or digits."""
+    raw, out, last = (text or "").encode(), [], None
+    for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw):
+        body = re.search(rb"[0-9A-Za-z\x80-\xff](?:.*[0-9A-Za-z\x80-\xff])?", m[0], re.DOTALL)
+        if not body:
+            continue
+        start, end = m.start() + body.start(), m.start() + body.end()
+        word = body[0].lower()
+        number = re.fullmatch(rb"[0-9][0-9.,]*", word) is not None
+        unit = not number and word.decode(errors="replace") in units
+        opens = last is None or any(b in b".!?:\n" for b in raw[last:start])
+        name = not number and not unit and not opens and 65 <= raw[start] <= 90
+        out.append(("<number>" if number else "<unit>" if unit else "<name>" if name else word, word, number or unit or name))
+        last = end
+    return out
+
+
+def leaks(docs, items, units, width=8, least=3):
+    """{(doc, item): (windows, item windows)} by comparing every window of every text with every window of every item."""
+    def windows(text, own, opened):
+        t = template(text, units)
+        for i in range(len(t) - own + 1):
+            part = t[i : i + own]
+            tokens, values, slots = ([x[k] for x in part] for k in range(3))
+            yield i, ("t", *tokens), [v for v, s in zip(values, slots, strict=True) if s]
+            if any(slots):
+                yield i, ("w", *values), []
+            if opened and tokens[0] == "<name>":
+                yield i, ("t", values[0], *tokens[1:]), [v for v, s in zip(values[1:], slots[1:], strict=True) if s]
+
+    wins = defaultdict(list)
+    sizes, crowded = defaultdict(set), defaultdict(set)
+    own_width = {}
+    for item, text in items:
+        if own := min(width, len(template(text, units))):
+            own_width[item] = own
+            for pos, key, slots in windows(text, own, False):
+                wins[key].append((item, pos, slots))
+                sizes[item].add(pos)
+                if 2 * len(slots) > own:
+                    crowded[item].add(pos)
+    found = defaultdict(list)
+    for doc, text in docs:
+        for own in set(own_width.values()):
+            for at, key, filled in windows(text, own, True):
+                for item, pos, slots in wins.get(key, ()):
+                    if own_width[item] == own and len(slots) == len(filled):
+                        found[doc, item, at - pos].append((pos, own, slots, filled))
+
+    def consistent(pairs):
+        return len({a for a, _ in pairs}) == len(pairs)
+
+    best = {}
+    for (doc, item, _), rows in found.items():
+        pairs = {p for _, _, a, b in rows for p in zip(a, b, strict=True)}
+        few = {p for _, own, a, b in rows if 2 * len(a) <= own for p in zip(a, b, strict=True)}
+        sparse = len({pos for pos, own, a, _ in rows if 2 * len(a) <= own})
+        exact = len({pos for pos, _, a, _ in rows if not a})
+        telling = 4 * sum(own - len(a) for _, own, a, _ in rows) >= sum(own for _, own, _, _ in rows)
+        n = len({r[0] for r in rows}) if consistent(pairs) and telling else sparse if consistent(few) and sparse > exact else exact
+        if n:
+            was = best.get((doc, item), (0, 0))
+            best[doc, item] = max(was[0], n), max(was[1], sparse if consistent(few) else 0)
+    out = {}
+    for (doc, item), (n, sparse) in best.items():
+        size, others = len(sizes[item]), len(sizes[item]) - len(crowded[item])
+        if n >= min(size, least) or (others and sparse >= min(others, least)):
+            out[doc, item] = n, size
+    return out

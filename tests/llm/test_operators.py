@@ -302,6 +302,25 @@ def test_quality_ranks_held_out(spark, docs, sf_dir, edges, empty):
     assert quality.classify(spark, edges, labels.limit(0)).where("predicted = 0").count() == 0
 
 
+def test_quality_against_plain_features(spark, docs, rows, edges, sf_dir):
+    """Features one by one, weights where the logistic loss of the pairs is least, and the scores that follow."""
+    given = [*rows, *EDGE_ROWS]
+    plain = {i: np.array(brute.quality_features(t)) for i, t in given if i is not None}
+    for df in (docs, edges.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        for i, r in found(quality.feature_table(df)).items():
+            np.testing.assert_allclose(r["features"], plain[i], rtol=1e-9, atol=1e-12)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and crc(r["doc_id"], 5) and r["doc_id"] in dict(rows)}
+    ids = sorted(y)
+    ranker = quality.Ranker(np.stack([plain[i] for i in ids]), np.array([y[i] for i in ids]))
+    for i, r in found(quality.classify(spark, docs, labels)).items():
+        assert r["score"] == pytest.approx(ranker.score(plain[i][None])[0], rel=1e-6, abs=1e-9)
+    d = np.random.default_rng(1).normal(size=(300, 5)) + 0.3
+    w = quality._logistic(d, 1e-3)
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 5e-4 * w @ w
+    assert all(loss(w) <= loss(w + step) for step in 1e-3 * np.vstack([np.eye(5), -np.eye(5)]))
+
+
 def test_language_held_out(spark, docs, edges, empty):
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
     got = found(langid.identify(spark, docs))
@@ -382,6 +401,18 @@ def test_templates(spark, edges, empty):
     assert kept.columns == edges.columns and kept.count() == len(EDGES) + 1
 
 
+def test_leaks_against_brute_force(spark, docs, rows, edges, sf_dir):
+    """Every document against every item, window by window; also items and texts full of numbers, units and names."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    items += [(9001, "Convert 5 km to 12 miles"), (9002, "Alice ran 12 km Monday, Bob ran 9 km Tuesday, Carol ran 7 km Friday; total km?"), (9003, ""), (9004, "x" * 300), (9005, "Long text of words. Long text of words.")]
+    more = [(950001, "he said: Convert 7 km to 30 miles now"), (950002, items[0][1].replace(" ", "  ") + " and " + items[1][1]), (950003, "So, Alice ran 3 km Monday, Dan ran 9 km Tuesday, Carol ran 8 km Friday; total km?")]
+    table = docs.select("doc_id", "text").unionByName(edges.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")).unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks([*rows, *((i, t) for i, t in EDGE_ROWS if i), *more], items, set(decontam.UNITS))
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"]) for r in decontam.find_leaks(spark, table, benchmark).collect()}
+    assert got == want and len(want) > 3 and (950001, 9001) in want
+
+
 def test_planted_passages(spark, docs, rows, sf_dir):
     """A document that holds an item's words whole is found."""
     items = [(r["item_id"], " ".join(brute.words_of(r["text"]))) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
