@@ -205,6 +205,7 @@ class CfModel:
             raise ValueError("task must be 'rating' or 'ranking'")
         self.task, self.info, self.k_sim, self.min_common, self.seed = task, info, k_sim, min_common, seed
         self.state: State | None = None
+        self.folded = -1  # the last batch of a stream that is in
 
     @property
     def is_fitted(self) -> bool:
@@ -314,6 +315,7 @@ class CfModel:
             if (df := getattr(state, part)) is not None:
                 df.write.mode("overwrite").parquet(f"{path}/{name}/{part}")
         meta = {"model_type": self.model_type, "task": self.task, "k_sim": self.k_sim, "min_common": self.min_common, "parts": [p for p in ("r", "pairs", "ss", "stats") if getattr(state, p) is not None]}
+        meta["folded"] = self.folded
         meta["info"] = {"n_rows": self.info.n_rows, "n_users": self.info.n_users, "n_items": self.info.n_items, "n_hash_bins": self.info.n_hash_bins}
         state.r.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(f"{path}/{name}/meta")
 
@@ -329,6 +331,7 @@ class CfModel:
         if info is None:
             info = DataInfo(**{part: spark.read.parquet(f"{path}/{name}/info-{part}") for part in INFO_PARTS}, **meta["info"])
         model = cls(meta["task"], info, meta["k_sim"], meta["min_common"])
+        model.folded = meta["folded"]
         model.state = State(**{p: spark.read.parquet(f"{path}/{name}/{p}") for p in meta["parts"]})
         return model
 

@@ -4,26 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from harrow.operators.models import CfModel, ExtendableDataset
 
 
-def fit_stream(stream: DataFrame, model: CfModel, checkpoint: str, after: Callable[[CfModel, int], None] | None = None, **dataset_options) -> StreamingQuery:
+def fit_stream(
+    stream: DataFrame, model: CfModel, checkpoint: str, after: Callable[[CfModel, int], None] | None = None, saves: str | None = None, **dataset_options,
+) -> StreamingQuery:
     """Start a query over a stream of raw interactions. Each batch extends the ids and
-    histories and updates the similarities; a batch id that was seen is not folded in twice."""
-    done: set[int] = set()
+    histories and updates the similarities; a batch that the model holds is not folded in twice.
+
+    With saves, a shared folder, the model is written there after each batch. After a
+    restart go on with resumed(): the stream's checkpoint may hand out its last batch
+    again, and the model knows whether it has it.
+    """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in done or batch.isEmpty():
+        if batch_id <= model.folded or batch.isEmpty():
             return
         data = ExtendableDataset(model, **dataset_options)
         train = data.build_data(batch)[0]
         model.update_data_info(data.info)
         model.fit(train, neg_sampling=True)
-        done.add(batch_id)
+        model.folded = batch_id
+        if saves:
+            model.save(saves, f"batch-{batch_id}")
         if after:
             after(model, batch_id)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def resumed(spark: SparkSession, kind: type[CfModel], saves: str) -> CfModel | None:
+    """The model of the last batch that was saved whole (its meta comes last), or none."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(saves)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    for batch_id in sorted((int(n.removeprefix("batch-")) for n in names if n.startswith("batch-")), reverse=True):
+        if files.exists(jvm.org.apache.hadoop.fs.Path(f"{saves}/batch-{batch_id}/meta/_SUCCESS")):
+            return kind.load(spark, saves, f"batch-{batch_id}")
+    return None
