@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from harrow.functions.expressions import sigmoid, uniform
 
+#: A side of a join is broadcast up to so many rows of a few numbers.
+BROADCAST_ROWS = 1_000_000
 #: Scores are compared at this many digits, so ties do not hang on the order of sums.
 DIGITS = 6
 
@@ -90,7 +92,8 @@ def cold_start(users: DataFrame, ranked_items: DataFrame, n: int, mode: str = "t
     size = ranked_items.count()
     draws = users.select("user", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rk"))
     draws = draws.withColumn("rank", (F.floor(uniform(seed, F.col("user"), F.col("rk")) * size) + 1).cast("int"))
-    return draws.join(F.broadcast(ranked_items.select("i", F.col("rank").cast("int").alias("rank"))), "rank").select("user", "i", "rk")
+    ranked = ranked_items.select("i", F.col("rank").cast("int").alias("rank"))
+    return draws.join(F.broadcast(ranked) if size <= BROADCAST_ROWS else ranked, "rank").select("user", "i", "rk")
 
 
 def normalize_prediction(preds: DataFrame, task: str, cold_start_mode: str = "average") -> DataFrame:

@@ -68,6 +68,10 @@ def cosine_similarity(r: DataFrame, x: str, min_common: int = 1, k: int | None =
     return neighbors(cosine_pairs(pair_stats(r, x, pivot), sum_squares(r, x), min_common), k)
 
 
+#: Common items of two users that are paired in one place.
+SHARED_ITEMS = 1000
+
+
 def swing_pairs(r: DataFrame, alpha: float = 0.1, previous: DataFrame | None = None) -> DataFrame:
     """(x1, x2, sim), x1 < x2: every pair of users with both items adds w_u w_v / (alpha + common - 1).
 
@@ -78,11 +82,13 @@ def swing_pairs(r: DataFrame, alpha: float = 0.1, previous: DataFrame | None = N
     weights = cells.groupBy("u").agg((1 / F.sqrt(F.count(F.lit(1)))).alias("w"))
     common = pair_stats(cells, "u", "i").where("cnt > 1").select(F.col("x1").alias("u"), F.col("x2").alias("v"), "cnt")
     w2 = weights.select(F.col("u").alias("v"), F.col("w").alias("w_v"))
-    scored = common.join(weights, "u").join(w2, "v").select("u", "v", (F.col("w") * F.col("w_v") / (alpha + F.col("cnt") - 1)).alias("s"))
-    # The items that a user pair has in common, then pairs of those.
+    scored = common.join(weights, "u").join(w2, "v").select("u", "v", (F.col("w") * F.col("w_v") / (alpha + F.col("cnt") - 1)).alias("s"), F.ceil(F.col("cnt") / SHARED_ITEMS).alias("parts"))
+    # The items that a user pair has in common, then pairs of those; where they are many, the first of a pair says in which part.
     mine, theirs = cells.select("u", "i"), cells.select(F.col("u").alias("v"), "i")
-    shared = scored.join(mine, "u").join(theirs, ["v", "i"]).select("u", "v", "s", "i")
-    pairs = shared.select("u", "v", "s", F.col("i").alias("x1")).join(shared.select("u", "v", F.col("i").alias("x2")), ["u", "v"]).where("x1 < x2")
+    shared = scored.join(mine, "u").join(theirs, ["v", "i"]).select("u", "v", "s", "i", "parts")
+    first = shared.select("u", "v", "s", F.col("i").alias("x1"), F.pmod(F.xxhash64("i"), F.col("parts")).alias("part"))
+    second = shared.select("u", "v", F.col("i").alias("x2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    pairs = first.join(second, ["u", "v", "part"]).where("x1 < x2")
     sims = pairs.groupBy("x1", "x2").agg(F.sum("s").alias("sim"))
     if previous is not None:
         sims = sims.unionByName(previous.select("x1", "x2", "sim")).groupBy("x1", "x2").agg(F.sum("sim").alias("sim"))

@@ -161,6 +161,16 @@ def test_random_recommendations_and_evaluation_samplers(spark, built):
         assert model.evaluate(test, neg_sampling=True, wanted=["roc_auc"], sampler=sampler).first()["value"] > 0
 
 
+def test_swing_of_users_with_much_in_common(spark, built, monkeypatch):
+    """Pairs of common items come from several places where they are many: the same sums."""
+    _, (train, _) = built
+    r = similarity.interactions(train)
+    got = {(a["x1"], a["x2"]): a["sim"] for a in similarity.swing_pairs(r).collect()}
+    monkeypatch.setattr(similarity, "SHARED_ITEMS", 1)
+    again = {(a["x1"], a["x2"]): a["sim"] for a in similarity.swing_pairs(r).collect()}
+    assert got.keys() == again.keys() and all(again[k] == pytest.approx(x) for k, x in got.items())
+
+
 def test_pieces_of_serving(spark):
     preds = spark.createDataFrame([(1, 1, 2.0), (0, 1, 3.0), (1, 0, -1.0)], "u int, i int, pred double")
     plain = {(r["u"], r["i"]): r["pred"] for r in serve.normalize_prediction(preds, "ranking").collect()}
