@@ -45,7 +45,9 @@ KATZ_K = 5
 #: Words whose counts the tasks hold as a cache; no bound of the model.
 COMMON_WORDS = 400_000
 #: Tokens of a bucket, on average; parts of an exchange; tokens that a task sorts into blocks at once.
-BUCKET_TOKENS, PASSES, CHUNK_TOKENS = 1_000_000, 2, 1_000_000
+BUCKET_TOKENS, PASSES, CHUNK_TOKENS = 500_000, 2, 500_000
+#: What a task is handed of a bucket at once.
+BATCH = "8m"
 
 #: The end, the begin and no word at all among the hashes of words.
 END, BEGIN, NONE = (int(x) for x in mix(np.array([202, 203, 204], np.uint64)).view(np.int64))
@@ -155,7 +157,8 @@ def _by_bucket(batches):
     """(bucket, {kind: blocks}) of rows in order of their buckets."""
     bucket, held = None, {}
     for batch in batches:
-        for b, kind, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "block")), strict=True):
+        for b, kind, block in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("block"), strict=True):
+            block = block.as_py()
             if b != bucket and held:
                 yield bucket, held
                 held = {}
@@ -192,16 +195,22 @@ def _release(spark: SparkSession) -> None:
 def _count_words(texts: DataFrame) -> DataFrame:
     """(key, n) of all words, summed over each task first, then over all."""
 
+    def summed(held):
+        keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+        return keys[new], np.add.reduceat(counts[order], new) if len(new) else counts
+
     def run(batches):
-        keys, counts = None, None
+        held, waiting = [], 0
         for b in slices(batches):
-            u, n = np.unique(Words(b.column("text")).hash.view(np.int64), return_counts=True)
-            if keys is None:
-                keys, counts = u, n
-            else:
-                keys, back = np.unique(np.concatenate([keys, u]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
-        if keys is not None:
+            held.append(np.unique(Words(b.column("text")).hash.view(np.int64), return_counts=True))
+            waiting += len(held[-1][0])
+            if waiting > max(CHUNK_TOKENS, len(held[0][0])):  # as much new as there is already
+                held, waiting = [summed(held)], 0
+        if held:
+            keys, counts = summed(held)
             for lo in range(0, len(keys), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 200_000]), pa.array(counts[lo : lo + 200_000].astype(np.int64))], names=["key", "n"])
 
@@ -330,8 +339,12 @@ def _counting(docs: DataFrame, shared, part: int, passes: int) -> DataFrame:
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a row of each distinct key, the number of its key for each row)."""
-    _, first, back = np.unique(key, return_index=True, return_inverse=True)
-    return first, back
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    back = np.empty(len(key), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
 
 
 def _counted(shared):
@@ -518,7 +531,16 @@ def score(spark: SparkSession, docs: DataFrame, common_words: int = COMMON_WORDS
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("held", F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False)))
     docs = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit(7))})
-    m = fit(spark, docs, common_words, bucket_tokens, passes)
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, BATCH)
+    try:
+        return _score(spark, docs, fit(spark, docs, common_words, bucket_tokens, passes), passes)
+    finally:
+        spark.conf.set(size, before)
+
+
+def _score(spark: SparkSession, docs: DataFrame, m: Model, passes: int) -> DataFrame:
     words, pairs = m.words, m.pairs
     m.words = m.pairs = None  # tables; the rest goes to the tasks
     shared = spark.sparkContext.broadcast(m)
@@ -559,9 +581,11 @@ def _known(docs: DataFrame, words: DataFrame, shared) -> DataFrame:
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(each), *stats, none, none], names=_KNOWN)
             # A row for every text and word that the cache lacks.
-            pair, times = np.unique(np.stack([each[w.doc[~seen]], hashes[~seen]]), axis=1, return_counts=True) if (~seen).any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-            none = [pa.nulls(len(times), s.type) for s in stats]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), *none, pa.array(pair[1]), pa.array(times.astype(np.int64))], names=_KNOWN)
+            rows, rest = each[w.doc[~seen]], hashes[~seen]
+            at, back = _grouped(_hash(rows, rest))
+            times = np.bincount(back, minlength=len(at))
+            none = [pa.nulls(len(at), s.type) for s in stats]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at]), *none, pa.array(rest[at]), pa.array(times)], names=_KNOWN)
             row += n
 
     met = docs.select("text", "k1", "k2", "doc_id", "held").mapInArrow(run, "row long, k1 long, k2 long, doc_id long, held boolean, n_tokens long, n_known long, logs double, key long, times long")
