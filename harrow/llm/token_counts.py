@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.common import Spans, commonest, materialize, slices
+from harrow.llm.common import Spans, commonest, materialize, mix, slices
 
 #: Entries of the table of common pre-tokens at most; 12 bytes each.
 COMMON = 400_000
@@ -128,9 +128,11 @@ def count_tokens(spark: SparkSession, docs: DataFrame, model_path: str, limit: i
             tokens = t.newlines + np.bincount(doc[known], pieces[place[known]] if len(keys) else None, minlength=n).astype(np.int64)
             # The others, once for each text, with their frequencies in it.
             rest = np.flatnonzero(~known)
-            each, at, times = np.unique(np.stack([doc[rest], t.key[rest]]), axis=1, return_index=True, return_counts=True) if len(rest) else (np.zeros((2, 0), np.int64), rest, rest)
-            first = np.concatenate([[0], np.cumsum(np.bincount(each[0], minlength=n))])
-            words = pa.StructArray.from_arrays([pa.array([t.text(i) for i in rest[at]], pa.string()), pa.array(times.astype(np.int64))], names=["word", "n"])
+            _, at, times = np.unique(mix(doc[rest].astype(np.uint64)) ^ t.key[rest].view(np.uint64), return_index=True, return_counts=True)
+            order = np.argsort(doc[rest][at], kind="stable")
+            at, times = rest[at[order]], times[order]
+            first = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=n))])
+            words = pa.StructArray.from_arrays([pa.array([t.text(i) for i in at], pa.string()), pa.array(times.astype(np.int64))], names=["word", "n"])
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), words)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(n)), b.column("doc_id"), pa.array(t.n_bytes), pa.array(tokens), lists], names=["row", "doc_id", "n_bytes", "tokens", "rest"])
