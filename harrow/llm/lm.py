@@ -39,13 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm.common import Words, commonest, crc_remainder, materialize, mix, slices
+from harrow.sources.scratch import scratch_path
 
 #: Counts up to this one get the Good-Turing discount.
 KATZ_K = 5
 #: Words whose counts the tasks hold as a cache; no bound of the model.
 COMMON_WORDS = 400_000
 #: Tokens of a bucket, on average; parts of an exchange; tokens that a task sorts into blocks at once.
-BUCKET_TOKENS, PASSES, CHUNK_TOKENS = 500_000, 2, 500_000
+BUCKET_TOKENS, PASSES, CHUNK_TOKENS = 500_000, 3, 500_000
 #: What a task is handed of a bucket at once.
 BATCH = "8m"
 
@@ -186,8 +187,11 @@ def _chunks(batches):
         yield *(np.concatenate(x) for x in list(zip(*held, strict=True))[:4]), [x[4] for x in held]
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files that no plan refers to any more."""
+def _release(spark: SparkSession, *paths: str) -> None:
+    """Lets go of the disk of finished steps: tables that are not read again, and shuffle files that no plan refers to any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     gc.collect()
     spark.sparkContext._jvm.java.lang.System.gc()
 
@@ -548,9 +552,13 @@ def _score(spark: SparkSession, docs: DataFrame, m: Model, passes: int) -> DataF
     for part in range(passes):
         blocks = _dealt(docs, shared, part, passes).unionAll(pairs.where(F.col("bucket") % passes == part))
         blocks = blocks.repartition(m.buckets.n, "bucket").sortWithinPartitions("bucket", "kind")
-        some = materialize(spark, blocks.mapInArrow(_scored(shared), BLOCK), "lm-sums")
-        some = materialize(spark, some.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "k1 long, k2 long, score double, key long, times long"), "lm-scores")
-        _release(spark)
+        path = scratch_path(spark, "lm-sums")
+        blocks.mapInArrow(_scored(shared), BLOCK).write.parquet(path)
+        del blocks
+        _release(spark)  # the exchange is done, its files go before the next one begins
+        some = spark.read.schema(BLOCK).parquet(path).repartition("bucket").sortWithinPartitions("bucket")
+        some = materialize(spark, some.mapInArrow(_summed, "k1 long, k2 long, score double, key long, times long"), "lm-scores")
+        _release(spark, path)
         met = some if met is None else met.unionAll(some)
     same = ["k1", "k2"]
     sums = met.where("score is not null").groupBy(same).agg(F.sum("score").alias("score"), (F.count(F.lit(1)) / passes).alias("copies"))
