@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.common import materialize
+from harrow.llm.common import materialize, small
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS = 3
@@ -209,8 +209,9 @@ def _best_patterns(spark: SparkSession, rows: DataFrame, rounds: int, min_instan
     edges = each.select(F.explode("c.patterns").alias("pattern"), F.col("c.value").alias("value"), (F.col("c.base") | F.col("c.seed")).alias("seed"))
     edges = materialize(spark, edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
     # A pattern of fewer instances can never be good.
-    often = edges.groupBy("pattern").count().where(F.col("count") >= min_instances).select("pattern")
-    edges = materialize(spark, edges.join(often, "pattern", "left_semi"), "pii-graph")
+    often = materialize(spark, edges.groupBy("pattern").count().where(F.col("count") >= min_instances).select("pattern"), "pii-often")
+    # Few patterns go to the edges, so that a pattern of many edges does not bring them to one place.
+    edges = materialize(spark, edges.join(small(often, 16), "pattern", "left_semi"), "pii-graph")
     seeds = edges.where("seed").select("value").distinct().select("value", F.lit(1_000_000).cast("long").alias("score"))
     scores = seeds = materialize(spark, seeds, "pii-seeds")
     plain = F.col("pattern").bitwiseAND(F.lit(1)) == 1
@@ -222,7 +223,7 @@ def _best_patterns(spark: SparkSession, rows: DataFrame, rounds: int, min_instan
         good = known.where(F.col("scored") >= min_instances).select("pattern", "scored", (F.col("mass") / 1e6 / (F.col("n") + 1)).alias("confidence"))
         good = materialize(spark, good, "pii-patterns")
         doubt = F.round(F.log(F.lit(1.000001) - F.col("confidence")) * 1e6).cast("long")
-        heard = edges.where("not seed").join(good, "pattern").groupBy("value").agg(F.sum(doubt).alias("doubt"))
+        heard = edges.where("not seed").join(small(good, 32), "pattern").groupBy("value").agg(F.sum(doubt).alias("doubt"))
         heard = heard.select("value", F.round((1 - F.exp(F.col("doubt") / 1e6)) * 1e6).cast("long").alias("score")).where("score >= 500000")
         scores = materialize(spark, seeds.union(heard).groupBy("value").agg(F.max("score").alias("score")), "pii-scores")
     bar = (F.col("confidence") >= confidence) & (~plain | ((F.col("confidence") >= PLAIN_CONFIDENCE) & (F.col("scored") >= max(min_instances, PLAIN_INSTANCES))))
