@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import bpe, decontam, embed_dedup, langid, lm, pii, quality, token_counts, token_ids
+from harrow.llm import bpe, decontam, divergence, embed_dedup, langid, lm, pii, quality, token_counts, token_ids
 from harrow.llm.common import documents
 from harrow.llm.minhash import near_duplicates
 
@@ -51,6 +51,10 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, documents(spark, sf_dir))
+
+
 OP1_SQL = r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
@@ -85,10 +89,36 @@ from v left join (select a, count(*) as n from links group by a) on a = vec_id
 join (select id, min(to_id) as component_id from reach group by id) on id = vec_id
 """
 
+OP12_SQL = r"""
+with docs as (select row_number() over () as r, coalesce(text, '') as t, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+occurrences as (
+  select r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from docs),
+kept as (select lang, term, count(*)::bigint as n from occurrences group by 1, 2 having count(distinct r) >= 30),
+sizes as (select lang, count(*)::bigint as v, sum(n)::bigint as total from kept group by 1),
+counts as (select o.lang, o.source, o.term, count(*)::bigint as n from occurrences o join kept k on k.lang = o.lang and k.term = o.term group by 1, 2, 3),
+totals as (
+  select g.lang, g.source, coalesce(c.total, 0) as total from (select distinct lang, source from docs) g
+  left join (select lang, source, sum(n)::bigint as total from counts group by 1, 2) c on c.lang = g.lang and c.source = g.source),
+shares as (
+  select t.lang, t.source, k.term, coalesce(c.n, 0) as n,
+    (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (t.total + 5 * s.v))::bigint as p, (1 + (1000000000::hugeint * (k.n + 5)) // (s.total + 5 * s.v))::bigint as q
+  from totals t join sizes s on s.lang = t.lang join kept k on k.lang = t.lang left join counts c on c.lang = t.lang and c.source = t.source and c.term = k.term),
+sums as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(s.value, 0)::bigint as value from totals a join totals b on a.lang = b.lang and a.source <> b.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+ranked as (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  select lang, source, 'term', term, p - q, row_number() over (partition by lang, source order by p - q desc, term) from shares where n > 0 and p > q)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 50
+"""
+
 
 def queries() -> dict:
-    return {"op1_minhash": op1_minhash, "op2_personal_data": op2_personal_data, "op3_token_counts": op3_token_counts, "op4_token_ids": op4_token_ids, "op5_katz": op5_katz, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_embeddings": op9_embeddings, "op10_leaks": op10_leaks}
+    return {"op1_minhash": op1_minhash, "op2_personal_data": op2_personal_data, "op3_token_counts": op3_token_counts, "op4_token_ids": op4_token_ids, "op5_katz": op5_katz, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_embeddings": op9_embeddings, "op10_leaks": op10_leaks, "op12_divergence": op12_divergence}
 
 
 def oracle_sql() -> dict:
-    return {"op1_minhash": OP1_SQL, "op9_embeddings": OP9_SQL}
+    return {"op1_minhash": OP1_SQL, "op9_embeddings": OP9_SQL, "op12_divergence": OP12_SQL}
