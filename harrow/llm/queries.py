@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import bpe, decontam, divergence, embed_dedup, langid, lm, pii, quality, token_counts, token_ids
+from harrow.llm import bpe, decontam, divergence, embed_dedup, langid, lm, packing, pii, quality, token_counts, token_ids
 from harrow.llm.common import documents
 from harrow.llm.minhash import near_duplicates
 
@@ -55,6 +55,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spark, documents(spark, sf_dir))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 OP1_SQL = r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
@@ -117,7 +121,7 @@ select lang, source, part, item, value::bigint as value, rank::int as rank from
 
 
 def queries() -> dict:
-    return {"op1_minhash": op1_minhash, "op2_personal_data": op2_personal_data, "op3_token_counts": op3_token_counts, "op4_token_ids": op4_token_ids, "op5_katz": op5_katz, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_embeddings": op9_embeddings, "op10_leaks": op10_leaks, "op12_divergence": op12_divergence}
+    return {"op1_minhash": op1_minhash, "op2_personal_data": op2_personal_data, "op3_token_counts": op3_token_counts, "op4_token_ids": op4_token_ids, "op5_katz": op5_katz, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_embeddings": op9_embeddings, "op10_leaks": op10_leaks, "op12_divergence": op12_divergence, "op13_packing": op13_packing}
 
 
 def oracle_sql() -> dict:
