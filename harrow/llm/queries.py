@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from harrow.llm import bpe, decontam, divergence, embed_dedup, langid, lm, packing, pii, quality, token_counts, token_ids
+from harrow.llm import bpe, decontam, divergence, embed_dedup, langid, lm, negatives, packing, pii, quality, token_counts, token_ids
 from harrow.llm.common import documents
 from harrow.llm.minhash import near_duplicates
 
@@ -51,6 +52,11 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return negatives.mine(spark, vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spark, documents(spark, sf_dir))
 
@@ -93,6 +99,21 @@ from v left join (select a, count(*) as n from links group by a) on a = vec_id
 join (select id, min(to_id) as component_id from reach group by id) on id = vec_id
 """
 
+OP11_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.e, b.e)::bigint as s
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+good as (select * from (select *, row_number() over (partition by anchor_id order by s desc, vec_id) as r from scored where same) where r <= 5),
+bad as (
+  select g.anchor_id, g.vec_id as positive_id, n.vec_id as negative_id, g.s as positive_score, n.s as negative_score,
+    row_number() over (partition by g.anchor_id, g.vec_id order by n.s desc, n.vec_id) as rank
+  from good g join scored n on n.anchor_id = g.anchor_id and not n.same and 30 * g.s <= 100 * n.s and 100 * n.s <= 90 * g.s)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from bad where rank <= 10
+"""
+
 OP12_SQL = r"""
 with docs as (select row_number() over () as r, coalesce(text, '') as t, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
 occurrences as (
@@ -121,8 +142,8 @@ select lang, source, part, item, value::bigint as value, rank::int as rank from
 
 
 def queries() -> dict:
-    return {"op1_minhash": op1_minhash, "op2_personal_data": op2_personal_data, "op3_token_counts": op3_token_counts, "op4_token_ids": op4_token_ids, "op5_katz": op5_katz, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_embeddings": op9_embeddings, "op10_leaks": op10_leaks, "op12_divergence": op12_divergence, "op13_packing": op13_packing}
+    return {"op1_minhash": op1_minhash, "op2_personal_data": op2_personal_data, "op3_token_counts": op3_token_counts, "op4_token_ids": op4_token_ids, "op5_katz": op5_katz, "op6_quality": op6_quality, "op7_byte_bpe": op7_byte_bpe, "op8_language": op8_language, "op9_embeddings": op9_embeddings, "op10_leaks": op10_leaks, "op11_negatives": op11_negatives, "op12_divergence": op12_divergence, "op13_packing": op13_packing}
 
 
 def oracle_sql() -> dict:
-    return {"op1_minhash": OP1_SQL, "op9_embeddings": OP9_SQL, "op12_divergence": OP12_SQL}
+    return {"op1_minhash": OP1_SQL, "op9_embeddings": OP9_SQL, "op11_negatives": OP11_SQL, "op12_divergence": OP12_SQL}
