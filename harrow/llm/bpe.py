@@ -7,6 +7,13 @@ merge table and contracts every word's leftmost pair of minimum rank, until no w
 has a pair left. In pre-tokens of hundreds of bytes and more a step also contracts the
 pairs that are so in their own neighbourhood, which gives the same in few steps. An
 ordered aggregation gathers the ids, another one decodes them.
+
+Pre-tokens beyond a window go window by window, so the memory of a query is bounded. The
+next window begins at a border of the last one and the two are joined at a token that
+both have there. That is exact: a row of tokens is what BPE makes of its bytes if every
+two neighbours are what it makes of theirs, because the first pair to be contracted over
+a border would be contracted in these two alone; and the neighbours at the seam stand
+side by side in the first window.
 """
 
 from __future__ import annotations
@@ -36,6 +43,8 @@ _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|
 REMEMBERED = 200_000
 #: Rows (bytes) that one recursive query starts from; pre-tokens longer than the second go by _ENCODE_LONG.
 QUERY_BYTES, LONG_BYTES = 300_000, 400
+#: Longer pre-tokens go by windows of so many bytes, which share so many at first; tokens decoded at once.
+WINDOW, OVERLAP, DECODED = 65_536, 2048, 200_000
 
 _STEP = """
   (with x as materialized (
@@ -104,9 +113,7 @@ with recursive s(w, p, q, t) using key (w, p) as (
 select w, list(t order by p) as ids from s where t >= 0 group by w order by w
 """
 _DECODE = """
-select i.w, string_agg(v.hex, '' order by i.k) as hex
-from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as k from coded) i join vocabulary v using (id)
-group by i.w order by i.w
+select i.w, string_agg(v.hex, '' order by i.k) as hex from coded i join vocabulary v using (id) group by i.w order by i.w
 """
 
 
@@ -121,6 +128,8 @@ class Bpe:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks, self.has_nodes = ranks, False
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(t) for t in ranks]
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [
             (ranks[t[:k]] * 1048576 + ranks[t[k:]], r)
@@ -177,13 +186,37 @@ class Bpe:
         self.db.execute("drop table start")
         return out
 
+    def _long(self, raw: bytes) -> np.ndarray:
+        """The ids of one long pre-token, by windows that are joined at a token which both have."""
+
+        def window(at: int) -> tuple[np.ndarray, np.ndarray]:
+            ids = np.asarray(self._query_long([raw[at : at + WINDOW]])["ids"].combine_chunks().flatten(), np.int64)
+            return ids, at + np.concatenate([[0], np.cumsum(self.size[ids])])
+
+        ids, edges = window(0)
+        out, shared = [], OVERLAP
+        while edges[-1] < len(raw):
+            first = max(0, int(np.searchsorted(edges, edges[-1] - shared, "right")) - 1)
+            nxt, borders = window(int(edges[first]))
+            here, there = edges[first:-1] * len(raw) + edges[first + 1 :], borders[:-1] * len(raw) + borders[1:]
+            _, i, j = np.intersect1d(here, there, assume_unique=True, return_indices=True)
+            if not len(i):
+                if first == 0:  # no seam in a whole window
+                    return np.asarray(self._query_long([raw])["ids"].combine_chunks().flatten(), np.int64)
+                shared *= 2
+                continue
+            out.append(ids[: first + i[0]])
+            ids, edges, shared = nxt[j[0] :], borders[j[0] :], OVERLAP
+        return np.concatenate([*out, ids])
+
     def learn(self, words: list[str]) -> None:
         """Encode and decode new pre-tokens."""
         short: list[str] = []
         size = 0
         for word in words:
             if len(raw := word.encode()) > LONG_BYTES:
-                self._store([word], self._query_long([raw]))
+                ids = self._long(raw)
+                self._store([word], pa.table({"ids": pa.array([ids], pa.list_(pa.int32()))}))
                 continue
             short.append(word)
             size += len(raw)
@@ -201,13 +234,16 @@ class Bpe:
             self.known[word] = (flat[lo:hi], text)
 
     def decode(self, ids: pa.Array) -> list[bytes]:
-        """The bytes of each list of ids: joined to the vocabulary, aggregated in order."""
-        self.db.register("coded", pa.table({"w": pa.array(np.arange(len(ids))), "ids": ids}))
-        found = self.db.sql(_DECODE).fetchall()
-        self.db.unregister("coded")
+        """The bytes of each list of ids: joined to the vocabulary, aggregated in order, a bounded number at once."""
+        flat = np.asarray(ids.flatten())
+        owner = np.repeat(np.arange(len(ids)), np.asarray(pc.list_value_length(ids)))
         out = [b""] * len(ids)
-        for w, text in found:
-            out[w] = bytes.fromhex(text)
+        for lo in range(0, len(flat), DECODED):
+            part = slice(lo, lo + DECODED)
+            self.db.register("coded", pa.table({"w": pa.array(owner[part]), "k": pa.array(np.arange(len(owner[part]))), "id": pa.array(flat[part])}))
+            for w, text in self.db.sql(_DECODE).fetchall():
+                out[w] += bytes.fromhex(text)
+            self.db.unregister("coded")
         return out
 
     def pieces(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
@@ -222,7 +258,11 @@ class Bpe:
             else:
                 new.append(word)
         self.learn(new)
-        return [list(map(self.known.__getitem__, c)) for c in cut]
+        found = [list(map(self.known.__getitem__, c)) for c in cut]
+        for word in new:
+            if len(word) > LONG_BYTES:
+                del self.known[word]
+        return found
 
 
 def loaded(path: str, remembered: int = REMEMBERED) -> Bpe:
@@ -241,8 +281,8 @@ def encode(docs: DataFrame, ranks_path: str, outputs: tuple[str, ...] = ("n_toke
     decoded_sha256. Strings that look like special tokens are ordinary text.
 
     Workers remember remembered pre-tokens, twice over: it bounds their memory and changes
-    no result. A null text is an empty one: no ids. Rows may repeat and doc_id may be null; every
-    row is answered. Other columns are ignored; an empty table gives no rows.
+    no result. A null text is an empty one: no ids. Texts and their pre-tokens may be of any
+    length. Rows may repeat and doc_id may be null; every row is answered. Other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches):

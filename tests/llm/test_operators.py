@@ -239,6 +239,43 @@ def test_byte_bpe_of_long_runs():
     assert bpe_._query([x.encode() for x in short])["ids"].to_pylist() == [list(library._encode_single_piece(x.encode())) for x in short]
 
 
+def test_byte_bpe_windows(monkeypatch):
+    """Windows so small that most seams need another try, and some none can be found."""
+    import random
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bpe_ = bpe.Bpe(path, 100)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_.ranks, special_tokens={})
+    r = random.Random(11)
+    for window, overlap in ((40, 1), (150, 8), (1000, 64)):
+        monkeypatch.setattr(bpe, "WINDOW", window)
+        monkeypatch.setattr(bpe, "OVERLAP", overlap)
+        for parts in ("ab", "abcdefgh", "the quick brown".split(), ["x"], "=-", "漢字仮", ["tion", "ing", "a"], "0123456789"):
+            text = "".join(r.choice(parts) for _ in range(700)).encode()
+            assert bpe_._long(text).tolist() == library._encode_single_piece(text)
+
+
+def test_byte_bpe_of_runs_beyond_memory(spark):
+    """Runs of 1 and 5 MB through the operator, each alone far beyond what one query may hold."""
+    import random
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(13)
+    texts = ["short", base64.b64encode(r.randbytes(3_750_000)).decode().translate(str.maketrans("+/=0123456789", "abcdefghijklm")), "y" * 1_000_000 + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for row in bpe.encode(df, path, ("ids_sha256", "decoded_sha256")).collect():
+        text = texts[row["doc_id"]]
+        ids = library.encode_ordinary(text)
+        assert row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 # ---- 5 language model
 
 
