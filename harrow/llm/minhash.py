@@ -117,14 +117,25 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, shingles array<long>")
 
 
-def _sets_of(spark: SparkSession, docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): the full sets of the class representatives in ids(rep), from their texts."""
-    ids = classes.join(ids, "rep").select(F.col("rep").alias("id"), F.col("k1").alias("c1"), F.col("k2").alias("c2"))
+def _sets_of(spark: SparkSession, docs: DataFrame, classes: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles): the full sets of the classes in reps(rep), which stands as doc_id, from the text of each one's smallest document."""
+    ids = classes.join(reps, "rep").select("rep", F.col("low").alias("id"), F.col("k1").alias("c1"), F.col("k2").alias("c2"))
     ids = materialize(spark, ids, "mh-ids")
-    texts = docs.join(small(ids.select("id"), 16), F.col("doc_id") == F.col("id"), "left_semi")
+    texts = docs.join(small(ids.select("id").distinct(), 16), F.col("doc_id") == F.col("id"), "left_semi")
     same = (F.col("doc_id") == F.col("id")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
-    found = _full_sets(texts, width).join(small(ids, 32), same, "left_semi")
-    return materialize(spark, found.dropDuplicates(["doc_id"]).select("doc_id", "shingles"), "mh-sets")
+    found = _full_sets(texts, width).join(small(ids, 40), same)
+    return materialize(spark, found.dropDuplicates(["rep"]).select(F.col("rep").alias("doc_id"), "shingles"), "mh-sets")
+
+
+def _of_one_id(spark: SparkSession, signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share a doc_id: such rows are one document."""
+    key = F.struct("k1", "k2")
+    rows = signed.where("n_shingles > 0 and doc_id is not null")
+    repeated = rows.groupBy("doc_id").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first <> last")
+    repeated = materialize(spark, repeated.select("doc_id", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2")), "mh-repeated")
+    ends = rows.join(small(repeated, 24), "doc_id").select("k1", "k2", "f1", "f2").distinct()
+    to = classes.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("rep").alias("a"))
+    return ends.join(classes.select("k1", "k2", F.col("rep").alias("b")), ["k1", "k2"]).join(to, ["f1", "f2"]).where("a <> b").select("a", "b")
 
 
 def _confirm(spark: SparkSession, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -166,11 +177,11 @@ def near_duplicates(
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(spark, _signed(docs, width, coords), "mh-signed")
-    classes = materialize(
-        spark, signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "mh-classes")
-    reps = signed.join(classes.where("rep is not null").select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"])
-    reps = reps.dropDuplicates(["doc_id"])
-    values = materialize(spark, reps.select("doc_id", "n_shingles", "sig"), "mh-reps")
+    # The links are between classes of equal sets, numbered: a doc_id may stand on texts of several.
+    classes = signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"))
+    classes = materialize(spark, classes.withColumn("rep", F.monotonically_increasing_id()), "mh-classes")
+    reps = signed.join(classes.where("low is not null").select("k1", "k2", "rep", F.col("low").alias("doc_id")), ["k1", "k2", "doc_id"])
+    values = materialize(spark, reps.dropDuplicates(["rep"]).select(F.col("rep").alias("doc_id"), "n_shingles", "sig"), "mh-reps")
     coordinate = F.posexplode("sig").alias("c", "v")
     value = F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long")
     flat = values.select(F.col("doc_id").alias("rep"), coordinate).select("rep", value.alias("value"))
@@ -207,7 +218,7 @@ def near_duplicates(
     pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
     pairs = materialize(spark, pairs, "mh-pairs")
     sets = _sets_of(spark, docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), width)
-    links = _confirm(spark, sets, pairs, percent)
+    links = materialize(spark, _confirm(spark, sets, pairs, percent).union(_of_one_id(spark, signed, classes)), "mh-links")
     component = materialize(spark, connected_components(spark, links), "mh-components")
 
     # Round 2: what is still apart.
@@ -239,8 +250,9 @@ def near_duplicates(
         if not more.isEmpty():
             component = materialize(spark, connected_components(spark, links.union(more)), "mh-components")
 
-    named = classes.join(component, classes.rep == component.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    named = materialize(spark, named, "mh-named")
+    named = classes.join(component, classes.rep == component.node, "left").select("k1", "k2", "low", F.coalesce("component", "rep").alias("class"))
+    lowest = named.groupBy("class").agg(F.min("low").alias("component"))
+    named = materialize(spark, named.join(lowest, "class").select("k1", "k2", "component"), "mh-named")
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -39,6 +39,16 @@ def test_near_duplicates(spark, docs, rows):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Two texts under one id: what is near either of them is reached, whatever the partitions."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(5, a), (5, b), (11, a + " end"), (13, a + " fin"), (12, b + " end"), (20, c), (21, c + " end"), (20, b + " fin"), (30, None), (30, "alone here")]
+    want = {5: 5, 11: 5, 12: 5, 13: 5, 20: 5, 21: 5, 30: 30}
+    for parts in (1, 7):
+        got = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), width=4).collect()
+        assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == set(want.items())
+
+
 def test_near_duplicates_edges(spark, edges, empty):
     out = minhash.near_duplicates(spark, edges, width=4)
     want = brute.near_duplicates([r for r in EDGE_ROWS if r[0]], 4)
