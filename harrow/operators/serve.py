@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.expressions import sigmoid, uniform
+from harrow.operators import blocks
+from harrow.sources.scratch import stored
 
 #: A side of a join is broadcast up to so many rows of a few numbers.
 BROADCAST_ROWS = 1_000_000
@@ -52,15 +54,23 @@ def recommend(r: DataFrame, sims: DataFrame, target: str, n: int = 10, k: int =
     near = sims.where(F.col("rk") <= k)
     if target == "i":
         mine = r.join(users, "u", "left_semi") if users is not None else r
-        scored = mine.join(near.select(F.col("x").alias("i"), "nb", "sim"), "i").select("u", F.col("nb").alias("i"), (F.col("r") * F.col("sim")).alias("s"))
+        left = mine.select(F.col("i").alias("pivot"), F.col("u").alias("row"), F.col("r").alias("value"))
+        right = near.select(F.col("x").alias("pivot"), F.col("nb").alias("col"), F.col("sim").alias("value"))
     else:
         near = near.select(F.col("x").alias("u"), F.col("nb").alias("v"), "sim")
         near = near.join(users, "u", "left_semi") if users is not None else near
-        scored = near.join(r.select(F.col("u").alias("v"), "i", "r"), "v").select("u", "i", (F.col("sim") * F.col("r")).alias("s"))
-    scored = scored.groupBy("u", "i").agg(F.sum("s").alias("score"))
+        left = near.select(F.col("v").alias("pivot"), F.col("u").alias("row"), F.col("sim").alias("value"))
+        right = r.select(F.col("u").alias("pivot"), F.col("i").alias("col"), F.col("r").alias("value"))
+    seen = None
+    if filter_consumed:
+        seen = (r.join(users, "u", "left_semi") if users is not None else r).select(F.col("u").alias("row"), F.col("i").alias("col"))
+    if not random:
+        left, right = stored(left, "recommend-left"), stored(right, "recommend-right")
+        return blocks.top_sums(left, right, n, seen, DIGITS).select(F.col("row").alias("u"), F.col("col").alias("i"), "score", "rk")
+    scored = left.select("pivot", F.col("row").alias("u"), F.col("value").alias("v")).join(right, "pivot").groupBy("u", F.col("col").alias("i")).agg(F.sum(F.col("v") * F.col("value")).alias("score"))
     if filter_consumed:
         scored = scored.join(r.select("u", "i"), ["u", "i"], "left_anti")
-    return top_n(scored, n, random=random, seed=seed)
+    return top_n(scored, n, random=True, seed=seed)
 
 
 def deficit(recs: DataFrame, users: DataFrame, n: int) -> DataFrame:

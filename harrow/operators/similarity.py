@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.expressions import cosine
+from harrow.operators import blocks
 
 #: Pivots with more entries than this are joined in salted slices.
 HEAVY_PIVOT = 5_000
@@ -53,8 +54,9 @@ def cosine_pairs(stats: DataFrame, ss: DataFrame, min_common: int = 1) -> DataFr
 
 def neighbors(pairs: DataFrame, k: int | None = None) -> DataFrame:
     """(x, nb, sim, rk): both directions, ranked by similarity, smaller ids first on ties."""
-    both = pairs.select(F.col("x1").alias("x"), F.col("x2").alias("nb"), "sim").unionAll(pairs.select(F.col("x2").alias("x"), F.col("x1").alias("nb"), "sim"))
-    return ranked(both.where("x <> 0 and nb <> 0"), k)
+    ends = [F.struct(F.col(a).alias("x"), F.col(b).alias("nb")) for a, b in (("x1", "x2"), ("x2", "x1"))]
+    both = pairs.where("x1 <> 0 and x2 <> 0").select(F.explode(F.array(*ends)).alias("w"), "sim")
+    return ranked(both.select("w.x", "w.nb", "sim"), k)
 
 
 def ranked(sims: DataFrame, k: int | None = None) -> DataFrame:
@@ -63,9 +65,11 @@ def ranked(sims: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def cosine_similarity(r: DataFrame, x: str, min_common: int = 1, k: int | None = None) -> DataFrame:
-    """Ranked neighbours of the entities in column x ('u' or 'i')."""
+    """Ranked neighbours of the entities in column x ('u' or 'i'), all of them or, block by block, the first k. r is best a stored table."""
     pivot = "u" if x == "i" else "i"
-    return neighbors(cosine_pairs(pair_stats(r, x, pivot), sum_squares(r, x), min_common), k)
+    if k:
+        return blocks.top_neighbors(r, x, pivot, k, min_common, DIGITS)
+    return neighbors(cosine_pairs(pair_stats(r, x, pivot), sum_squares(r, x), min_common))
 
 
 #: Common items of two users that are paired in one place.
