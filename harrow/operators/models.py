@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.operators import features, history, metrics, serve, similarity, training, validate, vocab
+from harrow.operators.state import PARTS, PartitionedState
 from harrow.sources.scratch import stored
 
-#: The tables of a DataInfo.
+#: The tables of a DataInfo, and what they are partitioned by in a kept state.
 INFO_PARTS = ("users", "items", "user_consumed", "item_consumed", "popular")
+INFO_KEYS = {"users": "user", "items": "item", "user_consumed": "u", "item_consumed": "i", "popular": "item"}
 
 
 @dataclass
@@ -105,19 +107,41 @@ class Dataset:
 
 
 class ExtendableDataset(Dataset):
-    """A dataset that keeps a fitted model's ids and histories and appends to them."""
+    """A dataset that keeps a fitted model's ids and histories and appends to them.
+
+    If the model keeps its state in a folder, so do the ids and histories: only the
+    partitions that the new rows touch are written.
+    """
 
     def __init__(self, model: "CfModel", **options):
         super().__init__(**options)
-        self.old = model.info
+        self.old, self.state = model.info, model.kept
 
     def _mappings(self, train: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return (stored(vocab.extend_mapping(self.old.users, train, "user", "u"), "users"), stored(vocab.extend_mapping(self.old.items, train, "item", "i"), "items"))
+        out = []
+        for name, col, id_col, n in (("users", "user", "u", self.old.n_users), ("items", "item", "i", self.old.n_items)):
+            old = getattr(self.old, name)
+            if self.state is None:
+                out.append(stored(vocab.extend_mapping(old, train, col, id_col), name))
+                continue
+            new = stored(vocab.make_id_mapping(train.select(col).distinct().join(old.select(col), col, "left_anti"), col, id_col, n), name)
+            self.state.merge(name, new, lambda a, b: a.unionByName(b))
+            out.append(self.state.table(name))
+        return out[0], out[1]
 
     def build_data(self, train, eval_data=None, test_data=None):
         parts = super().build_data(train, eval_data, test_data)
-        self.info.user_consumed = stored(history.merge_consumed(self.old.user_consumed, self.info.user_consumed), "consumed")
-        self.info.item_consumed = stored(history.merge_consumed(self.old.item_consumed, self.info.item_consumed, "i", "users"), "consumed")
+        for name, key, values in (("user_consumed", "u", "items"), ("item_consumed", "i", "users")):
+            old, new = getattr(self.old, name), getattr(self.info, name)
+            if self.state is None:
+                merged = stored(history.merge_consumed(old, new, key, values), "consumed")
+            else:
+                self.state.merge(name, stored(new, "consumed"), lambda a, b, key=key, values=values: history.merge_consumed(a, b, key, values))
+                merged = self.state.table(name)
+            setattr(self.info, name, merged)
+        if self.state is not None:
+            self.state.put("popular", INFO_KEYS["popular"], self.info.popular)
+            self.info.popular = self.state.table("popular")
         return parts
 
 
@@ -205,7 +229,8 @@ class CfModel:
             raise ValueError("task must be 'rating' or 'ranking'")
         self.task, self.info, self.k_sim, self.min_common, self.seed = task, info, k_sim, min_common, seed
         self.state: State | None = None
-        self.folded = -1  # the last batch of a stream that is in
+        self.kept: PartitionedState | None = None
+        self.stream, self.folded = None, -1  # the last batch that is in, and the checkpoint of the stream that gave it
 
     @property
     def is_fitted(self) -> bool:
@@ -229,12 +254,72 @@ class CfModel:
         pairs = stored(similarity.update_cosine(old.pairs, stats, ss, fresh, self.min_common), "pairs")
         return State(stored(similarity.merge_interactions(old.r, r), "r"), pairs, ss, stats)
 
+    def _tables(self) -> dict[str, tuple[str, DataFrame]]:
+        """The state as tables with the keys that they are partitioned by."""
+        state = self._fitted()
+        pairs = state.stats.join(state.pairs, ["x1", "x2"], "left").select("x1", "x2", "dot", "cnt", "sim")
+        return {"r": ("u", state.r), "ss": ("x", state.ss), "pairs": ("x1", pairs)}
+
+    def _merge(self, r: DataFrame) -> None:
+        x, pivot = self.target, "u" if self.target == "i" else "i"
+        self.kept.merge("ss", stored(similarity.sum_squares(r, x), "ss"), lambda a, b: a.unionByName(b).groupBy("x").agg(F.sum("ss").alias("ss")))
+        self.kept.merge("pairs", stored(similarity.pair_stats(r, x, pivot), "fresh"), similarity.update_pairs(self.kept.table("ss"), self.min_common))
+        self.kept.merge("r", r, similarity.merge_interactions)
+
+    def _kept_state(self) -> State:
+        pairs = self.kept.table("pairs")
+        return State(self.kept.table("r"), pairs.where("sim is not null").select("x1", "x2", "sim"), self.kept.table("ss"), pairs.select("x1", "x2", "dot", "cnt"))
+
+    def _notes(self) -> dict:
+        info = {"n_rows": self.info.n_rows, "n_users": self.info.n_users, "n_items": self.info.n_items, "n_hash_bins": self.info.n_hash_bins}
+        return {"model_type": self.model_type, "task": self.task, "k_sim": self.k_sim, "min_common": self.min_common, "stream": self.stream, "folded": self.folded, "info": info}
+
+    def _put_all(self) -> None:
+        for name, key in INFO_KEYS.items():
+            self.kept.put(name, key, getattr(self.info, name))
+            setattr(self.info, name, self.kept.table(name))
+        for name, (key, df) in self._tables().items():
+            self.kept.put(name, key, df)
+
+    def keep(self, spark: SparkSession, path: str, n_parts: int = PARTS) -> "CfModel":
+        """Keep ids, histories and similarities in a shared folder from now on: every fit() is committed there and
+        writes only the hash partitions that its rows touch. of_kept() gives the model back, as of the last fit()."""
+        self.kept = PartitionedState(spark, path, n_parts)
+        if self.is_fitted:
+            self._put_all()
+            self.kept.commit(**self._notes())
+            self.state = self._kept_state()
+        return self
+
+    @classmethod
+    def of_kept(cls, spark: SparkSession, path: str) -> "CfModel | None":
+        """The model that is kept in a folder, or none."""
+        state = PartitionedState(spark, path)
+        if not state.version:
+            return None
+        notes = state.notes
+        if notes["model_type"] != cls.model_type:
+            raise ValueError(f"{path} has a {notes['model_type']} model, not {cls.model_type}")
+        model = cls(notes["task"], DataInfo(**{name: state.table(name) for name in INFO_PARTS}, **notes["info"]), notes["k_sim"], notes["min_common"])
+        model.kept, model.stream, model.folded = state, notes["stream"], notes["folded"]
+        model.state = model._kept_state()
+        return model
+
     def fit(self, train: DataFrame, neg_sampling: bool = False, eval_data: DataFrame | None = None, metrics_wanted: list[str] | None = None, k: int = 10) -> "CfModel":
         """The first call computes the similarities, later ones fold the new rows in."""
         validate.check_labels(train, self.task, neg_sampling)
         began = time.time()
         r = stored(similarity.interactions(train), "r")
-        self.state = self._update(r) if self.is_fitted else self._compute(r)
+        if self.kept is None:
+            self.state = self._update(r) if self.is_fitted else self._compute(r)
+        else:
+            if self.is_fitted:
+                self._merge(r)
+            else:
+                self.state = self._compute(r)
+                self._put_all()
+            self.kept.commit(**self._notes())
+            self.state = self._kept_state()
         self.state.timings["fit"] = time.time() - began
         if eval_data is not None:
             self.evaluation = self.evaluate(eval_data, neg_sampling, metrics_wanted, k)
@@ -314,9 +399,7 @@ class CfModel:
         for part in ("r", "pairs", "ss", "stats"):
             if (df := getattr(state, part)) is not None:
                 df.write.mode("overwrite").parquet(f"{path}/{name}/{part}")
-        meta = {"model_type": self.model_type, "task": self.task, "k_sim": self.k_sim, "min_common": self.min_common, "parts": [p for p in ("r", "pairs", "ss", "stats") if getattr(state, p) is not None]}
-        meta["folded"] = self.folded
-        meta["info"] = {"n_rows": self.info.n_rows, "n_users": self.info.n_users, "n_items": self.info.n_items, "n_hash_bins": self.info.n_hash_bins}
+        meta = self._notes() | {"parts": [p for p in ("r", "pairs", "ss", "stats") if getattr(state, p) is not None]}
         state.r.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(f"{path}/{name}/meta")
 
     @classmethod
@@ -331,7 +414,7 @@ class CfModel:
         if info is None:
             info = DataInfo(**{part: spark.read.parquet(f"{path}/{name}/info-{part}") for part in INFO_PARTS}, **meta["info"])
         model = cls(meta["task"], info, meta["k_sim"], meta["min_common"])
-        model.folded = meta["folded"]
+        model.stream, model.folded = meta["stream"], meta["folded"]
         model.state = State(**{p: spark.read.parquet(f"{path}/{name}/{p}") for p in meta["parts"]})
         return model
 
@@ -359,5 +442,15 @@ class Swing(CfModel):
         old = self._fitted()
         return State(stored(similarity.merge_interactions(old.r, r), "r"), stored(similarity.swing_pairs(r, self.alpha, old.pairs), "pairs"))
 
+    def _tables(self) -> dict[str, tuple[str, DataFrame]]:
+        return {"r": ("u", self._fitted().r), "pairs": ("x1", self._fitted().pairs)}
+
+    def _merge(self, r: DataFrame) -> None:
+        self.kept.merge("pairs", stored(similarity.swing_pairs(r, self.alpha), "fresh"), similarity.update_swing)
+        self.kept.merge("r", r, similarity.merge_interactions)
+
+    def _kept_state(self) -> State:
+        return State(self.kept.table("r"), self.kept.table("pairs"))
+
     def _predict_task(self) -> str:
         return "ranking"

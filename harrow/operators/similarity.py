@@ -94,9 +94,15 @@ def swing_pairs(r: DataFrame, alpha: float = 0.1, previous: DataFrame | None = N
     second = shared.select("u", "v", F.col("i").alias("x2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     pairs = first.join(second, ["u", "v", "part"]).where("x1 < x2")
     sims = pairs.groupBy("x1", "x2").agg(F.sum("s").alias("sim"))
-    if previous is not None:
-        sims = sims.unionByName(previous.select("x1", "x2", "sim")).groupBy("x1", "x2").agg(F.sum("sim").alias("sim"))
-    return sims.where(F.abs("sim") > 1e-8)
+    return update_swing(sims) if previous is None else update_swing(previous, sims)
+
+
+def update_swing(*sims: DataFrame) -> DataFrame:
+    """Sums of swing similarities, as far as they are not zero."""
+    out = sims[0].select("x1", "x2", "sim")
+    for more in sims[1:]:
+        out = out.unionByName(more.select("x1", "x2", "sim"))
+    return (out.groupBy("x1", "x2").agg(F.sum("sim").alias("sim")) if len(sims) > 1 else out).where(F.abs("sim") > 1e-8)
 
 
 def swing_similarity(r: DataFrame, alpha: float = 0.1, k: int | None = None) -> DataFrame:
@@ -125,3 +131,19 @@ def update_cosine(sims: DataFrame, stats: DataFrame, ss: DataFrame, batch_stats:
     touched = stats.join(batch_stats.select("x1", "x2"), ["x1", "x2"], "left_semi")
     fresh = cosine_pairs(touched, ss, min_common).withColumnRenamed("sim", "fresh")
     return sims.join(fresh, ["x1", "x2"], "full").select("x1", "x2", F.coalesce("fresh", "sim").alias("sim"))
+
+
+def update_pairs(ss: DataFrame, min_common: int = 1):
+    """The same for pairs kept with their sums, (x1, x2, dot, cnt, sim): what PartitionedState.merge takes to fold batch statistics in.
+
+    sim is null as long as a pair has too few pivots in common. Only the changed pairs meet ss(x, ss).
+    """
+
+    def combine(old: DataFrame, fresh: DataFrame) -> DataFrame:
+        more = fresh.select("x1", "x2", F.col("dot").alias("d"), F.col("cnt").alias("c"))
+        changed = more.join(old, ["x1", "x2"], "left").select("x1", "x2", (F.col("d") + F.coalesce("dot", F.lit(0.0))).alias("dot"), (F.col("c") + F.coalesce("cnt", F.lit(0))).alias("cnt"), "sim")
+        changed = changed.join(ss.select(F.col("x").alias("x1"), F.col("ss").alias("ss1")), "x1").join(ss.select(F.col("x").alias("x2"), F.col("ss").alias("ss2")), "x2")
+        sim = F.when(F.col("cnt") >= min_common, cosine("dot", "ss1", "ss2")).otherwise(F.col("sim"))
+        return old.join(more.select("x1", "x2"), ["x1", "x2"], "left_anti").unionByName(changed.select("x1", "x2", "dot", "cnt", sim.alias("sim")))
+
+    return combine

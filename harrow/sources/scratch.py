@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE = threading.local()
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where it is unset a local session makes a folder and sets it; on a cluster it is an error,
@@ -21,14 +25,45 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def files_of(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; nothing if there is none."""
+    files, at = files_of(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    files, at = files_of(spark, path)
+    files.delete(at, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder. What is written there goes when the session ends."""
+    """A new place in the shared folder. What is written there goes when the session ends, or the block of temporary() around it."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files, at = files_of(spark, path)
+    files.deleteOnExit(at)
+    if getattr(_MADE, "blocks", None):
+        _MADE.blocks[-1].append(path)
     return path
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """What this thread stores in the block goes at its end; tables that are read later must be elsewhere by then."""
+    _MADE.blocks = [*getattr(_MADE, "blocks", []), []]
+    try:
+        yield
+    finally:
+        *_MADE.blocks, made = _MADE.blocks
+        for path in made:
+            removed(spark, path)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet and read back."""
     spark = df.sparkSession

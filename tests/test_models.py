@@ -9,7 +9,6 @@ from harrow.operators.features import EntityConfig, FeatureConfig
 from harrow.operators.models import Dataset, HashDataset, ItemCF, Swing, UserCF
 from harrow.operators.split import split_by_num
 from harrow.sources import views
-from harrow.streaming.incremental import fit_stream, resumed
 
 
 @pytest.fixture(scope="module")
@@ -63,28 +62,6 @@ def test_features_and_hashing(spark, sf_dir, built):
     assert rows["max(u)"] <= 50 and rows["min(i)"] >= 1
 
 
-def test_stream_folds_batches_in(spark, sf_dir, tmp_path):
-    clicks = views.clicks(spark, sf_dir).drop("event")
-    data = Dataset()
-    model = ItemCF("rating", data.info)
-    train = data.build_data(clicks.where("user < 8"))[0]
-    model.update_data_info(data.info)
-    model.fit(train)
-    before = model.num_sim_elements()
-    clicks.where("user >= 8").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(clicks.schema).parquet(str(tmp_path / "in"))
-    seen = []
-    saves = f"file://{tmp_path}/saves"
-    assert resumed(spark, ItemCF, saves) is None
-    fit_stream(stream, model, str(tmp_path / "state"), lambda m, k: seen.append(k), saves).awaitTermination()
-    again = resumed(spark, ItemCF, saves)
-    assert again.folded == 0 and again.num_sim_elements() == model.num_sim_elements()
-    # A lost checkpoint hands the batch out once more; the model that was saved has it.
-    fit_stream(stream, again, str(tmp_path / "other"), lambda m, k: seen.append(k), saves).awaitTermination()
-    assert seen == [0] and model.num_sim_elements() >= before
-    assert model.info.n_users == clicks.select("user").distinct().count()
-
-
 def test_hashed_features_and_retraining(spark, sf_dir):
     """Mappings, histories, value indexes and feature rows go on from the first dataset; new values win."""
     p = views.purchases(spark, sf_dir)
