@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from harrow.functions.expressions import cosine
 
 #: Products of a block, about; entries of a pivot that travel as one list; products expanded at once.
-WORK, HEAVY, EXPANDED = 2_000_000, 5_000, 1 << 20
+WORK, HEAVY, EXPANDED = 4_000_000, 5_000, 1 << 20
 #: Rows that are broadcast to a join at most.
 BROADCAST_ROWS = 100_000
 _LOW = np.uint64(0xFFFFFFFF)
@@ -144,6 +144,18 @@ def _by_block(finish: Callable, n: int, key: Callable, values: Callable):
 _NOT = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _block_count(r: DataFrame, load: int | None, work: int) -> int:
+    """Blocks of about work products; beyond a few, as many as fill all shuffle partitions alike."""
+    n, wide = -(-(load or 0) // work), int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, n if 2 * n < wide else -(-n // wide) * wide)
+
+
+def _dealt(packs: DataFrame, n_blocks: int) -> DataFrame:
+    """Packs by block, blocks dealt out evenly."""
+    n = min(n_blocks, 8 * int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return packs.repartitionById(n, F.pmod("block", F.lit(n))).sortWithinPartitions("block")
+
+
 def _pair_keys(b: pa.RecordBatch):
     x, y = _lists(b.column("l_x"))[0].astype(np.uint64), _lists(b.column("r_x"))[0].astype(np.uint64)
 
@@ -186,7 +198,7 @@ def top_neighbors(r: DataFrame, x: str, pivot: str, k: int, min_common: int = 1,
     of_x = known.join(degrees, pivot).groupBy(x).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("root"), F.sum("__d").alias("load"))
     total = of_x.agg(F.sum("load").alias("load"), F.sum(F.when(F.col("load") > work, 1).otherwise(0)).alias("hot"), F.count(F.lit(1)).alias("n")).first()
     schema = "x long, nb long, sim double, rk int"
-    n_blocks = max(1, -(-(total["load"] or 0) // work))
+    n_blocks = _block_count(r, total["load"], work)
     block = F.when(F.col("load") > work, -1).otherwise(F.pmod(F.xxhash64(x), F.lit(n_blocks))).cast("int")
     of_x = of_x.select(x, "root", block.alias("block"))
     entries = known.join(F.broadcast(of_x) if total["n"] <= BROADCAST_ROWS else of_x, x)
@@ -210,7 +222,7 @@ def top_neighbors(r: DataFrame, x: str, pivot: str, k: int, min_common: int = 1,
         rank = np.arange(len(a)) - np.searchsorted(a, a) + 1
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim), pa.array(rank.astype(np.int32))], names=["x", "nb", "sim", "rk"])
 
-    packs = both.mapInArrow(_packs(n_blocks), _PACKED).repartition("block").sortWithinPartitions("block")
+    packs = _dealt(both.mapInArrow(_packs(n_blocks), _PACKED), n_blocks)
     kind = r.schema[x].dataType
     as_given = [F.col("x").cast(kind).alias("x"), F.col("nb").cast(kind).alias("nb"), "sim", "rk"]
     near = packs.mapInArrow(_by_block(finish, 2, _pair_keys, _pair_values), schema).select(as_given)
@@ -234,7 +246,7 @@ def top_sums(left: DataFrame, right: DataFrame, n: int, seen: DataFrame | None =
     width = right.groupBy("pivot").agg(F.count(F.lit(1)).alias("__d"))
     loads = left.join(width, "pivot").groupBy("row").agg(F.sum("__d").alias("load"))
     total = loads.agg(F.sum("load").alias("load"), F.sum(F.when(F.col("load") > work, 1).otherwise(0)).alias("hot")).first()
-    n_blocks = max(1, -(-(total["load"] or 0) // work))
+    n_blocks = _block_count(left, total["load"], work)
     block = F.pmod(F.xxhash64(F.col("row").cast("long")), F.lit(n_blocks)).cast("int")
     light, marked, hot = left, seen, None
     if total["hot"]:
@@ -279,7 +291,7 @@ def top_sums(left: DataFrame, right: DataFrame, n: int, seen: DataFrame | None =
 
     kinds = left.schema["row"].dataType, right.schema["col"].dataType
     as_given = [F.col("row").cast(kinds[0]).alias("row"), F.col("col").cast(kinds[1]).alias("col"), "score", "rk"]
-    packs = both.select("l_block", "l_x", "l_value", "r_x", "r_value", "r_root").mapInArrow(_packs(n_blocks), _PACKED).repartition("block").sortWithinPartitions("block")
+    packs = _dealt(both.select("l_block", "l_x", "l_value", "r_x", "r_value", "r_root").mapInArrow(_packs(n_blocks), _PACKED), n_blocks)
     out = packs.mapInArrow(_by_block(finish, 1, key, value), "row long, col long, score double, rk int").select(as_given)
     if hot is None:
         return out

@@ -51,7 +51,8 @@ class Dataset:
         self.features: dict[str, tuple[DataFrame, DataFrame]] = {}
 
     def _mappings(self, train: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return stored(vocab.make_id_mapping(train, "user", "u"), "users"), stored(vocab.make_id_mapping(train, "item", "i"), "items")
+        users, items = vocab.make_id_mappings(train, ("user", "u"), ("item", "i"))
+        return stored(users, "users"), stored(items, "items")
 
     def _plain(self, data: DataFrame) -> DataFrame:
         validate.check_data_cols(data, self.user_col, self.item_col, self.label_col, self.multi_label_cols)

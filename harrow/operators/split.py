@@ -108,7 +108,8 @@ def split_by_ratio(
         cum += share
         part = F.when(F.col("__k") > F.rint(F.col("__n") * F.lit(cum)), p + 1).otherwise(part)
     part = F.when(F.col("__n") < 3, 0).otherwise(part)
-    parts = [rows.where(part == p).select(*data.columns) for p in range(len(shares))]
+    rows = stored(rows.withColumn("__p", part).drop("__k", "__n"), "split")  # all parts come from one pass
+    parts = [rows.where(F.col("__p") == p).select(*data.columns) for p in range(len(shares))]
     return _finished(parts, user_col, item_col, filter_unknown, pad_unknown, pad_val)
 
 
@@ -123,8 +124,8 @@ def split_by_num(
     rows = data.withColumns({
         "__k": F.row_number().over(by_user.orderBy(*_order(order_col, shuffle, seed))), "__n": F.count(F.lit(1)).over(by_user)})
     take = F.when(F.col("__n") < 3, 0).when(F.col("__n") <= test_size, 1).otherwise(test_size)
-    test = F.col("__k") > F.col("__n") - take
-    parts = [rows.where(~test).select(*data.columns), rows.where(test).select(*data.columns)]
+    rows = stored(rows.withColumn("__p", (F.col("__k") > F.col("__n") - take).cast("int")).drop("__k", "__n"), "split")
+    parts = [rows.where(F.col("__p") == p).select(*data.columns) for p in (0, 1)]
     return _finished(parts, user_col, item_col, filter_unknown, pad_unknown, pad_val)
 
 

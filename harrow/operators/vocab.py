@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators.ranges import before_ranges, ranged
+from harrow.sources.scratch import stored
 
 OOV = 0
 DEFAULT_BINS = 200_000
@@ -23,6 +24,21 @@ def make_id_mapping(data: DataFrame, col: str, id_col: str, start: int = 0) -> D
     return placed.join(F.broadcast(before), "__part").select(col, (F.col("before") + F.col("__place") + 1 + start).cast("int").alias(id_col))
 
 
+def make_id_mappings(data: DataFrame, *columns: tuple[str, str]) -> list[DataFrame]:
+    """make_id_mapping for several (col, id_col) of one type, their values found and sorted in one pass over data."""
+    if len({data.schema[col].dataType for col, _ in columns}) > 1:
+        return [make_id_mapping(data, col, id_col) for col, id_col in columns]
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("__c"), F.col(col).alias("__v")) for n, (col, _) in enumerate(columns)))).alias("e")
+    values = data.select(each).select("e.__c", "e.__v").where(F.col("__v").isNotNull()).distinct()
+    placed = stored(values.sort("__c", "__v").withColumn("__m", F.monotonically_increasing_id()), "mapping")
+    placed = placed.withColumn("__part", F.shiftright("__m", 33))
+    # In the order of __m a value's id is how many of its column come up to it.
+    parts = placed.groupBy("__c", "__part").agg(F.count(F.lit(1)).alias("n"), F.min("__m").alias("first"))
+    parts = parts.select("__c", "__part", "first", (F.sum("n").over(Window.partitionBy("__c").orderBy("__part")) - F.col("n")).alias("before"))
+    ids = placed.join(F.broadcast(parts), ["__c", "__part"]).withColumn("id", (F.col("before") + F.col("__m") - F.col("first") + 1).cast("int"))
+    return [ids.where(F.col("__c") == n).select(F.col("__v").alias(col), F.col("id").alias(id_col)) for n, (col, id_col) in enumerate(columns)]
+
+
 def extend_mapping(mapping: DataFrame, data: DataFrame, col: str, id_col: str) -> DataFrame:
     """mapping with the new values of data appended: sorted, from the largest id on."""
     new = data.select(col).distinct().join(mapping.select(col), col, "left_anti")

@@ -27,6 +27,8 @@ def text(col: str):
 
 
 def _encoded(data: DataFrame, users: DataFrame | None = None, items: DataFrame | None = None):
+    if users is None and items is None:
+        users, items = vocab.make_id_mappings(data, ("user", "u"), ("item", "i"))
     users = vocab.make_id_mapping(data, "user", "u") if users is None else users
     items = vocab.make_id_mapping(data, "item", "i") if items is None else items
     return vocab.encode(data, users, items), users, items
@@ -37,7 +39,7 @@ class World:
 
     def __init__(self, spark, sf_dir, last: int = 1):
         train, test = split.split_by_num(views.purchases(spark, sf_dir), test_size=last)
-        self.train, self.test = stored(train, "train"), stored(test, "test")
+        self.train, self.test = train, stored(test, "test")
         self.enc, self.users, self.items = _encoded(self.train)
         self.r = stored(similarity.interactions(self.enc), "r")
         self.test_enc = vocab.encode(self.test, self.users, self.items)
