@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.operators import vocab
+from harrow.operators import quantiles, vocab
+from harrow.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -85,11 +86,11 @@ def sparse_features(data: DataFrame, mapping: DataFrame, key: str, id_col: str,
 def dense_features(data: DataFrame, mapping: DataFrame, key: str, id_col: str, cols: tuple[str, ...]) -> DataFrame:
     """(id, cols...): values per entity; the median of the mapped rows where missing, and for id 0."""
     _needs(data, cols)
-    mapped = reindex(data.select(key, *cols), mapping, key, id_col)
-    medians = mapped.agg(*(F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"__{c}") for c in cols))
+    mapped = stored(reindex(data.select(key, *cols), mapping, key, id_col), "dense")
+    middle = quantiles.medians(mapped, cols)
     everyone = mapping.select(id_col).unionByName(data.sparkSession.range(1).select(F.lit(0).alias(id_col)))
-    out = everyone.join(mapped, id_col, "left").crossJoin(F.broadcast(medians))
-    return out.select(id_col, *(F.coalesce(F.col(c).cast("double"), f"__{c}").alias(c) for c in cols))
+    out = everyone.join(mapped, id_col, "left")
+    return out.select(id_col, *(F.coalesce(F.col(c).cast("double"), F.lit(middle[c])).cast("double").alias(c) for c in cols))
 
 
 def multi_sparse_features(data: DataFrame, mapping: DataFrame, key: str, id_col: str, group: tuple[str, ...], index: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.expressions import uniform
+from harrow.operators.ranges import before_ranges, ranged
 from harrow.sources.scratch import stored
 
 PROBES = 10
@@ -32,6 +35,74 @@ def negatives_from_random(rows: DataFrame, n_items: int, num_neg: int = 1, seed:
     return _first(_probes(rows, num_neg, attempts, n_items, seed), F.col("neg") == F.col("i"))
 
 
+#: Rounds of the keyed permutation, and how often a value beyond the range is sent through it again.
+ROUNDS, WALKS = 3, 16
+#: Fixed odd numbers of the permutation's mixing step.
+_MIX = (1640531527, 1540483477)
+
+
+def _mixed(value, key):
+    """A number below 2^24 from a value and a key below 2^31 and 2^30."""
+    first = F.floor(((value + key) * F.lit(_MIX[0])) % F.lit(1 << 32) / F.lit(64)).cast("long")
+    return F.floor((first * F.lit(_MIX[1])) % F.lit(1 << 32) / F.lit(256)).cast("long")
+
+
+def permuted(place, n: int, keys):
+    """The place (0 to n - 1) that a keyed permutation gives a place: different places, different results, nothing is remembered.
+
+    keys is an array of ROUNDS pairs (a, b). A Feistel network over the grid of a rows
+    and b columns that just holds n cells; a result beyond n goes through again.
+    """
+    rows = max(1, math.isqrt(n - 1) + 1 if n > 1 else 1)
+    columns = -(-n // rows)
+
+    def once(x):
+        def step(s, k):
+            left = (s["l"] + _mixed(s["r"], k["a"])) % F.lit(rows)
+            # The new left half is needed twice: it goes through a list of one.
+            return F.transform(F.array(left), lambda new: F.struct(new.alias("l"), ((s["r"] + _mixed(new, k["b"])) % F.lit(columns)).alias("r")))[0]
+
+        start = F.struct(F.floor(x / F.lit(columns)).cast("long").alias("l"), (x % F.lit(columns)).cast("long").alias("r"))
+        return F.aggregate(keys, start, step, lambda s: s["l"] * F.lit(columns) + s["r"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(place.cast("long")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+
+
+def batched(rows: DataFrame, batch_size: int, by: str = "row") -> DataFrame:
+    """rows with batch and place: batches of batch_size rows in the order of by, places from 0."""
+    placed = ranged(rows, by)
+    before = before_ranges(placed, before=F.count(F.lit(1)))
+    at = F.col("before") + F.col("__place")
+    out = placed.join(F.broadcast(before), "__part")
+    return out.withColumns({"batch": F.floor(at / batch_size), "place": at % batch_size}).drop("__part", "__place", "before")
+
+
+def negatives_distinct(rows: DataFrame, n_items: int, num_neg: int = 1, batch_size: int = 256, seed: int = 42) -> DataFrame:
+    """(row, u, i, batch, k, neg): uniform items other than the row's own, drawn without replacement inside a batch of rows.
+
+    Every batch has a keyed permutation of the items, a draw takes its own place in it, so
+    draws know nothing of each other. A draw that meets the row's item moves to a place
+    beyond those of all draws, which cannot be that item. Where a batch needs more than
+    half of the items for that, such a draw may repeat another of its batch; where it
+    needs more than all of them, places wrap and each item comes as evenly as it can.
+    The only item of all is drawn nowhere: n_items must be 2 or more.
+    """
+    if n_items < 2:
+        raise ValueError("there is no other item to draw")
+    key = lambda j, side: F.floor(uniform(seed, F.lit("order"), F.col("batch"), F.lit(f"{j}{side}")) * F.lit(1 << 30)).cast("long").alias(side)
+    keys = F.array(*(F.struct(key(j, "a"), key(j, "b")) for j in range(ROUNDS)))
+    # Keys are a batch's, not a row's.
+    batches = batched(rows.select("row", "u", "i"), batch_size)
+    keyed = batches.join(batches.select("batch").distinct().select("batch", keys.alias("keys")), "batch")
+    draws = keyed.select("*", F.explode(F.sequence(F.lit(1), F.lit(num_neg))).alias("k"))
+    own = F.col("place") * num_neg + F.col("k") - 1
+    draws = draws.withColumn("neg", permuted(own % n_items, n_items, F.col("keys")) + 1)
+    again = own + batch_size * num_neg
+    again = F.when(again % n_items == own % n_items, again + 1).otherwise(again) % n_items
+    neg = F.when(F.col("neg") == F.col("i"), permuted(again, n_items, F.col("keys")) + 1).otherwise(F.col("neg"))
+    return draws.select("row", "u", "i", "batch", "k", neg.cast("int").alias("neg"))
+
+
 def popularity(r: DataFrame, temperature: float = 0.75) -> DataFrame:
     """(i, p, lo, hi): distinct consumers ^ temperature, normalised, and as intervals of [0, 1).
 

@@ -161,6 +161,32 @@ pb as (select *, {_PROBE} as neg from rw, (select unnest(generate_series(1, {num
 
 
 _FIRST = "select row, u, i, k, arg_min(neg, case when {bad} then 1000 - attempt else attempt end) as neg from {src} group by row, u, i, k"
+
+
+def _mixed(value: str, key: str) -> str:
+    return f"((({value} + {key}) * 1640531527 % 4294967296) // 64 * 1540483477 % 4294967296) // 256"
+
+
+def _distinct(num: int, batch: int) -> str:
+    """Draws of a batch are places in a permutation: three rounds over a grid, again for results beyond the items."""
+    halves = ["x // b as l0", "x % b as r0"]
+    for j in range(3):
+        halves += [f"(l{j} + {_mixed(f'r{j}', f'a{j}')}) % a as l{j + 1}", f"(r{j} + {_mixed(f'l{j + 1}', f'b{j}')}) % b as r{j + 1}"]
+    keys = ", ".join(f"""floor({_uniform('42', "'order'", 'batch', f"'{j}{side}'")} * 1073741824)::bigint as {side}{j}""" for j in range(3) for side in "ab")
+    carried = "row, u, i, batch, k, tries, n, a, b, " + ", ".join(f"{side}{j}" for j in range(3) for side in "ab")
+    parts = (
+        *ALL, "sz as (select count(*) as n from iv)", "grid as (select n, ceil(sqrt(n))::bigint as a, ceil(n / ceil(sqrt(n)))::bigint as b from sz)",
+        "rw as (select u::bigint * 4294967296 + i as row, u, i from r)", "nr as (select *, row_number() over (order by row) - 1 as pos from rw)",
+        f"dr as (select row, u, i, pos // {batch} as batch, pos % {batch} as place, k from nr, (select unnest(generate_series(1, {num})) as k))",
+        f"pl as (select *, (place * {num} + k - 1) % n as x1, (place * {num} + k - 1 + {batch * num}) % n as x2 from dr, grid)",
+        f"ky as (select distinct batch, {keys} from dr)",
+        "xs as (select row, u, i, batch, k, n, a, b, 1 as tries, x1 as x from pl union all select row, u, i, batch, k, n, a, b, 2, case when x1 = x2 then (x2 + 1) % n else x2 end from pl)",
+        f"wk as (select {carried}, x, 0 as step from xs join ky using (batch) union all select {carried}, l3 * b + r3 as x, step + 1 from (select *, {', '.join(halves)} from wk where step = 0 or x >= n))",
+        "ends as (select row, u, i, batch, k, tries, (x + 1)::int as neg from wk where step > 0 and x < n)")
+    return "with recursive " + ",\n".join(parts) + """
+select o.row, o.u, o.i, o.batch, o.k::int as k, case when o.neg = o.i then s.neg else o.neg end as neg from ends o join ends s on s.row = o.row and s.k = o.k and s.tries = 2 where o.tries = 1"""
+
+
 _VECTORS = """us as (select vec_id as id, embedding::double[] as vec from embeddings where vec_id % 2 = 0),
 vs as (select vec_id as id, embedding::double[] as vec from embeddings where vec_id % 2 = 1)"""
 _TOP = """top as (select * from (select us.id as u, vs.id as i, list_dot_product(us.vec, vs.vec) as s,
@@ -315,6 +341,7 @@ ORACLE: dict[str, str] = {
     "usercf_incremental": _incremental("u", "i"),
     "swing_incremental": _with(*_BATCH, _swing("o", "o"), _swing("b", "b")) + "select x1, x2, round(sum(sim), 6) as sim from (select * from oswing union all select * from bswing) group by 1, 2 having abs(sum(sim)) > 1e-8",
     "neg_random": _with(*ALL, _probes(2, 10)) + _FIRST.format(bad="neg = i", src="pb"),
+    "neg_distinct": _distinct(2, 64),
     "neg_popular": _with(
         *ALL, "pr as (select i, count(*)::double as w from r group by i)",
         "cdf as (select i as neg, (sum(w) over (order by i) - w) / (select sum(w) from pr) as lo, sum(w) over (order by i) / (select sum(w) from pr) as hi from pr)",

@@ -571,6 +571,12 @@ def neg_random(spark, sf_dir):
     return sampling.negatives_from_random(rows, n, 2)
 
 
+@query
+def neg_distinct(spark, sf_dir):
+    rows, _, n = _rows(spark, sf_dir)
+    return sampling.negatives_distinct(rows, n, 2, batch_size=64)
+
+
 @query
 def neg_popular(spark, sf_dir):
     rows, r, _ = _rows(spark, sf_dir)
