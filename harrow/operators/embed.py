@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.expressions import dot, sigmoid, unit
-from harrow.operators.serve import top_n
+from harrow.operators.serve import DIGITS, top_n
 
 
 def predict(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
@@ -26,31 +26,42 @@ def top_items(
 
     Both sides are packed into blocks; a task multiplies one pair of blocks and keeps n
     per user and block, so what is shuffled grows with users * item blocks * n, not with
-    users * items, and neither side has to fit anywhere as a whole.
+    users * items, and neither side has to fit anywhere as a whole. A column more of
+    users says how many items a user gets beyond n.
     """
-    def packed(df: DataFrame, block: int, name: str) -> DataFrame:
+    more = "more" if "more" in users.columns else None
+
+    def packed(df: DataFrame, block: int, name: str, columns: tuple[str, ...]) -> DataFrame:
         size = df.count()
-        return df.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // block))))).groupBy("b").agg(F.collect_list(F.struct("id", "vec")).alias(name)).drop("b")
+        return df.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // block))))).groupBy("b").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("b")
 
-    pairs = packed(users, user_block, "us").crossJoin(packed(items, item_block, "vs"))
+    pairs = packed(users, user_block, "us", ("id", "vec", *((more,) if more else ()))).crossJoin(packed(items, item_block, "vs", ("id", "vec")))
 
-    def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
         # Straight from the Arrow buffers: no Python object per number.
-        ids, vecs = rows.flatten()
-        return ids.to_numpy(), vecs.flatten().to_numpy().reshape(len(ids), -1)
+        ids, vecs, *rest = rows.flatten()
+        return ids.to_numpy(), vecs.flatten().to_numpy().reshape(len(ids), -1), *(np.asarray(x) for x in rest)
 
     def run(batches):
         for b in batches:
             for us, vs in zip(b.column("us"), b.column("vs"), strict=True):
-                (uid, x), (iid, y) = (unpacked(side.values) for side in (us, vs))
+                (uid, x, *wanted), (iid, y) = (unpacked(side.values) for side in (us, vs))
                 order = np.argsort(iid)
                 s = forward(x, y[order])
-                k = min(n, s.shape[1])
-                best = np.argsort(-np.round(s, 6), axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(uid, k)), pa.array(iid[order][best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["u", "i", "score"])
-
-    return top_n(pairs.mapInArrow(run, "u long, i long, score double"), n)
+                each = np.minimum(n + (wanted[0].astype(np.int64) if wanted else np.zeros(len(uid), np.int64)), s.shape[1])
+                # Users who get the same number go together: one long list makes nobody else's longer.
+                for k in np.unique(each):
+                    mine = np.flatnonzero(each == k)
+                    best = np.argsort(-np.round(s[mine], 6), axis=1, kind="stable")[:, :k]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(uid[mine], k)), pa.array(iid[order][best].ravel()), pa.array(np.take_along_axis(s[mine], best, 1).ravel()), pa.array(np.full(best.size, n + (wanted[0][mine[0]] if wanted else 0), np.int64))],
+                        names=["u", "i", "score", "n"])
+
+    found = pairs.mapInArrow(run, "u long, i long, score double, n long")
+    if not more:
+        return top_n(found.drop("n"), n)
+    by = Window.partitionBy("u").orderBy(F.round("score", DIGITS).desc(), "i")
+    return found.withColumn("rk", F.row_number().over(by)).where("rk <= n").drop("n")
 
 
 def mean_vector(vectors: DataFrame) -> DataFrame:

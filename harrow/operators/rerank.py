@@ -64,9 +64,14 @@ def candidates(users: DataFrame, items: DataFrame, n: int, n_candidates: int | N
     n_candidates = n_candidates or min(20 * n, n_items)
     if not n < n_candidates <= n_items:
         raise ValueError(f"candidates must be more than {n} and at most {n_items}")
-    longest = 0 if lists is None else min(lists.agg(F.max(F.size("items"))).first()[0] or 0, n_items - n_candidates)
-    best = embed.top_items(users, items, n_candidates + longest).select("u", "i", "score")
-    best = serve.top_n(best, n_candidates) if lists is None else serve.top_items(best, lists, n_items, n_candidates)
+    if lists is None:
+        best = embed.top_items(users, items, n_candidates).select("u", "i", "score")
+    else:
+        # A user's own list says how much more the user needs; where it is not taken out, nothing.
+        size = F.when(F.col("size") + n_candidates <= n_items, F.col("size")).otherwise(0)
+        sizes = lists.select(F.col("u").alias("id"), F.size("items").alias("size"))
+        wanted = users.select("id", "vec").join(sizes, "id", "left").select("id", "vec", F.coalesce(size, F.lit(0)).alias("more"))
+        best = serve.top_items(embed.top_items(wanted, items, n_candidates).select("u", "i", "score"), lists, n_items, n_candidates)
     return best.join(items.select(F.col("id").alias("i"), unit("vec").alias("vec")), "i").select("u", "i", "score", "vec")
 
 
