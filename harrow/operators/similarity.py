@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions.expressions import cosine
 from harrow.operators import blocks
+from harrow.sources.scratch import stored
 
 #: Pivots with more entries than this are joined in salted slices.
 HEAVY_PIVOT = 5_000
@@ -76,24 +77,49 @@ def cosine_similarity(r: DataFrame, x: str, min_common: int = 1, k: int | None =
 SHARED_ITEMS = 1000
 
 
+def common_items(cells: DataFrame, heavy: int = HEAVY_PIVOT) -> DataFrame:
+    """(u, v, items) of all u < v with two items or more in common: which these are, ascending.
+
+    The self join on the item gives every common item of two users once: no user's list
+    is looked at again for each of the user's pairs. Up to three items follow from their
+    number, least, greatest and sum; only for users with more of them are the items
+    gathered. Items of more than heavy users are dealt out in slices.
+    """
+    sizes = cells.groupBy("i").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn("__s", F.ceil(F.col("__n") / heavy).cast("int")).drop("__n")
+    rows = cells.select("u", "i").join(sizes, "i")
+    left = rows.select("i", "u", F.pmod(F.xxhash64("u"), F.col("__s")).cast("int").alias("__k"))
+    right = rows.select("i", F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), F.col("__s") - 1)).alias("__k"))
+    met = left.join(right, ["i", "__k"]).where("u < v")
+    found = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.sum("i").alias("total")).where("n > 1")
+    found = stored(found, "common")
+    middle = (F.col("total") - F.col("lo") - F.col("hi")).cast(cells.schema["i"].dataType)
+    few = found.where("n <= 3").select("u", "v", F.when(F.col("n") == 2, F.array("lo", "hi")).otherwise(F.array("lo", middle, "hi")).alias("items"))
+    many = met.select("u", "v", "i").join(found.where("n > 3").select("u", "v"), ["u", "v"])
+    return few.unionByName(many.groupBy("u", "v").agg(F.sort_array(F.collect_list("i")).alias("items")))
+
+
+def _item_pairs(scored: DataFrame) -> DataFrame:
+    """(x1, x2, s), x1 < x2, of all pairs of the items of scored(s, items); long lists in parts, two parts a row."""
+    short = scored.where(F.size("items") <= SHARED_ITEMS).select("s", F.col("items").alias("a"), F.col("items").alias("b"))
+    part = lambda c: F.slice("items", F.col(c) * SHARED_ITEMS + 1, F.lit(SHARED_ITEMS))
+    last = F.ceil(F.size("items") / SHARED_ITEMS).cast("int") - 1
+    long_ = scored.where(F.size("items") > SHARED_ITEMS).select("s", "items", F.explode(F.sequence(F.lit(0), last)).alias("__a")).repartition("__a", F.hash("items"))
+    long_ = long_.select("s", "items", "__a", F.explode(F.sequence(F.col("__a"), last)).alias("__b")).select("s", part("__a").alias("a"), part("__b").alias("b"))
+    first = short.unionByName(long_).select("s", "b", F.explode("a").alias("x1"))
+    return first.select("s", "x1", F.explode(F.filter("b", lambda x: x > F.col("x1"))).alias("x2"))
+
+
 def swing_pairs(r: DataFrame, alpha: float = 0.1, previous: DataFrame | None = None) -> DataFrame:
     """(x1, x2, sim), x1 < x2: every pair of users with both items adds w_u w_v / (alpha + common - 1).
 
     w is 1 / sqrt(items of the user); labels do not matter. User pairs with one item in
     common add nothing to any pair. previous similarities are added to.
     """
-    cells = r.select("u", "i", F.lit(1.0).alias("r"))
+    cells = r.select("u", "i")
     weights = cells.groupBy("u").agg((1 / F.sqrt(F.count(F.lit(1)))).alias("w"))
-    common = pair_stats(cells, "u", "i").where("cnt > 1").select(F.col("x1").alias("u"), F.col("x2").alias("v"), "cnt")
     w2 = weights.select(F.col("u").alias("v"), F.col("w").alias("w_v"))
-    scored = common.join(weights, "u").join(w2, "v").select("u", "v", (F.col("w") * F.col("w_v") / (alpha + F.col("cnt") - 1)).alias("s"), F.ceil(F.col("cnt") / SHARED_ITEMS).alias("parts"))
-    # The items that a user pair has in common, then pairs of those; where they are many, the first of a pair says in which part.
-    mine, theirs = cells.select("u", "i"), cells.select(F.col("u").alias("v"), "i")
-    shared = scored.join(mine, "u").join(theirs, ["v", "i"]).select("u", "v", "s", "i", "parts")
-    first = shared.select("u", "v", "s", F.col("i").alias("x1"), F.pmod(F.xxhash64("i"), F.col("parts")).alias("part"))
-    second = shared.select("u", "v", F.col("i").alias("x2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    pairs = first.join(second, ["u", "v", "part"]).where("x1 < x2")
-    sims = pairs.groupBy("x1", "x2").agg(F.sum("s").alias("sim"))
+    scored = common_items(cells).join(weights, "u").join(w2, "v").select("items", (F.col("w") * F.col("w_v") / (alpha + F.size("items") - 1)).alias("s"))
+    sims = _item_pairs(scored).groupBy("x1", "x2").agg(F.sum("s").alias("sim"))
     return update_swing(sims) if previous is None else update_swing(previous, sims)
 
 
