@@ -42,7 +42,7 @@ _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|
 #: Pre-tokens a worker remembers, twice over (a full generation becomes the old one).
 REMEMBERED = 200_000
 #: Rows (bytes) that one recursive query starts from; pre-tokens longer than the second go by _ENCODE_LONG.
-QUERY_BYTES, LONG_BYTES = 300_000, 400
+QUERY_BYTES, LONG_BYTES = 100_000, 400
 #: Longer pre-tokens go by windows of so many bytes, which share so many at first; tokens decoded at once.
 WINDOW, OVERLAP, DECODED = 65_536, 2048, 200_000
 
@@ -135,7 +135,7 @@ class Bpe:
             (ranks[t[:k]] * 1048576 + ranks[t[k:]], r)
             for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
         ]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._keep("merges", {"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
         self._keep("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
         self.known: dict[str, tuple[bytes, bytes]] = {}

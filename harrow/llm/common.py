@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -96,10 +99,25 @@ def held(key, make):
     """
     if key not in _HELD:
         _HELD.clear()
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Hand memory that nothing holds any more back to the system: workers live on between tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not this C library
+    _TRIM = None
+
+
 # ---------------------------------------------------------------- words in numpy
 
 _RNG = np.random.default_rng(20240607)
@@ -200,7 +218,7 @@ def slices(batches, limit: int = SLICE_BYTES, text: str = "text"):
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
-        pa.default_memory_pool().release_unused()  # workers live on between tasks
+        give_back()
 
 
 def rows_of_lists(flat: np.ndarray, first: np.ndarray) -> pa.Array:
