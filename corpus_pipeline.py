@@ -15,7 +15,7 @@ from harrow.llm.common import documents, materialize
 
 
 #: Pre-tokens that a worker remembers here: it shares its executor with what the stages before have left.
-REMEMBERED = 50_000
+REMEMBERED = 30_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
