@@ -372,3 +372,6 @@ ORACLE: dict[str, str] = {
   round(avg({_SOFTPLUS.format(x='(o - x)')}), 6) as bpr, round(avg(greatest(0, 1 - (x - o))), 6) as max_margin,
   round(avg(ln(exp(x) + exp(o) + exp(0.5)) - case when y = 1 then o else x end), 6) as softmax from s""",
 }
+ORACLE["metric_accumulated"] = " union all ".join(
+    f"select '{m}' as metric, {m} as value from ({ORACLE[q]}) t"
+    for m, q in (("balanced_accuracy", "metric_balanced_accuracy"), ("log_loss", "metric_log_loss"), ("pr_auc", "metric_pr_auc"), ("roc_auc", "metric_roc_auc"), ("roc_gauc", "metric_gauc")))

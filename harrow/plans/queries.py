@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.expressions import unit
-from harrow.operators import embed, features, history, metrics, neural, rerank, sampling, serve, similarity, split, training, vocab
+from harrow.operators import embed, features, history, metric_state, metrics, neural, rerank, sampling, serve, similarity, split, training, vocab
 from harrow.sources import views
-from harrow.sources.scratch import stored
+from harrow.sources.scratch import scratch_path, stored
 
 CUT = "1997-01-01"
 #: What lies before this date holds some of the users and items, not all.
@@ -431,6 +431,17 @@ def metric_pr_auc(spark, sf_dir):
     return _rounded(metrics.pr_auc(_test_preds(spark, sf_dir)[1]))
 
 
+@query
+def metric_accumulated(spark, sf_dir):
+    """The pointwise metrics out of a state that five batches were added to."""
+    preds = stored(_test_preds(spark, sf_dir)[1], "preds")
+    state = metric_state.Evaluation(spark, scratch_path(spark, "metrics"), 16)
+    for n in range(5):
+        state.add(preds.where(F.pmod(F.hash("u", "i"), F.lit(5)) == n))
+    wanted = ["balanced_accuracy", "log_loss", "pr_auc", "roc_auc", "roc_gauc"]
+    return state.metrics(wanted).select("metric", F.round("value", 6).alias("value"))
+
+
 @query
 def metric_listwise(spark, sf_dir):
     w = World(spark, sf_dir, 5)
