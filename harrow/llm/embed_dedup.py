@@ -6,12 +6,13 @@ and those of enough cosine are joined. The union over the passes gives component
 Vectors are centred on their label's mean before they are projected: in a label whose
 vectors all point one way the signs would say nothing otherwise.
 
-The number of passes follows from the data. The first ones measure, for every vector,
-how many leading bits it takes until no more than a window of others shares them, and
-how likely a pair at the threshold agrees in a bit, given the vector's distance from the
-mean; passes go on until the expected share of missed pairs falls below MISS, or to
-MAX_PASSES. A vector whose window is full of links needs no more: its group holds
-together by them.
+The number of passes of a label follows from the data. The first ones measure, for every
+vector, how many leading bits it takes until no more than a window of others shares
+them, and how likely a pair at the threshold agrees in a bit, given the vector's distance
+from the mean; passes go on until the expected share of the label's missed pairs falls
+below MISS. A vector whose window is full of links needs no more: its group holds
+together by them. Labels so crowded that MAX_PASSES would not do are compared block by
+block instead, all of their vectors: no link is lost there.
 
 The links of each vector are counted inside the components, exactly: blocks of vectors
 that are near each other in a sorted order have a centre and a radius, by which most
@@ -33,11 +34,13 @@ from harrow.llm.common import connected_components, materialize, small
 
 WINDOW = 96
 MISS = 1e-4
-#: Passes that measure, and the most that are made: where the bound is met, more than MISS of the pairs may be missed.
+#: Passes that measure, and the most that are made: labels that need more are compared in blocks.
 FIRST_PASSES, MAX_PASSES = 4, 64
 KEY_BITS = 48
 #: Vectors in a block of the exact comparison, blocks in a group whose centres are compared at once.
 BLOCK, GROUP = 256, 512
+#: Blocks of crowded labels are this many times as large: every two of them meet. They are compared in tiles of so many rows.
+CROWDED, TILE = 32, 512
 #: Room for rounding in angles.
 SLACK = 1e-6
 _SCALE = 1 << 30
@@ -115,7 +118,7 @@ def _agreement(centred: np.ndarray, cosine: float) -> np.ndarray:
 
 
 def _passes(vectors: DataFrame, passes: range, cosine: float) -> DataFrame:
-    """A row (ROW) per vector and pass, from vectors(label, rep, vector, mean)."""
+    """A row (ROW) per vector and pass below the vector's need, from vectors(label, rep, vector, mean, need)."""
 
     def run(batches):
         for b in batches:
@@ -126,10 +129,15 @@ def _passes(vectors: DataFrame, passes: range, cosine: float) -> DataFrame:
                 part = b.take(pa.array(at))
                 centred = np.frombuffer(b"".join(raw[i] for i in at)).reshape(len(at), size) - np.asarray(part.column("mean").flatten()).reshape(len(at), size)
                 agree = pa.array(_agreement(centred, cosine))
-                same = lambda v: pa.array(np.full(len(at), v, np.int32))
+                need = np.asarray(part.column("need"))
                 for k in passes:
+                    of = np.flatnonzero(need > k)
+                    if not len(of):
+                        break
+                    rows, take = part.take(pa.array(of)), pa.array(of)
+                    same = lambda v: pa.array(np.full(len(of), v, np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [same(k), part.column("label"), same(size), pa.array(_keys(centred, k)), part.column("rep"), agree, part.column("vector")],
+                        [same(k), rows.column("label"), same(size), pa.array(_keys(centred[of], k)), rows.column("rep"), agree.take(take), rows.column("vector")],
                         names=["k", "label", "size", "key", "rep", "agree", "vector"])
 
     return vectors.mapInArrow(run, ROW)
@@ -150,6 +158,18 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
+def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the edges (i, j) of n nodes are enough to connect what all of them connect."""
+    chosen, low = np.zeros(0, np.int64), np.arange(n)
+    while True:
+        live = np.flatnonzero(low[i] != low[j])
+        if not len(live):
+            return chosen
+        _, first = np.unique(low[i][live], return_index=True)
+        chosen = np.concatenate([chosen, live[first]])
+        low = _forest(n, i[chosen], j[chosen])
+
+
 def _runs(frame: pd.DataFrame):
     """(first, end) of each stretch of one (k, label, size) in an ordered frame."""
     changed = (frame[["k", "label", "size"]].diff().fillna(0) != 0).any(axis=1).to_numpy()
@@ -157,12 +177,12 @@ def _runs(frame: pd.DataFrame):
     return zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)
 
 
-def _joined(frame: pd.DataFrame, window: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(frame: pd.DataFrame, window: int, cosine: float) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """Joins between rows at most window apart in an ordered frame, as (rep, rep of the root): at most one for each row.
 
-    Also a histogram of how likely a pass finds a pair at the threshold, over the rows that have a row a window later.
+    Also by label a histogram of how likely a pass finds a pair at the threshold, over the rows that have a row a window later.
     """
-    rep, out, bins = frame["rep"].to_numpy(), [], np.zeros(_BINS + 1, np.int64)
+    rep, out, bins = frame["rep"].to_numpy(), [], {}
     for at, end in _runs(frame):
         if end - at < 2:
             continue
@@ -180,7 +200,8 @@ def _joined(frame: pd.DataFrame, window: int, cosine: float) -> tuple[np.ndarray
             key, agree = frame["key"].to_numpy()[at:end], frame["agree"].to_numpy()[at : end - window]
             bits = KEY_BITS + 1 - np.ceil(np.log2((key[:-window] ^ key[window:]) + 1.0))  # the first bit that tells them apart
             found = np.where(linked[: len(agree)] == window, 1.0, agree**bits)
-            bins += np.bincount((found * _BINS).astype(int), minlength=_BINS + 1)
+            label = int(frame["label"].iloc[at])
+            bins[label] = bins.get(label, 0) + np.bincount((found * _BINS).astype(int), minlength=_BINS + 1)
     a, b = (np.concatenate(h) for h in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
     return a, b, bins
 
@@ -196,14 +217,14 @@ def _found(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], types[t]) if c in columns else pa.nulls(n, types[t]) for c, t in fields], names=[c for c, _ in fields])
 
 
-def _window_joins(spark: SparkSession, vectors: DataFrame, passes: range, window: int, cosine: float) -> tuple[DataFrame, np.ndarray]:
-    """(a, b) pairs of one component, from neighbours in these passes, and the histogram of _joined."""
+def _window_joins(spark: SparkSession, vectors: DataFrame, passes: range, window: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) pairs of one component, from neighbours in these passes, and the histograms of _joined as (label, bin, n)."""
     order = ["k", "label", "size", "key", "rep"]
     ordered = _passes(vectors, passes, cosine).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
         # Joins within the partition, chunk by chunk with an overlap. Its first and last rows go out for the seams, with their places.
-        part, n, tail, bins = TaskContext.get().partitionId(), 0, None, np.zeros(_BINS + 1, np.int64)
+        part, n, tail, bins = TaskContext.get().partitionId(), 0, None, {}
         for b in batches:
             frame = b.to_pandas()
             head = frame.iloc[: max(0, window - n)]
@@ -212,21 +233,27 @@ def _window_joins(spark: SparkSession, vectors: DataFrame, passes: range, window
             n += len(frame)
             frame = frame if tail is None else pd.concat([tail, frame], ignore_index=True)
             x, y, more = _joined(frame, window, cosine)
-            tail, bins = frame.iloc[-window:].reset_index(drop=True), bins + more
+            tail = frame.iloc[-window:].reset_index(drop=True)
             yield _found(a=np.minimum(x, y), b=np.maximum(x, y))
+            for label, counts in more.items():
+                bins[label] = bins.get(label, 0) + counts
+            while len(bins) > 1:  # labels come in order, pass by pass
+                yield tallied(next(iter(bins)), bins.pop(next(iter(bins))))
         if tail is not None:
             place = n - len(tail) + np.arange(len(tail))
             rest = tail[place >= window]  # the others have gone out as heads
             yield _found(part=np.full(len(rest), part), at=place[place >= window], **{c: rest[c] for c in rest})
             yield _found(part=np.array([part]), a=np.array([n]))
-            filled = np.flatnonzero(bins)
-            yield _found(bin=filled, a=bins[filled])
+        for label, counts in bins.items():
+            yield tallied(label, counts)
+
+    def tallied(label: int, counts: np.ndarray) -> pa.RecordBatch:
+        filled = np.flatnonzero(counts)
+        return _found(label=np.full(len(filled), label), bin=filled, a=counts[filled])
 
     found = materialize(spark, ordered.mapInArrow(run, _FOUND), "ed-windows")
     sizes = {r["part"]: r["a"] for r in found.where("part is not null and at is null").select("part", "a").collect()}
-    bins = np.zeros(_BINS + 1, np.int64)
-    for r in found.where("bin is not null").groupBy("bin").agg(F.sum("a").alias("n")).collect():
-        bins[r["bin"]] = r["n"]
+    bins = found.where("bin is not null").groupBy("label", "bin").agg(F.sum("a").alias("n"))
     parts = np.array(sorted(sizes), np.int64)
     begins = np.concatenate([[0], np.cumsum([sizes[p] for p in parts])])
     starts = spark.sparkContext.broadcast((parts, begins[:-1], begins[1:-1]))  # a few numbers for each partition
@@ -250,15 +277,13 @@ def _window_joins(spark: SparkSession, vectors: DataFrame, passes: range, window
     return found.where("b is not null").select("a", "b").union(seam), bins
 
 
-def passes_needed(bins: np.ndarray, miss: float = MISS) -> int:
-    """Passes until the expected share of missed pairs, over the measured rows, is below miss; MAX_PASSES at most."""
-    q = np.minimum(1.0, (np.arange(len(bins)) + 0.5) / _BINS)
-    if not bins.sum():
-        return FIRST_PASSES
-    for k in range(FIRST_PASSES, MAX_PASSES):
-        if (bins * (1 - q) ** k).sum() <= miss * bins.sum():
-            return k
-    return MAX_PASSES
+def passes_needed(bins: DataFrame, miss: float = MISS) -> DataFrame:
+    """(label, need): passes until the expected share of a label's missed pairs, over its measured rows, is at most miss; MAX_PASSES + 1 if none of those do."""
+    q = F.least(F.lit(1.0), (F.col("bin") + 0.5) / _BINS)
+    tried = range(FIRST_PASSES, MAX_PASSES + 1)
+    shares = bins.groupBy("label").agg(F.array(*(F.sum(F.col("n") * F.pow(1 - q, F.lit(k))) / F.sum("n") for k in tried)).alias("shares"))
+    # Shares fall from pass to pass: as many as are above miss have to be added.
+    return shares.select("label", (F.size(F.filter("shares", lambda x: x > miss)) + FIRST_PASSES).alias("need"))
 
 
 def _angle(cosines: np.ndarray) -> np.ndarray:
@@ -298,11 +323,12 @@ def _blocks(spark: SparkSession, members: DataFrame, block: int, cosine: float)
         copies = rows["copies"].to_numpy(np.int64)
         centre = x.sum(axis=0)
         centre = centre / (math.sqrt(centre @ centre) or 1.0)
-        near = x @ x.T >= cosine
-        np.fill_diagonal(near, False)
+        near = x @ x.T >= cosine if len(x) <= TILE else None  # larger blocks are not counted inside
+        if near is not None:
+            np.fill_diagonal(near, False)
         columns = [
             [int(rows["component"].iloc[0])], [number], [rows["rep"].to_numpy(np.int64).tobytes()], [copies.tobytes()], [x.tobytes()],
-            [centre.tobytes()], [float(_angle(x @ centre).max()) + SLACK], [int(copies.sum())], [(near @ copies).tobytes()]]
+            [centre.tobytes()], [float(_angle(x @ centre).max()) + SLACK], [int(copies.sum())], [(near @ copies).tobytes() if near is not None else None]]
         types = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.float64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["component", "block", "reps", "copies", "vectors", "centre", "radius", "total", "near"])
 
@@ -310,9 +336,63 @@ def _blocks(spark: SparkSession, members: DataFrame, block: int, cosine: float)
     return materialize(spark, ordered.mapInArrow(run, "component long, block long, reps binary, copies binary, vectors binary, centre binary, radius double, total long, near binary"), "ed-blocks")
 
 
+def _block_joins(spark: SparkSession, members: DataFrame, cosine: float, block: int) -> DataFrame:
+    """(a, b) pairs of one component: whole members(component, ...), every block against every other that its centre and radius leave in reach."""
+    blocks = _blocks(spark, members, block, cosine)
+    met, data = _met_blocks(spark, blocks, cosine, joins=True)
+    own = blocks.select(F.col("block"), F.col("block").alias("other"))
+    close = met.where("other is not null").select("block", "other").union(own).join(data, "block").join(data.select(F.col("block").alias("other"), F.col("left").alias("right")), "other")
+
+    def compare(batches):
+        for b in batches:
+            for left, right in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
+                reps = [np.frombuffer(side["reps"], np.int64) for side in (left, right)]
+                x, y = (np.frombuffer(side["vectors"]).reshape(len(r), -1) for side, r in zip((left, right), reps, strict=True))
+                both, n = np.concatenate(reps), len(reps[0])
+                kept = [(np.zeros(0, np.int64),) * 2]
+                for lo in range(0, n, TILE):
+                    i, j = np.nonzero(x[lo : lo + TILE] @ y.T >= cosine)
+                    enough = _spanning(len(both), i + lo, n + j)
+                    kept.append((i[enough] + lo, n + j[enough]))
+                low = _forest(len(both), *(np.concatenate(k) for k in zip(*kept, strict=True)))
+                moved = np.flatnonzero(low != np.arange(len(both)))
+                a, c = both[moved], both[low[moved]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
+
+    return close.select("left", "right").mapInArrow(compare, "a long, b long").where("a <> b")
+
+
 def _counted_links(spark: SparkSession, members: DataFrame, cosine: float, block: int) -> DataFrame:
     """(rep, near): how many rows have another vector of the same component within the cosine."""
     blocks = _blocks(spark, members, block, cosine)
+    met, data = _met_blocks(spark, blocks, cosine)
+    close = met.where("other is not null and n is null").join(data, "block").join(data.select(F.col("block").alias("other"), F.col("left").alias("right")), "other").select("left", "right")
+
+    def compare(batches):
+        for b in batches:
+            for left, right in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
+                reps, copies = ([np.frombuffer(side[c], np.int64) for side in (left, right)] for c in _HELD_SIDE[:2])
+                x, y = (np.frombuffer(side["vectors"]).reshape(len(r), -1) for side, r in zip((left, right), reps, strict=True))
+                near = x @ y.T >= cosine
+                for r, n in ((reps[0], near @ copies[1]), (reps[1], near.T @ copies[0])):
+                    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(n, pa.int64())], names=["rep", "near"])
+
+    def inside(batches):
+        for b in batches:
+            for reps, near, n in zip(b.column("reps").to_pylist(), b.column("near").to_pylist(), b.column("n").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(reps, np.int64)), pa.array(np.frombuffer(near, np.int64) + n)], names=["rep", "near"])
+
+    adds = met.where("n is not null").groupBy("block").agg(F.sum("n").alias("n"))
+    own = blocks.select("block", "reps", "near").join(adds, "block", "left").select("reps", "near", F.coalesce("n", F.lit(0)).cast("long").alias("n")).mapInArrow(inside, "rep long, near long")
+    return close.mapInArrow(compare, "rep long, near long").union(own).groupBy("rep").agg(F.sum("near").alias("near"))
+
+
+_HELD_SIDE = ("reps", "copies", "vectors")
+
+
+def _met_blocks(spark: SparkSession, blocks: DataFrame, cosine: float, joins: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Which blocks of a component have to be compared, (block, other), and how many links each row of a block surely has, (block, n);
+    with joins also enough pairs of blocks all of whose rows are linked, (block, other, 0). Then the blocks' contents, (block, left)."""
     several = blocks.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"), F.count(F.lit(1)).alias("n")).where("n > 1")
     group = F.pmod(F.xxhash64("block"), F.col("groups")).alias("at")
     summary = blocks.join(several, "component").select("component", "groups", group, F.struct("block", "centre", "radius", "total").alias("of"))
@@ -336,31 +416,15 @@ def _counted_links(spark: SparkSession, members: DataFrame, cosine: float, block
                 adds = [(number[0], every @ total[1])] + ([(number[1], every.T @ total[0])] if i != j else [])
                 for of, n in adds:
                     yield pa.RecordBatch.from_arrays([pa.array(of[n > 0], pa.int64()), pa.nulls(int((n > 0).sum()), pa.int64()), pa.array(n[n > 0], pa.int64())], names=["block", "other", "n"])
+                if joins:
+                    x, y = np.nonzero(every)
+                    kept = _spanning(len(number[0]) + (len(number[1]) if i != j else 0), x, y + (len(number[0]) if i != j else 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(number[0][x[kept]], pa.int64()), pa.array(number[1][y[kept]], pa.int64()), pa.array(np.zeros(len(kept), np.int64))], names=["block", "other", "n"])
                 x, y = np.nonzero(some)
                 yield pa.RecordBatch.from_arrays([pa.array(number[0][x], pa.int64()), pa.array(number[1][y], pa.int64()), pa.nulls(len(x), pa.int64())], names=["block", "other", "n"])
 
     met = materialize(spark, pairs.mapInArrow(classify, "block long, other long, n long"), "ed-pairs")
-    held = ("reps", "copies", "vectors")
-    data = blocks.select("block", F.struct(*held).alias("left"))
-    close = met.where("other is not null").join(data, "block").join(data.select(F.col("block").alias("other"), F.col("left").alias("right")), "other").select("left", "right")
-
-    def compare(batches):
-        for b in batches:
-            for left, right in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
-                reps, copies = ([np.frombuffer(side[c], np.int64) for side in (left, right)] for c in held[:2])
-                x, y = (np.frombuffer(side["vectors"]).reshape(len(r), -1) for side, r in zip((left, right), reps, strict=True))
-                near = x @ y.T >= cosine
-                for r, n in ((reps[0], near @ copies[1]), (reps[1], near.T @ copies[0])):
-                    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(n, pa.int64())], names=["rep", "near"])
-
-    def inside(batches):
-        for b in batches:
-            for reps, near, n in zip(b.column("reps").to_pylist(), b.column("near").to_pylist(), b.column("n").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(reps, np.int64)), pa.array(np.frombuffer(near, np.int64) + n)], names=["rep", "near"])
-
-    adds = met.where("n is not null").groupBy("block").agg(F.sum("n").alias("n"))
-    own = blocks.select("block", "reps", "near").join(adds, "block", "left").select("reps", "near", F.coalesce("n", F.lit(0)).cast("long").alias("n")).mapInArrow(inside, "rep long, near long")
-    return close.mapInArrow(compare, "rep long, near long").union(own).groupBy("rep").agg(F.sum("near").alias("near"))
+    return met, blocks.select("block", F.struct(*_HELD_SIDE).alias("left"))
 
 
 def near_duplicate_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.93, window: int = WINDOW, miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -380,9 +444,19 @@ def near_duplicate_vectors(spark: SparkSession, rows: DataFrame, cosine: float =
     vectors = materialize(spark, vectors, "ed-vectors")
     means = materialize(spark, _means(vectors), "ed-means")
     centred = vectors.withColumn("size", (F.octet_length("vector") / 8).cast("int")).join(small(means, 1 << 12), ["label", "size"])
-    joins, bins = _window_joins(spark, centred, range(FIRST_PASSES), window, cosine)
-    if (n := passes_needed(bins, miss)) > FIRST_PASSES:
-        joins = joins.union(_window_joins(spark, centred, range(FIRST_PASSES, n), window, cosine)[0])
+    joins, bins = _window_joins(spark, centred.withColumn("need", F.lit(FIRST_PASSES)), range(FIRST_PASSES), window, cosine)
+    need = materialize(spark, passes_needed(bins, miss).where(F.col("need") > FIRST_PASSES), "ed-needs")
+    most = need.where(F.col("need") <= MAX_PASSES).agg(F.max("need")).first()[0]
+    if most:
+        more = centred.join(small(need.where(F.col("need") <= MAX_PASSES), 32), "label")
+        joins = joins.union(_window_joins(spark, more, range(FIRST_PASSES, most), window, cosine)[0])
+    crowded = need.where(F.col("need") > MAX_PASSES)
+    if not crowded.isEmpty():
+        # A label's vectors of one length stand for a component: its number is their smallest rep.
+        whole = centred.join(small(crowded.select("label"), 16), "label")
+        number = whole.groupBy("label", "size").agg(F.min("rep").alias("component"))
+        whole = whole.join(small(number, 32), ["label", "size"]).select("component", "label", "rep", "copies", "vector", "mean")
+        joins = joins.union(_block_joins(spark, whole, cosine, CROWDED * block))
     component = connected_components(spark, materialize(spark, joins.distinct(), "ed-joins"))
     members = centred.join(component, centred.rep == component.node).select("component", "label", "rep", "copies", "vector", "mean")
     near = _counted_links(spark, members, cosine, block)

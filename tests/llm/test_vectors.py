@@ -66,3 +66,34 @@ def test_groups_over_many_blocks_and_partitions(spark, partitions):
         spark.conf.unset(coalesce)
     assert (got["n_links"].to_numpy() == near.sum(1)).all()
     assert (got["component_id"].to_numpy() == smallest(near)).all()
+
+
+def test_spanning_edges():
+    rng = np.random.default_rng(7)
+    for n, m in ((2, 1), (10, 12), (60, 90), (60, 1500)):
+        i, j = rng.integers(0, n, m), rng.integers(0, n, m)
+        kept = embed_dedup._spanning(n, i, j)
+        assert len(kept) < 2 * n
+        assert (embed_dedup._forest(n, i[kept], j[kept]) == embed_dedup._forest(n, i, j)).all()
+
+
+@pytest.mark.parametrize("most", [embed_dedup.FIRST_PASSES, 64])
+def test_crowded_labels_lose_no_link(spark, monkeypatch, most):
+    """A label beyond all passes is compared block by block: tight groups, loose ones, chains and a narrow cone beside an even label."""
+    monkeypatch.setattr(embed_dedup, "MAX_PASSES", most)
+    monkeypatch.setattr(embed_dedup, "CROWDED", 4)
+    monkeypatch.setattr(embed_dedup, "TILE", 50)
+    rng = np.random.default_rng(3)
+    tight = unit(unit(rng.normal(size=(1, 32))) + 0.01 * rng.normal(size=(300, 32)))
+    loose = unit(unit(rng.normal(size=(1, 32))) + 0.05 * rng.normal(size=(300, 32)))
+    cone = unit(np.sqrt(0.87) * unit(rng.normal(size=(1, 32))) + np.sqrt(0.13) * unit(rng.normal(size=(900, 32))))
+    x = np.vstack([tight, loose, cone])
+    x = x[rng.permutation(len(x))]
+    even = unit(rng.normal(size=(400, 32)))
+    labels = np.concatenate([np.ones(len(x), int), np.full(400, 2)])
+    both = np.vstack([x, even])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(both)), "embedding": both.tolist(), "label": labels})).repartition(6)
+    near = links(both) & (labels[:, None] == labels[None, :])
+    got = embed_dedup.near_duplicate_vectors(spark, df, window=8, block=32).toPandas().set_index("vec_id").sort_index()
+    assert (got["n_links"].to_numpy() == near.sum(1)).all()
+    assert (got["component_id"].to_numpy() == smallest(near)).all()
