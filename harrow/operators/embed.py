@@ -91,17 +91,27 @@ def pair_scores(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFra
     return out.select(*pairs.columns, dot("__u", "__pos").alias("pos_score"), dot("__u", "__neg").alias("neg_score"))
 
 
-def list_scores(rows: DataFrame, users: DataFrame, items: DataFrame, shares: DataFrame, temperature: float = 1.0) -> DataFrame:
+#: What takes the place of a masked logit: the least 32-bit float.
+MASKED = -3.4028234663852886e38
+
+
+def list_scores(rows: DataFrame, users: DataFrame, items: DataFrame, shares: DataFrame, temperature: float = 1.0, mask_equal: bool = False) -> DataFrame:
     """(u, i, logits, target) for rows(u, i, batch): a user's scores with all items of the batch, corrected by shares(i, share).
 
-    A batch is a bounded list, in order of (u, i); target is the own item's place in it, from 0.
+    A batch is a bounded list, in order of (u, i); target is the own item's place in it,
+    from 0. mask_equal puts MASKED where another row of the batch has the same item: it
+    would be a negative and is a positive.
     """
     each = rows.join(items.select(F.col("id").alias("i"), F.col("vec").alias("v")), "i").join(shares, "i")
     batch = each.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("u", "i", "v", "share"))).alias("all"))
     own = rows.join(users.select(F.col("id").alias("u"), F.col("vec").alias("a")), "u").join(batch, "batch")
     logits = F.transform("all", lambda x: dot("a", x["v"]))
     target = F.array_position(F.transform("all", lambda x: F.struct(x["u"], x["i"])), F.struct("u", "i")) - 1
-    return own.select("u", "i", adjusted_logits(logits, F.transform("all", lambda x: x["share"]), temperature).alias("logits"), target.alias("target"))
+    out = own.select("u", "i", "all", adjusted_logits(logits, F.transform("all", lambda x: x["share"]), temperature).alias("logits"), target.alias("target"))
+    if mask_equal:
+        other = lambda x, k: F.when((F.col("all")[k]["i"] == F.col("i")) & (k != F.col("target")), F.lit(MASKED)).otherwise(x)
+        out = out.withColumn("logits", F.transform("logits", other))
+    return out.drop("all")
 
 
 def normalized(vectors: DataFrame) -> DataFrame:

@@ -20,6 +20,16 @@ class EntityConfig:
     multi_sparse: tuple[tuple[str, ...], ...] = ()
     pad: tuple[str, ...] = ("missing",)
 
+    @property
+    def main_columns(self) -> dict[str, tuple[str, int]]:
+        """For each column of a multi-sparse group the column that stands for the group, its first, and the place in it."""
+        return {col: (group[0], place) for group in self.multi_sparse for place, col in enumerate(group)}
+
+    @property
+    def indexed(self) -> tuple[str, ...]:
+        """The columns that have a value index: the sparse ones, and of each multi-sparse group the first."""
+        return (*self.sparse, *(group[0] for group in self.multi_sparse))
+
     def pad_of(self, group: int) -> str:
         if len(self.pad) not in (1, len(self.multi_sparse)):
             raise ValueError("one pad value, or one per multi-sparse group")
@@ -73,6 +83,11 @@ def reindex(data: DataFrame, mapping: DataFrame, key: str, id_col: str) -> DataF
     return data.join(mapping, key).drop(key)
 
 
+def index_sizes(index: DataFrame) -> DataFrame:
+    """(col, size): how many rows an embedding of each column of an index(col, value, idx) needs, that of unknown values included."""
+    return index.groupBy("col").agg((F.max("idx") + 1).cast("long").alias("size"))
+
+
 def sparse_features(data: DataFrame, mapping: DataFrame, key: str, id_col: str, cols: tuple[str, ...], index: DataFrame) -> DataFrame:
     """(id, cols...): value index per entity, 0 where the entity or the value is unknown, and the row of id 0."""
     out = mapping.join(data.select(key, *cols), key, "left").select(id_col, *cols)

@@ -147,9 +147,8 @@ def negatives_from_unconsumed(rows: DataFrame, r: DataFrame, n_items: int, num_n
     A user's items travel to the user's rows as one array. Users of more than LONG_LIST
     items have their probes joined to their items one by one instead.
     """
-    lists = r.groupBy("u").agg(F.collect_set("i").alias("eaten"))
-    lists = stored(lists.where(F.size("eaten") <= LONG_LIST), "eaten")
-    long_ = r.groupBy("u").agg(F.count_distinct("i").alias("n")).where(F.col("n") > LONG_LIST).select("u")
+    long_ = stored(r.groupBy("u").agg(F.count_distinct("i").alias("n")).where(F.col("n") > LONG_LIST).select("u"), "long")
+    lists = stored(r.join(long_, "u", "left_anti").groupBy("u").agg(F.collect_set("i").alias("eaten")), "eaten")
     heavy = rows.join(long_, "u", "left_semi").select("row", "u", "i")
 
     def picked(upto: int):

@@ -83,11 +83,6 @@ def hash_ids(feature: str, value: Column, n_bins: int = DEFAULT_BINS, seed: int
     return hashed(value.cast("string"))
 
 
-def hash_ids_native(feature: str, value: Column, n_bins: int = DEFAULT_BINS) -> Column:
-    """The same idea with Spark's own 64-bit hash: other ids, no Python."""
-    return (F.pmod(F.xxhash64(F.concat_ws("_", F.lit(feature), value.cast("string"))), F.lit(n_bins)) + 1).cast("int")
-
-
 def hash_mapping(data: DataFrame, col: str, feature: str, n_bins: int = DEFAULT_BINS, seed: int = 42) -> DataFrame:
     """(col, id): the hashed id of every distinct value."""
     return data.select(col).where(F.col(col).isNotNull()).distinct().select(col, hash_ids(feature, F.col(col), n_bins, seed).alias("id"))

@@ -299,6 +299,12 @@ ORACLE: dict[str, str] = {
         _VECTORS, "q as (select us.id as u, us.vec as a, vs.vec as b, us.id // 32 as batch, (vs.id % 7 + 1) / 1000 as share from us join vs on vs.id = us.id + 1)",
         "l as (select x.u, y.u as other, list_dot_product(x.a, y.b) / 0.5 - ln(y.share) as logit from q x join q y using (batch))",
     ) + "select u, count(*)::int as n, sum((other < u)::int)::int as target, round(sum(logit), 4) as total from l group by u",
+    "list_inputs_masked": _with(
+        _VECTORS, "q as (select us.id as u, us.vec as a, vs.id as i, vs.vec as b, us.id // 32 as batch, (vs.id % 7 + 1) / 1000 as share from us join vs on vs.id = us.id // 4 * 4 + 1)",
+        "l as (select x.u, x.i = y.i and x.u <> y.u as gone, list_dot_product(x.a, y.b) / 0.5 - ln(y.share) as logit from q x join q y using (batch))",
+    ) + "select u, count(*)::int as n, count(*) filter (where not gone)::int as open, round(sum(logit) filter (where not gone), 4) as total from l group by u",
+    "feat_index_sizes": _with(_ITEMS, "v as (select 'p_brand' as col, p_brand as v from feat union select 'p_type', p_type from feat union select 'tag1', tag1 from feat union select 'tag1', tag2 from feat)")
+    + "select col, count(*) + 1 as size from v where v is not null and not (col = 'tag1' and v = 'missing') group by col",
     "backfill": _with(
         *_world(), _swing(), _near("swing", 2), _recommend("i"), "pop as (select i, row_number() over (order by n desc, item) as rank from (select item, count(distinct usr) as n from train group by item) join iv using (item))",
         "short as (select uv.u, 10 - count(rec.i) as missing from uv left join rec on rec.u = uv.u group by uv.u having count(rec.i) < 10)",

@@ -715,6 +715,24 @@ def list_inputs(spark, sf_dir):
     return out.select("u", F.size("logits").alias("n"), F.col("target").cast("int").alias("target"), F.round(F.aggregate("logits", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
+@query
+def list_inputs_masked(spark, sf_dir):
+    """Two users of a batch share an item: neither is a negative of the other."""
+    users, items = views.vectors(spark, sf_dir)
+    rows = users.select(F.col("id").alias("u"), (F.floor(F.col("id") / 4) * 4 + 1).alias("i"), F.floor(F.col("id") / 32).alias("batch"))
+    shares = items.select(F.col("id").alias("i"), ((F.col("id") % 7 + 1) / 1000).alias("share"))
+    out = embed.list_scores(rows, users, items, shares, temperature=0.5, mask_equal=True)
+    open_ = F.filter("logits", lambda x: x > embed.MASKED)
+    return out.select("u", F.size("logits").alias("n"), F.size(open_).alias("open"), F.round(F.aggregate(open_, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query
+def feat_index_sizes(spark, sf_dir):
+    data = views.item_features(spark, sf_dir)
+    values = features.sparse_values(data, ("p_brand", "p_type")).unionByName(features.multi_sparse_values(data, ("tag1", "tag2"), "missing"))
+    return features.index_sizes(features.value_index(values))
+
+
 def _candidates(spark, sf_dir) -> DataFrame:
     users, items = views.vectors(spark, sf_dir)
     top = embed.top_items(users, items, 20).join(items.select(F.col("id").alias("i"), unit("vec").alias("vec")), "i")

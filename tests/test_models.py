@@ -183,3 +183,15 @@ def test_checks(spark):
     validate.check_multi_labels(several, "ranking", False)
     with pytest.raises(ValueError):
         validate.check_multi_labels(several, "ranking", True)
+
+
+def test_feature_columns_and_sizes(spark, built):
+    config = EntityConfig(sparse=("a", "b"), multi_sparse=(("x", "y", "z"), ("p", "q")))
+    assert config.main_columns == {"x": ("x", 0), "y": ("x", 1), "z": ("x", 2), "p": ("p", 0), "q": ("p", 1)}
+    assert config.indexed == ("a", "b", "x", "p")
+    index = spark.createDataFrame([("a", "u", 1), ("a", "v", 2), ("x", "w", 1)], "col string, value string, idx int")
+    assert {r["col"]: r["size"] for r in features.index_sizes(index).collect()} == {"a": 3, "x": 2}
+    data, _ = built
+    data.features = {"user": (index, index)}
+    data.remove_features()
+    assert data.features == {}
