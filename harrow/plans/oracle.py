@@ -111,10 +111,15 @@ def _uniform(*parts: str) -> str:
 
 
 def _by_user(src: str, part: str, keep_known: bool) -> str:
-    known = " where part = 0 or (usr in (select usr from parts where part = 0) and item in (select item from parts where part = 0))" if keep_known else ""
-    return _with(
+    parts = [
         src, "n as (select *, row_number() over (partition by usr order by ts, ord) as k, count(*) over (partition by usr) as n from p)",
-        f"parts as (select *, {part} as part from n)") + f'select part::int as part, usr as "user", item, label from parts{known}'
+        f"parts as (select usr, item, label, ({part})::int as part from n)"]
+    if not keep_known:
+        return _with(*parts) + 'select part, usr as "user", item, label from parts'
+    # Later parts by joins with the users and items of train, train as it is.
+    parts += ["ku as (select distinct usr from parts where part = 0)", "ki as (select distinct item from parts where part = 0)"]
+    later = "select p.part, p.usr, p.item, p.label from parts p join ku on ku.usr = p.usr join ki on ki.item = p.item where p.part > 0"
+    return _with(*parts) + f'select part, usr as "user", item, label from (select part, usr, item, label from parts where part = 0 union all {later})'
 
 
 def _ratio_part(cuts: list[float]) -> str:
@@ -368,8 +373,13 @@ ORACLE: dict[str, str] = {
     ) + "select u, i, round(s, 6) as score, (row_number() over (partition by u order by round(s, 6) desc, i))::int as rk from sc qualify rk <= 10",
     "embed_oov_mean": _with(_VECTORS, "e as (select unnest(vec) as x, generate_subscripts(vec, 1) - 1 as pos from us where id <> 0)") + "select pos::int as pos, round(avg(x), 6) as x from e group by pos",
     "embed_normalize": _with(_VECTORS, "e as (select id, unnest(vec) / sqrt(list_dot_product(vec, vec)) as x, generate_subscripts(vec, 1) - 1 as pos from vs)") + "select id, pos::int as pos, round(x, 6) as x from e",
-    "dpp_kernel": _with(_VECTORS, _TOP.format(n=20), "c as (select u, i, s, vec, sqrt(list_dot_product(vec, vec)) as n from top join vs on vs.id = i)")
-    + "select a.u, a.i as a, b.i as b, round(a.s * b.s * (list_dot_product(a.vec, b.vec) / a.n / b.n + 1) / 2, 6) as value from c a join c b on a.u = b.u",
+    "dpp_kernel": _with(
+        _VECTORS, "sc as (select us.id as u, vs.id as i, list_dot_product(us.vec, vs.vec) as s from us, vs)",
+        "c as (select u, i, s from (select *, row_number() over (partition by u order by round(s, 6) desc, i) as rk from sc) where rk <= 20)",
+        "nv as (select id, vec, sqrt(list_dot_product(vec, vec)) as n from vs)",
+        "co as (select a.id as a, b.id as b, list_dot_product(a.vec, b.vec) / a.n / b.n as cosine from nv a join nv b on a.id <= b.id)",
+    ) + """select a.u, a.i as a, b.i as b, round(a.s * b.s * (co.cosine + 1) / 2, 6) as value from c a join c b on a.u = b.u
+join co on co.a = least(a.i, b.i) and co.b = greatest(a.i, b.i)""",
     "fm_pairwise": _with(_VECTORS, "e as (select us.id, unnest(us.vec) as a, unnest(vs.vec) as b, generate_subscripts(us.vec, 1) - 1 as pos from us join vs on vs.id = us.id + 1)")
     + "select id, pos::int as pos, round(((2 * a + b) ** 2 - (2 * a * a + b * b)) / 2, 6) + 0.0 as x from e",
     "losses": _with("q as (select l_quantity / 10 - 2 as x, (l_returnflag = 'R')::int::double as y, l_tax * 10 as o from lineitem)", "s as (select *, 1 / (1 + exp(-x)) as p from q)")
