@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each as
 Parquet in the shared folder and hands what it reads back to the next. All stages but
 the last return the columns of documents.
+
+Null and empty texts go through all stages: they have no words, no passages, no personal
+data and no tokens; the classifier scores them like any text. Texts and their words may be
+of any length. Rows that repeat a doc_id are one document to the near-duplicate stage,
+which keeps the first by its text; rows without a doc_id stay. Ties go to the smaller
+doc_id. Other columns, whatever their names, are kept up to the last stage. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
