@@ -368,6 +368,48 @@ def test_quality_against_plain_features(spark, docs, rows, edges, sf_dir):
     assert all(loss(w) <= loss(w + step) for step in 1e-3 * np.vstack([np.eye(5), -np.eye(5)]))
 
 
+def test_quality_learns_from_all_labels(spark):
+    """Labels beyond any number of rows count: those of largest hash change the scores too."""
+    n = 21_000
+    texts = [(i, " ".join(["word", "Other.", "x1"][: i % 3 + 1] * (1 + i % 5)), int(i % 7 > 1)) for i in range(n)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, quality int").repartition(8).cache()
+    taught = df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    df = df.unionByName(taught.withColumn("doc_id", F.col("doc_id") + 10**6)).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    assert df.count() > 20_500
+    last = [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id").desc()).limit(500).collect()]
+    probe = df.limit(50)
+    flipped = df.withColumn("quality", F.when(F.col("doc_id").isin(last), 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = ({r["doc_id"]: r["score"] for r in quality.classify(spark, df, x).join(probe.select("doc_id"), "doc_id").collect()} for x in (df, flipped))
+    assert any(abs(one[i] - two[i]) > 1e-6 for i in one)
+
+
+@pytest.mark.parametrize(("good", "bad"), [(400, 90), (30, 300), (5, 300)])
+def test_quality_blocks(spark, monkeypatch, good, bad):
+    """Every text of both labels is in a block, and the fit is that of the blocks' pairs one by one."""
+    monkeypatch.setattr(quality, "COMMONER", 32)
+    monkeypatch.setattr(quality, "RARER", 4)
+    rng = np.random.default_rng(5)
+    x = rng.random((good + bad, len(quality.NAMES)))
+    x[:good, :3] += 0.2
+    y = np.arange(good + bad) < good
+    rows = spark.createDataFrame([(i, int(q), v.tolist()) for i, (q, v) in enumerate(zip(y, x, strict=True))], "doc_id long, quality int, features array<double>").repartition(3)
+    ranker = quality.fit(spark, rows)
+    dealt = [[np.array(r[k]) for k in ("good", "bad")] for r in quality.blocks(rows, good, bad).collect()]
+    assert len(dealt) > 1
+    for side, given in ((0, x[y]), (1, x[~y])):
+        assert {tuple(v) for block in dealt for v in block[side]} == set(map(tuple, given))
+        commoner = len(given) == max(good, bad)
+        assert not commoner or sum(len(block[side]) for block in dealt) == len(given)
+    z = quality._expand(x)
+    np.testing.assert_allclose(ranker.mean, z.mean(axis=0))
+    np.testing.assert_allclose(ranker.scale, z.std(axis=0) + 1e-6)
+    d = [ranker.standard(g[None]) - ranker.standard(b[None]) for goods, bads in dealt for g in goods for b in bads]
+    np.testing.assert_allclose(ranker.weights, quality._logistic(np.concatenate(d), 1e-3), rtol=1e-6, atol=1e-9)
+    scores = ranker.raw(x)
+    right = lambda cut: (scores[y] >= cut).sum() + (scores[~y] < cut).sum()
+    assert right(ranker.threshold) >= max(map(right, np.quantile(scores, np.linspace(0.001, 0.999, 999)))) - 1
+
+
 def test_language_held_out(spark, docs, edges, empty):
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
     got = found(langid.identify(spark, docs))
