@@ -1,12 +1,13 @@
 """Byte-level BPE by recursive DuckDB queries, one database per Python worker.
 
 Spark deals out the documents; a task splits each text by the pattern and encodes the
-distinct pre-tokens that it has not met yet. Those are loaded as token-position rows,
-one row per byte; each step of the recursive query joins neighbouring tokens to the
-merge table and contracts every word's leftmost pair of minimum rank, until no word
-has a pair left. In pre-tokens of hundreds of bytes and more a step also contracts the
-pairs that are so in their own neighbourhood, which gives the same in few steps. An
-ordered aggregation gathers the ids, another one decodes them.
+distinct pre-tokens that it has not met yet. Those are loaded as rows of their tokens,
+at first one a byte, and the ranks of their neighbouring pairs; each step of the recursive
+query contracts every word's leftmost pair of minimum rank and joins the merge table for
+the pairs on both sides of the new token, until no word has a pair left. Pre-tokens of
+hundreds of bytes and more have a row for each token; there a step also contracts the
+pairs that are so in their own neighbourhood, which gives the same in few steps. A join to
+the vocabulary decodes the ids.
 
 Pre-tokens beyond a window go window by window, so the memory of a query is bounded. The
 next window begins at a border of the last one and the two are joined at a token that
@@ -41,27 +42,25 @@ _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|
 
 #: Pre-tokens a worker remembers, twice over (a full generation becomes the old one).
 REMEMBERED = 200_000
-#: Rows (bytes) that one recursive query starts from; pre-tokens longer than the second go by _ENCODE_LONG.
-QUERY_BYTES, LONG_BYTES = 100_000, 400
+#: Bytes that one recursive query starts from; pre-tokens longer than the second go by _ENCODE_LONG.
+QUERY_BYTES, LONG_BYTES = 200_000, 400
 #: Longer pre-tokens go by windows of so many bytes, which share so many at first; tokens decoded at once.
 WINDOW, OVERLAP, DECODED = 65_536, 2048, 200_000
 
-_STEP = """
-  (with x as materialized (
-     select y.it, y.w, y.p, y.t, y.before, m.rank
-     from (select *, lead(t) over win as next, lag(p) over win as before
-           from {source} window win as (partition by w order by p)) y
-     left join merges m on m.pair = y.t::bigint * 1048576 + y.next),
-   best as (select w, min(rank::bigint * 4294967296 + p) as b from x where rank is not null group by w)
-   select x.it + 1 as it, x.w, x.p, case when x.p = best.b % 4294967296 then (best.b // 4294967296)::int else x.t end as t
-   from x join best using (w)
-   where x.before is distinct from best.b % 4294967296)
-"""
+#: The rank of a pair that is no token.
+_NO_PAIR = 2147483647
+#: w, the tokens t and the ranks r of their pairs; a word's last row has no pair left.
 _ENCODE = f"""
-with recursive s(it, w, p, t) as (select 0, w, p, t from start union all {_STEP.format(source="s")})
-select w, list(t order by p) as ids
-from s semi join (select w, max(it) as it from s group by w) using (w, it)
-group by w order by w
+with recursive s(w, t, r) as (
+  select w, t, r from start
+  union all
+  select w, t[:i - 1] || [m] || t[i + 2:],
+    r[:greatest(i - 2, 0)] || case when i > 1 then [coalesce(a.rank, {_NO_PAIR})] else [] end
+      || case when i < len(r) then [coalesce(b.rank, {_NO_PAIR})] else [] end || r[i + 2:]
+  from (select w, t, r, m, list_position(r, m) as i from (select *, list_min(r) as m from s) where m < {_NO_PAIR}) x
+  left join merges a on a.pair = t[i - 1]::bigint * 1048576 + m
+  left join merges b on b.pair = m::bigint * 1048576 + t[i + 2])
+select w, t as ids from s where coalesce(list_min(r), {_NO_PAIR}) = {_NO_PAIR} order by w
 """
 #: Where tokens of two bytes or more lie in long pre-tokens: every start is extended byte by byte while a token begins so.
 _PLACES = """
@@ -112,9 +111,7 @@ with recursive s(w, p, q, t) using key (w, p) as (
    select w, next_p, e, -1 from chosen))
 select w, list(t order by p) as ids from s where t >= 0 group by w order by w
 """
-_DECODE = """
-select i.w, string_agg(v.hex, '' order by i.k) as hex from coded i join vocabulary v using (id) group by i.w order by i.w
-"""
+_DECODE = "select i.w, v.bytes from coded i join vocabulary v using (id) order by i.k"
 
 
 class Bpe:
@@ -137,7 +134,8 @@ class Bpe:
         ]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._keep("merges", {"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
-        self._keep("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
+        self._keep("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
+        self.first_ranks = np.array([ranks.get(bytes([i, j]), _NO_PAIR) for i in range(256) for j in range(256)], np.int32)
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
 
@@ -152,8 +150,17 @@ class Bpe:
         w, p = np.repeat(np.arange(len(words)), n), np.arange(len(flat))
         return pa.table({"w": pa.array(w.astype(np.int32)), "p": pa.array(p.astype(np.int32)), "t": pa.array(self.byte_id[flat])})
 
+    def _lists(self, words: list[bytes]) -> pa.Table:
+        n = np.array([len(b) for b in words], np.int64)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        first = np.concatenate([[0], np.cumsum(n)])
+        inside = np.ones(max(0, len(flat) - 1), bool)
+        inside[first[1:-1] - 1] = False
+        ranks = self.first_ranks[flat[:-1].astype(np.int64) * 256 + flat[1:]][inside]
+        return pa.table({"w": pa.array(np.arange(len(words), dtype=np.int32)), "t": rows_of_lists(self.byte_id[flat], first), "r": rows_of_lists(ranks, np.concatenate([[0], np.cumsum(n - 1)]))})
+
     def _query(self, words: list[bytes]) -> pa.Table:
-        self.db.register("start", self._rows(words))
+        self.db.register("start", self._lists(words))
         out = self.db.sql(_ENCODE).to_arrow_table()
         self.db.unregister("start")
         return out
@@ -229,21 +236,29 @@ class Bpe:
     def _store(self, words: list[str], coded: pa.Table) -> None:
         ids = coded["ids"].combine_chunks()
         flat = np.asarray(ids.flatten(), np.uint32).tobytes()
-        at = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(ids)))]) * 4
+        at = (np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(ids)))]) * 4).tolist()
         for word, lo, hi, text in zip(words, at[:-1], at[1:], self.decode(ids), strict=True):
             self.known[word] = (flat[lo:hi], text)
 
     def decode(self, ids: pa.Array) -> list[bytes]:
-        """The bytes of each list of ids: joined to the vocabulary, aggregated in order, a bounded number at once."""
+        """The bytes of each list of ids: joined to the vocabulary, in order, a bounded number at once."""
         flat = np.asarray(ids.flatten())
         owner = np.repeat(np.arange(len(ids)), np.asarray(pc.list_value_length(ids)))
         out = [b""] * len(ids)
         for lo in range(0, len(flat), DECODED):
             part = slice(lo, lo + DECODED)
             self.db.register("coded", pa.table({"w": pa.array(owner[part]), "k": pa.array(np.arange(len(owner[part]))), "id": pa.array(flat[part])}))
-            for w, text in self.db.sql(_DECODE).fetchall():
-                out[w] += bytes.fromhex(text)
+            found = self.db.sql(_DECODE).to_arrow_table()
             self.db.unregister("coded")
+            if not found.num_rows:
+                continue
+            pieces = found["bytes"].combine_chunks().cast(pa.large_binary())
+            edges = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+            data = pieces.buffers()[2].to_pybytes()[edges[0] : edges[-1]]
+            size = np.bincount(np.asarray(found["w"]), np.diff(edges), len(ids)).astype(np.int64)
+            some, ends = np.flatnonzero(size), np.cumsum(size)
+            for w, lo, hi in zip(some.tolist(), (ends - size)[some].tolist(), ends[some].tolist(), strict=True):
+                out[w] += data[lo:hi]
         return out
 
     def pieces(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:

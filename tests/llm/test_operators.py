@@ -11,6 +11,7 @@ from collections import Counter
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from edges import EDGES
 from pyspark.sql import functions as F
@@ -249,6 +250,23 @@ def test_byte_bpe_of_long_runs():
     assert bpe_._query([x.encode() for x in short])["ids"].to_pylist() == [list(library._encode_single_piece(x.encode())) for x in short]
 
 
+def test_byte_bpe_has_a_row_for_a_word_and_step():
+    """The recursion has one row for each word and contraction, however long the words; ids and bytes are the library's."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    bpe_ = bpe.Bpe(path, 100)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_.ranks, special_tokens={})
+    rng = np.random.default_rng(4)
+    words = [b"a", b" ", b"ab", b"aaaa", "é".encode(), b"unbelievable", *(rng.choice(list(b"etaoin shr"), n).astype(np.uint8).tobytes() for n in range(1, 400, 7))]
+    ids = [list(library._encode_single_piece(x)) for x in words]
+    coded = bpe_._query(words)["ids"]
+    assert coded.to_pylist() == ids and bpe_.decode(coded.combine_chunks()) == words
+    assert bpe_.decode(pa.array([[], ids[5], [], ids[3]], pa.list_(pa.int32()))) == [b"", words[5], b"", words[3]]
+    bpe_.db.register("start", bpe_._lists(words))
+    rows = bpe_.db.sql(bpe._ENCODE[: bpe._ENCODE.rindex("select")] + "select count(*) from s").fetchall()[0][0]
+    assert rows == sum(len(x) - len(i) + 1 for x, i in zip(words, ids, strict=True))
+
+
 def test_byte_bpe_windows(monkeypatch):
     """Windows so small that most seams need another try, and some none can be found."""
     import random
