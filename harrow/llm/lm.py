@@ -83,6 +83,39 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == x
 
 
+class Places:
+    """Where 64-bit hashes stand in keys, by an open table over their lowest bits: a probe or two, whatever the number of keys."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = (4 << max(1, len(keys)).bit_length()) // 2 - 1
+        self.table = np.full(self.mask + 1, -1, np.int32)
+        left = np.arange(len(keys), dtype=np.int32)
+        slot = keys & self.mask
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]  # of several keys one stays
+            lost = self.table[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & self.mask
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of x in the keys (0 where they are not), and which of x are there."""
+        if not len(self.keys):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        at = self.table[x & self.mask]
+        there = (at >= 0) & (self.keys[at] == x)
+        open_ = np.flatnonzero((at >= 0) & ~there)
+        slot = x[open_] & self.mask
+        while len(open_):
+            slot = (slot + 1) & self.mask
+            now = self.table[slot]
+            same = (now >= 0) & (self.keys[now] == x[open_])
+            at[open_], there[open_] = now, same
+            on = (now >= 0) & ~same
+            open_, slot = open_[on], slot[on]
+        return np.where(there, at, 0), there
+
+
 def discounts(of_counts: np.ndarray) -> np.ndarray:
     """Katz's factors for counts 0 to KATZ_K + 1 (1 from there on), from how many n-grams have each count.
 
@@ -176,7 +209,7 @@ def _exchanged(blocks: DataFrame, buckets: int) -> DataFrame:
 def _chunks(batches):
     """Tokens of as many texts as come to CHUNK_TOKENS, or one slice: (first, before, word, document, batches)."""
     held, n, docs = [], 0, 0
-    for b in slices(batches):
+    for b in slices(batches, collect=False):
         first, before, w, doc = _tokens(Words(b.column("text")))
         held.append((first, before, w, doc + docs, b))
         n, docs = n + len(w), docs + b.num_rows
@@ -208,7 +241,7 @@ def _count_words(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         held, waiting = [], 0
-        for b in slices(batches):
+        for b in slices(batches, collect=False):
             held.append(np.unique(Words(b.column("text")).hash.view(np.int64), return_counts=True))
             waiting += len(held[-1][0])
             if waiting > max(CHUNK_TOKENS, len(held[0][0])):  # as much new as there is already
@@ -242,7 +275,7 @@ class Model:
     whole: float
     unseen: float
     buckets: Buckets
-    common: tuple[np.ndarray, np.ndarray]
+    common: tuple[Places, np.ndarray]
     heavy: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     def unigram(self, n: np.ndarray) -> np.ndarray:
@@ -286,7 +319,7 @@ def fit(spark: SparkSession, docs: DataFrame, common_words: int = COMMON_WORDS,
     buckets = Buckets(n_buckets, keys, np.array([hot[k] for k in keys], np.int64))
     cached = commonest(words, "n", common_words).toArrow()
     order = np.argsort(cached["key"].to_numpy())
-    common = (cached["key"].to_numpy()[order], cached["n"].to_numpy()[order])
+    common = (Places(cached["key"].to_numpy()[order]), cached["n"].to_numpy()[order])
     one = Model(words, words, total, types, n_docs, d1, d1, d1, whole, unseen, buckets, common, (keys, keys, keys))
     shared = spark.sparkContext.broadcast((buckets, common, one.d1, whole, total))
     found = None
@@ -342,10 +375,16 @@ def _counting(docs: DataFrame, shared, part: int, passes: int) -> DataFrame:
 
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a row of each distinct key, the number of its key for each row)."""
-    order = np.argsort(key)
+    """(a row of each distinct 64-bit hash, the number of its key for each row)."""
+    # Sorted with the row in place of the lowest bits; that is by key unless two keys differ in those alone.
+    bits = np.uint64(max(1, len(key)).bit_length())
+    code = np.sort((key.view(np.uint64) >> bits << bits) | np.arange(len(key), dtype=np.uint64))
+    order = (code & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.ones(len(key), bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
+    if (new[1:] & (code[1:] >> bits == code[:-1] >> bits)).any():
+        order = np.argsort(key)
+        new[1:] = key[order[1:]] != key[order[:-1]]
     back = np.empty(len(key), np.int64)
     back[order] = np.cumsum(new) - 1
     return order[new], back
@@ -378,7 +417,7 @@ def _counted(shared):
             alone = np.rint(_discounted(d1, times[hot]) * whole / total * _SCALE).astype(np.int64)
             np.add.at(hot_sums, (place[hot], 0), alone)
             # The second exchange needs a pair where its count or its word's is not at hand.
-            need = np.flatnonzero(_find(buckets.hot, before)[1] | ~_find(known, w)[1])
+            need = np.flatnonzero(_find(buckets.hot, before)[1] | ~known(w)[1])
             to = buckets.of(before[need], first[need])
             chosen, _ = _grouped(_hash(pair[need].view(np.int64), to))
             need, to = need[chosen], to[chosen]
@@ -449,8 +488,8 @@ def _evaluated(m: Model, pairs: list[bytes], tokens: list[bytes]):
     place, there = _find(key[order], pair[at2])
     hot_at, hot = _find(m.buckets.hot, before[at2])
     c2[hot] = np.where(there[hot], given[order][place[hot]] if len(order) else 0, 0)
-    known_at, known = _find(m.common[0], w[at2])
-    times = np.where(known, m.common[1][known_at] if len(m.common[0]) else 0, 0)
+    known_at, known = m.common[0](w[at2])
+    times = np.where(known, m.common[1][known_at] if len(m.common[1]) else 0, 0)
     rare = ~known & there
     times[rare] = given_times[order][place[rare]]
     p1 = np.where(times > 0, m.unigram(times), 0.0)
@@ -579,10 +618,10 @@ def _known(docs: DataFrame, words: DataFrame, shared) -> DataFrame:
 
     def run(batches):
         m, row = shared.value, _row_base()
-        for b in slices(batches):
+        for b in slices(batches, collect=False):
             w, n = Words(b.column("text")), b.num_rows
             hashes, ends = w.hash.view(np.int64), m.n_docs
-            at, seen = _find(m.common[0], hashes)
+            at, seen = m.common[0](hashes)
             logs = np.bincount(w.doc[seen], np.log10(m.common[1][at[seen]] + 1.0) if seen.any() else None, minlength=n) + np.log10(ends + 1.0)
             each = row + np.arange(n)
             stats = [b.column("k1"), b.column("k2"), b.column("doc_id"), b.column("held"), pa.array(np.diff(w.first) + 1), pa.array(np.bincount(w.doc[seen], minlength=n) + (ends > 0)), pa.array(logs.astype(float))]

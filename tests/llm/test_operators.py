@@ -345,6 +345,20 @@ def test_discounts():
     np.testing.assert_allclose(lm.discounts(np.zeros(7, int))[1:], [0.5, 0.75, 2.5 / 3, 3.5 / 4, 0.9, 1])
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 20_000])
+def test_katz_places_and_groups(n):
+    """The open table finds what a binary search finds, keys that share low bits included; groups are those of equal keys, high bits shared or not."""
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, n), np.arange(min(n, 300)) << 20]))
+    x = np.concatenate([keys, rng.integers(-(2**63), 2**63 - 1, n + 5), np.arange(600) << 20])
+    at, there = lm.Places(keys)(x)
+    place, known = lm._find(keys, x)
+    assert (there == known).all() and (at[there] == place[known]).all()
+    key = np.concatenate([x, x[::-1], rng.integers(0, 50, n)])
+    rows, back = lm._grouped(key)
+    assert len(rows) == len(np.unique(key)) and (key[rows][back] == key).all()
+
+
 def test_katz_edges(spark, edges, empty):
     got = lm.score(spark, edges)
     assert got.count() == len(EDGES) + 1
