@@ -19,25 +19,96 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from harrow.llm.common import Spans, materialize, rows_of_lists, slices
+from harrow.llm.common import materialize, mix, rows_of_lists, slices
 from harrow.sources.scratch import scratch_path
 
 END_ID = 1
 #: Pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 1_200_000
+#: New pre-tokens that go to the library in one call.
+TOGETHER = 1_000
 #: Row group size of the index, and the stripe size in bytes.
 INDEX_STRIDE, STRIPE_BYTES = 1_000, 32 << 20
 
-_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+_SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 #: What the last token of every pre-token ends with in the vocabulary.
 _WORD_END = "</w>"
-#: Classes of bytes: white space, letters, digits, apostrophe, anything else. Bytes of Latin-1 letters count as letters.
-_SPACE, _LETTER, _DIGIT, _QUOTE, _OTHER = range(5)
+#: Stands behind every text of a slice; no byte of UTF-8.
+_STOP = b"\xff"
+#: Classes of bytes; from _DIGIT on, each stands alone. Bytes of Latin-1 letters count as letters.
+_SPACE, _LETTER, _OTHER, _QUOTE, _DIGIT, _END = range(6)
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[[32, *range(9, 14)]] = _SPACE
-_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 255)]] = _LETTER
 _CLASS[48:58] = _DIGIT
 _CLASS[39] = _QUOTE
+_CLASS[255] = _END
+_CLASS = _CLASS.tobytes()
+#: The bytes of a number that n bytes, at most eight, fill.
+_FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of raw; equal bytes have equal hashes in one process."""
+    eight = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    found = eight[start] & _FILLED[np.minimum(size, 8)]
+    long = np.flatnonzero(size > 8)
+    found[long] = mix(found[long]) ^ eight[end[long] - 8]
+    found = mix(found + size.astype(np.uint64) * _ODD)
+    for i in long[size[long] > 16].tolist():
+        found[i] = hash(raw[start[i] : end[i]]) & 0xFFFFFFFFFFFFFFFF
+    return found
+
+
+class Seen:
+    """The ids of the pre-tokens met so far, found by their hashes in an open table: a probe or two for each."""
+
+    def __init__(self, room: int):
+        self.room, self.n, self.used = room, 0, 0
+        self.keys = np.zeros(room, np.uint64)
+        self.mask = np.uint64((1 << (3 * room).bit_length()) - 1)
+        self.table = np.full(int(self.mask) + 1, -1, np.int32)
+        self.starts, self.sizes, self.flat = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(4 * room, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Their places; -1 where they are not."""
+        at = self.table[hashes & self.mask]
+        left = np.flatnonzero((at >= 0) & (self.keys[at] != hashes))
+        slot = hashes[left] & self.mask
+        while len(left):
+            slot = (slot + np.uint64(1)) & self.mask
+            at[left] = now = self.table[slot]
+            on = (now >= 0) & (self.keys[now] != hashes[left])
+            left, slot = left[on], slot[on]
+        return at
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Hashes that are not there yet, each once, and their ids, flat."""
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = slice(self.n, self.n + len(hashes))
+        self.keys[at], self.sizes[at], self.starts[at] = hashes, sizes, self.used + np.cumsum(sizes) - sizes
+        left, slot = np.arange(at.start, at.stop, dtype=np.int32), hashes & self.mask
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]  # of several one stays
+            lost = self.table[slot] != left
+            left, slot = left[lost], (slot[lost] + np.uint64(1)) & self.mask
+        self.used, self.n = self.used + len(ids), at.stop
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pre-tokens at these places, flat, and where each one's end."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        shift = self.starts[at]
+        shift += sizes
+        shift -= ends
+        where = np.repeat(shift, sizes)
+        where += np.arange(len(where))
+        return self.flat[where], ends
 
 
 class Encoder:
@@ -51,12 +122,11 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
-        self._forget()
+        self._forget(0)
 
-    def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts, self.sizes, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+    def _forget(self, coming: int) -> None:
+        self.seen = Seen(max(REMEMBERED, coming) + 1)
+        self.seen.add(_hashes(_STOP, np.array([0]), np.array([1])), np.array([END_ID]), np.array([1]))
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,90 +144,90 @@ class Encoder:
         ids = self._library(texts)
         return np.array([i for x in ids for i in x], np.int32), np.array([len(i) for i in ids], np.int64)
 
-    def _remember(self, hashes: list[int], texts: list[str]) -> None:
-        quoted = ["'" in t for t in texts]  # may be more than one pre-token
-        if any(quoted) and not all(quoted):
-            for which in (True, False):
-                k = [i for i, q in enumerate(quoted) if q is which]
-                self._remember([hashes[i] for i in k], [texts[i] for i in k])
-            return
-        for lo in range(0, len(texts), 20_000):
-            ids, sizes = self._each(texts[lo : lo + 20_000])
-            total = len(ids)
-            while len(self.flat) < self.used + total:
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.starts) < self.n + len(sizes):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            self.flat[self.used : self.used + total] = ids
-            at = slice(self.n, self.n + len(sizes))
-            self.sizes[at], self.starts[at] = sizes, self.used + np.cumsum(sizes) - sizes
-            self.place.update(zip(hashes[lo : lo + 20_000], range(self.n, self.n + len(sizes)), strict=True))
-            self.used, self.n = self.used + total, self.n + len(sizes)
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        quoted = np.array(["'" in t for t in texts])  # may be more than one pre-token
+        for which in (False, True):
+            k = np.flatnonzero(quoted == which)
+            for lo in range(0, len(k), TOGETHER):
+                some = k[lo : lo + TOGETHER]
+                self.seen.add(hashes[some], *self._each([texts[i] for i in some.tolist()]))
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each text's, and where each text's begin."""
-        plain, whole = [], {}
-        for i, t in enumerate(texts):
-            raw = (t or "").encode()
-            if raw.isascii() or _latin(raw):
-                if b"<|" not in raw or not any(s.encode() in raw for s in _SPECIAL):
-                    plain.append(raw)
-                    continue
-            whole[i] = t
-            plain.append(b"")
-        flat, counts = self._assembled(plain)
+        raw = [(t or "").encode() for t in texts]
+        joined = _STOP.join([*raw, b""])
+        whole = _not_latin(joined, raw)
+        if b"<|" in joined:
+            whole |= {i for i, r in enumerate(raw) if any(s in r for s in _SPECIAL)}
+        for i in whole:
+            raw[i] = b""
+        flat, first = self._assembled(_STOP.join([*raw, b""]) if whole else joined)
         if whole:
-            parts = np.split(flat, np.cumsum(counts)[:-1])
-            for i, ids in zip(whole, self._library(list(whole.values())), strict=True):
-                parts[i] = np.asarray(ids, np.int32)
-            counts = np.array([len(p) for p in parts], np.int64)
-            flat = np.concatenate(parts)
-        flat = np.insert(flat, np.cumsum(counts), END_ID)
-        return flat, np.concatenate([[0], np.cumsum(counts + 1)])
-
-    def _assembled(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        buf = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
+            parts = np.split(flat, first[1:-1])
+            for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+                parts[i] = np.array([*ids, END_ID], np.int32)
+            flat, first = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return flat, first
+
+    def _assembled(self, joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+        raw = joined.lower()
+        buf = np.frombuffer(raw, np.uint8)
         second = np.flatnonzero(buf[:-1] == 0xC3) + 1  # capitals of Latin-1: two bytes, 32 apart
         second = second[(buf[second] >= 0x80) & (buf[second] <= 0x9E)]
         if len(second):
             buf = buf.copy()
             buf[second] += 0x20
-        kind = _CLASS[buf]
+            raw = buf.tobytes()
+        kind = np.frombuffer(raw.translate(_CLASS), np.uint8)
         inside = kind != _SPACE
-        before = np.concatenate([np.full(1, _SPACE, np.uint8), kind[:-1]]) if len(kind) else kind
-        begins = inside & ((kind != before) | (kind == _DIGIT))
+        begins = kind >= _DIGIT
+        begins[:1] = True
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins &= inside
         # A stretch between white space that has an apostrophe is left whole: it may be a contraction.
-        if (kind == _QUOTE).any():
-            chunk = inside & (before == _SPACE)
+        if b"'" in raw:
+            chunk = kind == _END
+            chunk[:1] = True
+            chunk[1:] |= (kind[:-1] == _SPACE) | (kind[:-1] == _END)
+            chunk &= inside
             number = np.cumsum(chunk)
-            quoted = np.bincount(number[kind == _QUOTE], minlength=number[-1] + 1) > 0
+            quoted = np.zeros(number[-1] + 1, bool)
+            quoted[number[kind == _QUOTE]] = True
             begins &= chunk | ~quoted[number]
-        start = np.flatnonzero(begins)
-        stops = np.flatnonzero(begins | ~inside)
-        end = np.append(stops, len(buf))[np.flatnonzero(begins[stops]) + 1]
-        hashes, at, back = np.unique(Spans(buf)(start, end), return_index=True, return_inverse=True)
-        if self.n + len(hashes) > REMEMBERED:
-            self._forget()
-        keys = hashes.tolist()
-        new = [k for k in range(len(keys)) if keys[k] not in self.place]
-        if new:
-            lo, hi, raw = start[at], end[at], buf.tobytes()
-            self._remember([keys[k] for k in new], [raw[lo[k] : hi[k]].decode() for k in new])
-        index = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
-        sizes = self.sizes[index]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.starts[index] - (ends - sizes), sizes) + np.arange(total)]
-        edges = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
-        return flat, np.diff(np.concatenate([[0], ends])[edges])
-
-
-def _latin(raw: bytes) -> bool:
-    """Whether all bytes beyond ASCII are letters of Latin-1, U+00C0 to U+00FF."""
-    high = np.frombuffer(raw, np.uint8)
-    lead = np.flatnonzero(high >= 0xC0)
-    return bool((high[lead] == 0xC3).all() and not np.isin(high[lead + 1], (0x97, 0xB7)).any() and 2 * len(lead) == int((high >= 0x80).sum()))
+        last = inside.copy()
+        last[:-1] &= begins[1:] | ~inside[1:]
+        start, end = np.flatnonzero(begins), np.flatnonzero(last) + 1
+        at = self._places(raw, start, end)
+        ids, ends = self.seen.ids(at)
+        return ids, np.concatenate([[0], ends[kind[start] == _END]])
+
+    def _places(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        hashes = _hashes(raw, start, end)
+        at = self.seen.find(hashes)
+        lost = np.flatnonzero(at < 0)
+        if not len(lost):
+            return at
+        new, first = np.unique(hashes[lost], return_index=True)
+        if self.seen.n + len(new) > self.seen.room:
+            lost = np.flatnonzero(at)  # all but the ends of texts, whose place stays 0
+            new, first = np.unique(hashes[lost], return_index=True)
+            self._forget(len(new))
+        spans = zip(start[lost[first]].tolist(), end[lost[first]].tolist(), strict=True)
+        self._learn(new, [raw[lo:hi].decode() for lo, hi in spans])
+        at[lost] = self.seen.find(hashes[lost])
+        return at
+
+
+def _not_latin(joined: bytes, texts: list[bytes]) -> set[int]:
+    """Which texts have characters beyond ASCII that are no letters of Latin-1, U+00C0 to U+00FF."""
+    buf = np.frombuffer(joined, np.uint8)
+    high = np.flatnonzero(buf >= 0x80)
+    byte, before = buf[high], buf[high - 1]
+    letter = (byte == 0xC3) | (byte == 0xFF) | (byte < 0xC0) & (before == 0xC3) & (byte != 0x97) & (byte != 0xB7)
+    if letter.all():
+        return set()
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return set(np.searchsorted(ends, high[~letter], "right").tolist())
 
 
 _LOADED: dict[str, Encoder] = {}
