@@ -30,9 +30,33 @@ def _first(probes: DataFrame, bad) -> DataFrame:
     return probes.groupBy("row", "u", "i", "k").agg(F.min_by("neg", rank).alias("neg"))
 
 
+def random_lists(rows: DataFrame, n_items: int, num_neg: int = 1, seed: int = 42, attempts: int = PROBES) -> DataFrame:
+    """rows(row, i, ...) with negs: for k from 1 to num_neg the first of so many uniform items that is not the row's own, the last one if all are.
+
+    Row by row: nothing is shuffled, and most rows draw once for each k.
+    """
+    def draw(k, attempt):
+        return (F.floor(uniform(seed, F.col("row"), k, attempt) * n_items) + 1).cast("int")
+
+    def drawn(k):
+        first = draw(k, F.lit(1))
+        if attempts < 2:
+            return first
+        more = F.transform(F.sequence(F.lit(2), F.lit(attempts)), lambda a: draw(k, a))
+        other = F.coalesce(F.get(F.filter(more, lambda x: x != F.col("i")), F.lit(0)), F.element_at(more, -1))
+        return F.when(first.eqNullSafe(F.col("i")), other).otherwise(first)
+
+    return rows.withColumn("negs", F.transform(F.sequence(F.lit(1), F.lit(num_neg)), drawn))
+
+
+def _one_by_one(listed: DataFrame) -> DataFrame:
+    """(row, u, i, k, neg) of rows with negs."""
+    return listed.select("row", "u", "i", F.posexplode("negs").alias("k", "neg")).withColumn("k", F.col("k") + 1)
+
+
 def negatives_from_random(rows: DataFrame, n_items: int, num_neg: int = 1, seed: int = 42, attempts: int = PROBES) -> DataFrame:
     """(row, u, i, k, neg): uniform items other than the row's own."""
-    return _first(_probes(rows, num_neg, attempts, n_items, seed), F.col("neg") == F.col("i"))
+    return _one_by_one(random_lists(rows, n_items, num_neg, seed, attempts))
 
 
 #: Rounds of the keyed permutation, and how often a value beyond the range is sent through it again.
@@ -138,7 +162,12 @@ def negatives_from_popular(rows: DataFrame, probs: DataFrame, num_neg: int = 1,
 
 
 def negatives_from_unconsumed(rows: DataFrame, r: DataFrame, n_items: int, num_neg: int = 1, seed: int = 42, attempts: int = PROBES) -> DataFrame:
-    """(row, u, i, k, neg): not the row's item, not consumed by its user, distinct within a row.
+    """(row, u, i, k, neg) of unconsumed_lists()."""
+    return _one_by_one(unconsumed_lists(rows, r, n_items, num_neg, seed, attempts))
+
+
+def unconsumed_lists(rows: DataFrame, r: DataFrame, n_items: int, num_neg: int = 1, seed: int = 42, attempts: int = PROBES) -> DataFrame:
+    """rows(row, u, i, ...) with negs: not the row's item, not consumed by its user, distinct within a row.
 
     Of 2 * attempts probes the first half must be unconsumed; then that rule is dropped.
     The num_neg first values by attempt, then k, are taken; where the probes hold fewer
@@ -149,7 +178,7 @@ def negatives_from_unconsumed(rows: DataFrame, r: DataFrame, n_items: int, num_n
     """
     long_ = stored(r.groupBy("u").agg(F.count_distinct("i").alias("n")).where(F.col("n") > LONG_LIST).select("u"), "long")
     lists = stored(r.join(long_, "u", "left_anti").groupBy("u").agg(F.collect_set("i").alias("eaten")), "eaten")
-    heavy = rows.join(long_, "u", "left_semi").select("row", "u", "i")
+    heavy = rows.join(long_, "u", "left_semi")
 
     def picked(upto: int):
         def probe(k, attempt):
@@ -160,12 +189,17 @@ def negatives_from_unconsumed(rows: DataFrame, r: DataFrame, n_items: int, num_n
         good = F.filter(tries, lambda t: (t["neg"] != F.col("i")) & ((t["attempt"] > attempts) | ~F.array_contains("eaten", t["neg"])))
         return F.slice(F.array_distinct(F.transform(good, lambda t: t["neg"])), 1, num_neg)
 
-    listed = rows.select("row", "u", "i").join(long_, "u", "left_anti").join(lists, "u", "left").withColumn("eaten", F.coalesce("eaten", F.array().cast("array<int>")))
+    listed = rows.join(long_, "u", "left_anti").join(lists, "u", "left").withColumn("eaten", F.coalesce("eaten", F.array().cast("array<int>")))
     # Most rows are done after a few probes; only the others draw all of them.
     listed = listed.withColumn("negs", picked(min(3, attempts)))
     listed = listed.withColumn("negs", F.when(F.size("negs") == num_neg, F.col("negs")).otherwise(picked(2 * attempts)))
-    listed = listed.select("row", "u", "i", F.posexplode("negs").alias("k", "neg")).withColumn("k", F.col("k") + 1)
-    return listed.unionByName(_unconsumed_joined(heavy, r, n_items, num_neg, seed, attempts))
+    listed = listed.select(*rows.columns, "negs")
+    if long_.isEmpty():
+        return listed
+    joined = _unconsumed_joined(heavy.select("row", "u", "i"), r, n_items, num_neg, seed, attempts)
+    joined = joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "neg"))).alias("negs")).select("row", F.col("negs.neg").alias("negs"))
+    none = F.array().cast("array<int>")
+    return listed.unionByName(heavy.join(joined, "row", "left").select(*rows.columns, F.coalesce("negs", none).alias("negs")))
 
 
 def _unconsumed_joined(rows: DataFrame, r: DataFrame, n_items: int, num_neg: int, seed: int, attempts: int) -> DataFrame:
