@@ -145,3 +145,16 @@ def test_packs_are_smaller_than_the_products(spark):
 def test_rounds_give_all_rows(r):
     whole = found(blocks.top_neighbors(r, "i", "u", 5, work=2000))
     assert found(blocks.top_neighbors(r, "i", "u", 5, work=2000, size=3000)) == whole and whole
+
+
+@pytest.mark.parametrize("work", [4_000_000, 500])
+def test_common_items_in_rounds(r, work, monkeypatch):
+    monkeypatch.setattr(blocks, "ROUND", 2000)
+    monkeypatch.setattr(blocks, "WORK", work)
+    cells = r.select("u", "i").where("u <> 7")
+    items = cells.groupBy("u").agg(F.collect_list("i").alias("l")).collect()
+    lists = {row["u"]: set(row["l"]) for row in items}
+    want = {(u, v): sorted(lists[u] & lists[v]) for u in lists for v in lists if u < v and len(lists[u] & lists[v]) > 1}
+    out = similarity.common_items(cells)
+    assert {(row["u"], row["v"]): row["items"] for row in out.collect()} == want
+    assert out.schema["items"].dataType.elementType == r.schema["i"].dataType
